@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
 from codeweft.session import table
 
@@ -14,8 +15,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("community", "kind", F.col("id").alias("node_id"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "scans")).select("repo", "path")
+
+
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "scans"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_rates(table(spark, sf_dir, "scans"))
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_errors": p3_errors,
+    "p3_rates": p3_rates,
 }
 
 SQL = {
