@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm.encoding import round_trips, token_counts, token_ids
+from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
-from codeweft.session import table
+from codeweft.session import checkpoint, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +29,36 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(table(spark, sf_dir, "scans"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents")).groupBy("same").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Counting tokens is the dear part and the groups need their sum first: count once.
+    return pack(checkpoint(token_counts(table(spark, sf_dir, "documents"))))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(_packed(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
     "p3_rates": p3_rates,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
 }
 
 SQL = {
