@@ -9,6 +9,7 @@ from codeweft.llm.encoding import round_trips, token_counts, token_ids
 from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
+from codeweft.llm.truncation import cut_rates, scored
 from codeweft.session import checkpoint, table
 
 
@@ -50,6 +51,14 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(_packed(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents")).filter("score >= 0.5").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(scored(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -59,6 +68,8 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 SQL = {
