@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm.encoding import round_trips, token_counts, token_ids
+from codeweft.llm.handwritten import file_origins
 from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
@@ -18,6 +19,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("community", "kind", F.col("id").alias("node_id"))
 
 
+def _origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_origins(table(spark, sf_dir, "scans"), table(spark, sf_dir, "upstreams"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _origins(spark, sf_dir).filter(F.col("origin") != "written").select("repo", "path")
+
+
+def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and characters by language and origin."""
+    return _origins(spark, sf_dir).groupBy("lang", "origin").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("n_chars"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_files(table(spark, sf_dir, "scans")).select("repo", "path")
 
@@ -61,6 +75,8 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_origins": p2_origins,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
     "p3_rates": p3_rates,
