@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.encoding import round_trips, token_counts, token_ids
 from codeweft.llm.handwritten import file_origins
+from codeweft.llm.neighbours import nearest, neighbour_pairs
 from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
@@ -44,6 +45,10 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(table(spark, sf_dir, "scans"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest(table(spark, sf_dir, "vectors")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_errors": p3_errors,
     "p3_rates": p3_rates,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_packing": p7_packing,
