@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -142,29 +142,30 @@ def context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFra
     b = first.select("seed", F.col("id").alias("via")).distinct().join(b, "via").select("seed", "via", "n", "id", "prio", "line")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed, heap, counter, seen, used, out = int(pdf["seed"].iloc[0]), [], 0, set(), 0, []
-        by: dict[int, list] = {}
-        for via, _, i, prio, line in pdf.sort_values(["via", "n"])[["via", "n", "id", "prio", "line"]].itertuples(index=False):
-            by.setdefault(via, []).append((i, prio, line))
-        seen.add(seed)
-        for i, prio, line in by.get(-1, []):
-            counter += 1
-            heapq.heappush(heap, (-prio, counter, 1, i, line))
-        while heap:
-            _, _, depth, i, line = heapq.heappop(heap)
-            if i in seen:
+        """One seed's frontier in the order of taking, up to the budget."""
+        root = int(pdf["seed"].iloc[0])
+        arcs = {via: list(g[["prio", "id", "line"]].itertuples(index=False, name=None)) for via, g in pdf.sort_values("n").groupby("via")}
+        # Waiting nodes lie in ascending order of (priority, minus arrival); the next one is the last.
+        arrivals, waiting, taken, room = 0, [], {root: None}, budget - 40
+
+        def enqueue(via: int, hop: int) -> None:
+            nonlocal arrivals
+            for prio, node, line in arcs.get(via, ()):
+                arrivals += 1
+                bisect.insort(waiting, (prio, -arrivals, hop, node, line))
+
+        enqueue(-1, 1)
+        while waiting:
+            _, _, hop, node, line = waiting.pop()
+            if node in taken:
                 continue
-            seen.add(i)
-            if used + len(line) + 1 > budget - 40:
+            room -= len(line) + 1
+            if room < 0:
                 break
-            used += len(line) + 1
-            out.append((seed, len(out) + 1, i, depth, line))
-            if depth == 1:
-                for j, prio, text in by.get(i, []):
-                    if j not in seen:
-                        counter += 1
-                        heapq.heappush(heap, (-prio, counter, 2, j, text))
-        return pd.DataFrame(out, columns=["seed", "place", "id", "depth", "line"])
+            taken[node] = (root, len(taken), node, hop, line)
+            if hop == 1:
+                enqueue(node, 2)
+        return pd.DataFrame(list(taken.values())[1:], columns=["seed", "place", "id", "depth", "line"])
 
     return a.unionByName(b).groupBy("seed").applyInPandas(take, "seed long, place int, id long, depth int, line string")
 
