@@ -7,56 +7,65 @@ import uuid
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import ensure_checkpoint_dir
+from codeweft.session import checkpoint_root
 
 
 def _written(df: DataFrame, folder: str, **sums) -> tuple[DataFrame, dict]:
     """df as a table in the shared checkpoint folder, and sums that are taken while it is written."""
+    seen = Observation()
     if sums:
-        seen = Observation()
-        df.observe(seen, *[c.alias(k) for k, c in sums.items()]).write.parquet(folder)
-        got = seen.get
-    else:
-        df.write.parquet(folder)
-        got = {}
-    return df.sparkSession.read.schema(df.schema).parquet(folder), got
+        df = df.observe(seen, *[c.alias(k) for k, c in sums.items()])
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get if sums else {}
 
 
 def _folder(df: DataFrame, name: str) -> str:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 30) -> DataFrame:
     """id, rank: weighted PageRank with exactly ``steps`` steps, the highest rank scaled to 1.
 
     Edges (src, dst, weight) to unknown targets lose their share; nodes without out-edges
-    spread theirs evenly.  The share of each edge is computed once.  A step is one job: a
-    join by source, a sum by target that is folded on the map side, and the spread mass of
-    the next step is observed while the ranks are written, so nothing but two numbers comes
-    to the driver and no lineage grows.
+    spread theirs evenly.
+
+    A step is r' = M r + s 1, where s holds the mass that is spread evenly.  So r after all
+    steps is a sum of the vectors M^j 1 with factors that follow from the mass of each on
+    nodes without out-edges.  The vectors need no number from the driver: each is one join
+    by source and one sum by target, folded on the map side, written out so that no lineage
+    grows; nodes that nothing points to have no row.  One aggregate then gives the masses
+    and one the ranks.
     """
     ids = nodes.select("id").distinct()
     weight = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    flows = edges.join(weight, "src").groupBy("src", "dst").agg(F.sum(F.col("weight") / F.col("total")).alias("part"))
-    flows = flows.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    flows = edges.join(weight, "src").groupBy("src", "dst").agg((F.sum(F.col("weight") / F.col("total")) * damping).alias("part"))
+    flows = flows.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     root = _folder(nodes, "pagerank")
-    flows, _ = _written(flows.repartition("src"), f"{root}/flows")
-    start = ids.join(weight.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
-    start, got = _written(start, f"{root}/nodes", n=F.count(F.lit(1)), loose=F.count(F.when(F.col("dangling"), 1)))
+    flows, _ = _written(flows, f"{root}/flows")
+    flows = flows.repartition("src").cache()  # partitioned once for all steps; what is lost is read again
+    known, got = _written(ids.join(weight.select(F.col("src").alias("id")), "id", "left_anti").withColumn("loose", F.lit(True)).join(ids, "id", "right").select("id", F.coalesce("loose", F.lit(False)).alias("loose")), f"{root}/nodes", n=F.count(F.lit(1)))
     n = got["n"]
     if not n:
-        return start.select("id", F.lit(0.0).alias("rank"))
-    ranks, spread, top = start.withColumn("rank", F.lit(1.0 / n)), got["loose"] / n, 1.0 / n
-    for k in range(steps):
-        moved = ranks.join(flows, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("moved"))
-        base = (1 - damping) / n + damping * spread / n
-        ranks = start.join(moved, F.col("id") == F.col("dst"), "left").select("id", "dangling", (F.lit(base) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank"))
-        ranks, got = _written(ranks, f"{root}/step-{k}", spread=F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), top=F.max("rank"))
-        spread, top = got["spread"], got["top"]
-    return ranks.select("id", (F.col("rank") / top).alias("rank"))
+        return known.select("id", F.lit(0.0).alias("rank"))
+    vector = known.select("id", F.lit(1.0).alias("w"))
+    for j in range(1, steps + 1):
+        step = vector.join(flows, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("w") * F.col("part")).alias("w"))
+        vector, _ = _written(step.select(F.col("dst").alias("id"), "w"), f"{root}/vectors/j={j}")
+    flows.unpersist()
+    if steps:
+        powers = nodes.sparkSession.read.schema("id long, w double, j int").parquet(f"{root}/vectors")
+        sums = powers.join(known.filter("loose"), "id", "left_semi").groupBy("j").agg(F.sum("w").alias("m")).collect()  # a row per step
+        mass = {r["j"]: r["m"] for r in sums} | {0: known.filter("loose").count()}
+    factors = [1.0 / n]  # factors[i] is the even share after step i
+    for i in range(1, steps + 1):
+        spread = sum(factors[i - 1 - j] * mass.get(j, 0.0) for j in range(i))
+        factors.append((1 - damping) / n + damping * spread / n)
+    ranks = known.select("id", F.lit(factors[steps]).alias("rank"))
+    if steps:
+        by = F.array(*[F.lit(factors[steps - j]) for j in range(steps + 1)])
+        ranks = ranks.unionByName(powers.select("id", (by[F.col("j")] * F.col("w")).alias("rank"))).groupBy("id").agg(F.sum("rank").alias("rank"))
+    ranks, got = _written(ranks, f"{root}/ranks", top=F.max("rank"))
+    return ranks.select("id", (F.col("rank") / got["top"]).alias("rank"))
 
 
 def communities(links: DataFrame, rounds: int = 10) -> DataFrame:

@@ -19,6 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeweft-checkpoint-"))
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor costs no lineage."""
     ensure_checkpoint_dir(df.sparkSession)

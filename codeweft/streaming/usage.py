@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators.incremental import merged
-from codeweft.session import ensure_checkpoint_dir
+from codeweft.session import checkpoint_root
 from codeweft.sources.repositories import current_files
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
