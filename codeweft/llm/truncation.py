@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeweft.session import checkpoint_root
+
 #: Documents the classifier is fitted on at most, and the width of its hashed features.
 SAMPLE, WIDTH = 20_000, 1 << 15
 
@@ -221,6 +224,13 @@ def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
     return HashingTF(numFeatures=width, inputCol="terms", outputCol="features", binary=True).transform(rows).select("__fold", "label", "features")
 
 
+def _stored(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model, written to the shared folder and read again: what its training keeps alive can't be sent to tasks."""
+    path = f"{checkpoint_root(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def fit(described: DataFrame, sample: int = SAMPLE, width: int = WIDTH, reg: float = 3e-4) -> list[LogisticRegressionModel]:
     """Two logistic regressions over hashed features, each for the half of the texts it wasn't fitted on.
 
@@ -231,10 +241,10 @@ def fit(described: DataFrame, sample: int = SAMPLE, width: int = WIDTH, reg: flo
     rows = _examples(described, sample, width).cache()
     learn = LogisticRegression(maxIter=30, regParam=reg)
     try:
-        models = [learn.fit(rows.filter(F.col("__fold") != k)) for k in (0, 1)]
+        models = [_stored(learn.fit(rows.filter(F.col("__fold") != k))) for k in (0, 1)]
         judged = [models[k].transform(rows.filter(F.col("__fold") == k)) for k in (0, 1)]
         clean = [j.filter((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("label", "features") for j in judged]
-        return [learn.fit(clean[1 - k]) for k in (0, 1)]
+        return [_stored(learn.fit(clean[1 - k])) for k in (0, 1)]
     finally:
         rows.unpersist()
 
