@@ -18,6 +18,8 @@ PER_ARRAY, ARRAYS, ENDS = 400, 8192, 3
 COUNTING, COLLISIONS, WINDOW, DOUBLINGS = 10, 7, 0.0875, 1
 #: Rows of an array in one task at most; a longer one is cut into blocks that meet pairwise.
 BLOCK = 20_000
+#: Bytes of vectors in a partition of the search, about.
+PART = 8 << 20
 
 
 def directions(n: int, seed: int, dim: int = DIM) -> np.ndarray:
@@ -159,6 +161,10 @@ def _nearest(rows: DataFrame, n: int, k: int, dim: int) -> DataFrame:
     else:
         placed = placed.withColumns({"own": F.lit(0), "a": F.lit(0), "b": F.lit(0)})
 
+    # As many partitions as keep a task's share at PART bytes, whatever the session's setting.
+    parts = max(1, -(-n * ends * (4 * dim + 24) // PART))
+    placed = placed.repartition(parts, "array", "a", "b")
+
     def find(key, group):
         group = group.combine_chunks()
         ids, own = group.column("node").to_numpy(), group.column("own").to_numpy()
