@@ -38,7 +38,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     """
     ids = nodes.select("id").distinct()
     weight = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    flows = edges.join(weight, "src").groupBy("src", "dst").agg((F.sum(F.col("weight") / F.col("total")) * damping).alias("part"))
+    flows = edges.join(weight, "src").groupBy("src", "dst").agg((F.sum(F.coalesce(F.try_divide("weight", "total"), F.lit(0.0))) * damping).alias("part"))
     flows = flows.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     root = _folder(nodes, "pagerank")
     flows, _ = _written(flows, f"{root}/flows")
