@@ -15,7 +15,7 @@ OPERATORS = {
     "==": "E", "!=": "E", "===": "E", "!==": "E", "<=": "E", ">=": "E", "&&": "A", "||": "O", "??": "O", "<<": "S",
     "+=": "Q", "-=": "Q", "*=": "Q", "/=": "Q", "%=": "Q", "&=": "Q", "|=": "Q", "^=": "Q", "<<=": "Q", ">>=": "Q", ">>>=": "Q",
     "**=": "Q", "//=": "Q", "@=": "Q", "&&=": "Q", "||=": "Q", "??=": "Q", "&^=": "Q", "&^": "&",
-    "=>": "F", "->": "R", "::": "D", "++": "U", "--": "U", "...": "V", "..": "W", "..=": "W", ":=": "L", "<-": "C", "**": "P", "?.": ".", "//": "/",
+    "=>": "F", "->": "R", "::": "D", "++": "U", "--": "U", "...": "V", "..": "W", "..=": "W", ":=": "L", "<-": "C", "**": "P", "?.": "N", "//": "/",
 }
 
 #: The reserved words of each language that its grammar tells apart.
@@ -38,17 +38,19 @@ SHARED = {
 KEYWORD = {w: chr(0x100 + k) for k, w in enumerate(sorted({w for ws in WORDS.values() for w in ws.split()}))}
 NAME_OF = {c: w for w, c in KEYWORD.items()}
 
-_OPS = "|".join(re.escape(o) for o in sorted(OPERATORS, key=len, reverse=True))
 _SLASHES = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
 _QUOTED = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SINGLE = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d[\d_]*)?)"
+_TRIPLE = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""' + r"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''"
+_HOLE = r"\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}]*\})*\}"  # a format field, with strings of its own
+_FORMAT = rf"(?:[fF][rR]?|[rR][fF])(?:\"(?!\"\")(?:[^\"\\\n{{]|\\[\s\S]|\{{\{{|{_HOLE})*\"|'(?!'')(?:[^'\\\n{{]|\\[\s\S]|\{{\{{|{_HOLE})*')"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{(?:[^{}]|\{[^{}]*\})*\})*\})*`"
 _REGEX = r"(?:(?<=[=(,:\[!&|?{};>])|(?<=[=(,:\[!&|?{};>] )|(?<=return ))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 
 #: For each language: patterns of space and comments, of strings, and the suffix of numbers.
 LEXICON = {
-    "python": (r"#[^\n]*|\\\n", r"(?:[rRbBfFuU]|[rR][bBfF]|[bBfF][rR])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?![\"']{3})(?:" + _QUOTED + "|" + _SINGLE + "))", "[jJ]?"),
+    "python": (r"#[^\n]*|\\\n", rf"(?:[rRbBfFuU]|[rR][bBfF]|[bBfF][rR])?(?:{_TRIPLE}|(?!\"\"\"|''')(?:{_QUOTED}|{_SINGLE}))", "[jJ]?"),
     "javascript": (_SLASHES, rf"{_QUOTED}|{_SINGLE}|{_TEMPLATE}|{_REGEX}", "n?"),
     "java": (_SLASHES, r'"""[ \t]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""|(?!""")' + _QUOTED + r"|'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\.)'", "[lLfFdD]?"),
     "go": (_SLASHES, rf"{_QUOTED}|{_SINGLE}|`[^`]*`", "i?"),
@@ -60,16 +62,20 @@ LEXICON["typescript"] = LEXICON["javascript"]
 
 def _table(language: str):
     skip, text, suffix = LEXICON[language]
+    text = f"{_FORMAT}|{text}" if language == "python" else text
     digits = _NUMBER if language != "rust" else r"(?:0[xX][0-9a-fA-F_]+?|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?)"
     fixed = {w: KEYWORD[w] for w in WORDS[language].split()} | {w: c for c, ws in SHARED.get(language, {}).items() for w in ws.split()}
     ops = {o: c for o, c in OPERATORS.items() if language in ("javascript", "typescript") or o not in ("===", "!==", "??", "?.", "??=", "&&=", "||=")}
-    ops = {o: c for o, c in ops.items() if language == "python" or o not in ("//", "//=", "@=")}
+    ops = {o: c for o, c in ops.items() if (o not in ("//", "//=", "@=") if language != "python" else o not in ("::", "--", "++", "&&", "||", "=>", "..", "..=", "<-", "&^", "&^=", ">>>="))}
+    signs = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
     # What is frequent stands first; a name isn't the prefix of a string.
     name = rf"[A-Za-z_]\w*+(?![\w\"'#$]|[^\x00-\x7f])[ \t]*+"
+    soft = r"\n\s*+(?:match|case)\b(?=[ \t]*[^\s=.,;)\]}:][^\n]*(?::|[(\[{,][ \t]*\n))|" if language == "python" else ""
     marks = r"\n\s*+|[()\[\]{};,][()\[\]{};, \t]*+|[ \t\r\f]++" if language == "python" else r"[()\[\]{};,\s]++"
-    pattern = re.compile(rf"{name}|{marks}|(?:{skip})[ \t]*|(?:{text})[ \t]*|{digits}{suffix}(?!\w)[ \t]*|\d\w*|[^\W\d][\w$]*[ \t]*|[$@#]\w+[ \t]*|(?:{_OPS})[ \t]*|[\s\S]")
+    name = r"type[ \t]+[A-Za-z_]\w*+(?=[ \t]*(?:\[[^\]\n]*\][ \t]*)?=(?!=))|" + name if language == "python" else name
+    pattern = re.compile(rf"{soft}{name}|{marks}|(?:{skip})[ \t]*|(?:{text})[ \t]*|{digits}{suffix}(?!\w)[ \t]*|\d\w*|[^\W\d][\w$]*[ \t]*|[$@#]\w+[ \t]*|(?:{signs})[ \t]*|[\s\S]")
     quoted, number, word, hidden = re.compile(text), re.compile(digits + suffix), re.compile(r"[^\W\d]|\$"), re.compile(skip)
-    plain = set("()[]{};,.:?=<>+-*/%&|^~!" + ("@" if language in ("python", "java", "typescript", "javascript") else "") + ("#" if language == "rust" else ""))
+    plain = set("()[]{};,.:?=<>+-*/%&|^~!" + ("@" if language in ("python", "java", "typescript", "javascript", "rust") else "") + ("#" if language == "rust" else ""))
     if language == "python":
         plain -= set("?")
 
@@ -80,15 +86,21 @@ def _table(language: str):
             if len(self) > 200_000:
                 self.clear()
             t = token.rstrip(" \t")
-            if token[0] in "()[]{};, \t\r\f\n":  # a run of marks and space: the marks, with line ends where they count
+            if token[0] == "\n" and t[-1].isalpha():  # a line that may begin a match or case
+                c = "\nX" if t.endswith("match") else "\nZ"
+            elif token[0] in "()[]{};, \t\r\f\n":  # a run of marks and space: the marks, with line ends where they count
                 c = "".join(x for x in token if x in "()[]{};,\n")
                 c = re.sub("\n+", "\n" if language in ("python", "javascript", "typescript", "go") else "", c)
             elif hidden.fullmatch(token) or hidden.fullmatch(t):
                 c = "\n" if "\n" in t and language in ("javascript", "typescript", "go") and t[:2] == "/*" else ""
             elif quoted.fullmatch(t) or t[0] == "/" and len(t) > 2 and language in ("javascript", "typescript"):
                 c = "l" if language == "rust" and t[0] == "'" and t[-1] != "'" else "s"
+            elif t.startswith(("type ", "type\t")) and language == "python":
+                c = "Yi"  # the start of a type statement
             elif t in fixed:
                 c = fixed[t]
+            elif t in ops:
+                c = ops[t]
             elif number.fullmatch(t):
                 c = BAD if language == "python" and re.fullmatch(r"0\d*[1-9]\d*", t) else "n"
             elif word.match(t) or language in ("javascript", "typescript") and t[0] == "#" and len(t) > 1:
@@ -98,7 +110,7 @@ def _table(language: str):
             elif t[0] == "#" and "#" in plain:
                 c = "#" if len(t) == 1 else "#" + self[t[1:]]
             else:
-                c = ops.get(t) or (t if t in plain else BAD)
+                c = t if t in plain else BAD
             self[token] = c
             return c
 

@@ -82,5 +82,5 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, tokens, the least containers possible and the share of room left unused."""
     each = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
     return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.max("n").alias("fullest")).select(
-        "containers", "pieces", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("least"), F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6).alias("unused")
+        "containers", "pieces", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("least"), F.round(1 - F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6).alias("unused")
     )

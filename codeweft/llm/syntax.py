@@ -516,7 +516,17 @@ class C(CFamily):
         self.assigned()
 
 
-_JG = r"(?:<[iT.,<>?&\[\]@" + kw("extends super") + r"]*>)"
+def _generic(depth: int = 3) -> str:
+    """A pattern of type arguments nested up to depth."""
+    inner = "<>"
+    for _ in range(depth):
+        one = rf"(?:@i)*(?:i(?:{inner})?(?:\.i(?:{inner})?)*|T)(?:\[\])*"
+        arg = rf"(?:\?(?:[{kw('extends super')}]{one})?|{one}(?:{K['extends']}{one})?)(?:&{one})*"
+        inner = rf"<(?:{arg}(?:,{arg})*)?>"
+    return f"(?:{inner})"
+
+
+_JG = _generic()
 
 
 class Java(CFamily):
@@ -526,6 +536,9 @@ class Java(CFamily):
     DECL = re.compile(rf"(?:M|@i(?:\.i)*(?:{group('[^;()]')})?)*(?:i{_JG}?(?:\.i{_JG}?)*|T)(?:\[\])*(?=i[=;,:\[)])")
     EACH = re.compile(DECL.pattern + "i:")
     CAST = re.compile(rf"\((?:T(?:\[\])*\)(?=[-+ins(!~U{kw('new super switch')}])|i{_JG}?(?:\.i{_JG}?)*(?:\[\])*(?:&i{_JG}?)*\)(?=[ins(!~{kw('new super switch')}]))")
+    GENERIC, OWNER = re.compile(_JG), re.compile(rf"{_JG}(?=D|\.)")
+    CASE = re.compile(rf"M*{TYPE.pattern}i(?=[R:,&{K['if']}])")
+    KIND = re.compile(rf"(?:M|@i)*[{kw('class interface enum record')}]")
     LAMBDA = re.compile(rf"(?:i|\((?:(?:M*(?:{TYPE.pattern})?V?i,?)*)\))R")
     NEW = re.compile(rf"(?:@i)*(?:i{_JG}?(?:\.i{_JG}?)*|T)")
     MODS = re.compile(rf"(?:M(?:-[iM{kw('permits')}])?|@i(?:\.i)*|{K['default']}(?!:|R))*")
@@ -586,7 +599,7 @@ class Java(CFamily):
             return False
         self.p += 1
         self.need("i")
-        self.rx(re.compile(_JG))
+        self.rx(self.GENERIC)
         if c == K["record"]:
             self.params()
         while self.at(kw("extends implements permits")):
@@ -626,7 +639,7 @@ class Java(CFamily):
         if self.at("{"):
             self.block()
         elif not self.kind():
-            self.rx(re.compile(_JG))
+            self.rx(self.GENERIC)
             if self.rx(re.compile(r"i(?=\()")):
                 self.method_rest()
             elif self.rx(re.compile(r"i(?=\{)")):
@@ -641,7 +654,7 @@ class Java(CFamily):
 
     def method_head(self) -> None:
         self.mods()
-        self.rx(re.compile(_JG))
+        self.rx(self.GENERIC)
         if not self.rx(re.compile(r"i(?=\()")):
             self.typed()
             self.need("i")
@@ -717,7 +730,7 @@ class Java(CFamily):
             self.p += 1
             self.condition()
             self.block()
-        elif re.compile(rf"(?:M|@i)*[{kw('class interface enum record')}]").match(self.s, self.p) and not re.compile(rf"{K['record']}[^i]").match(self.s, self.p):
+        elif self.KIND.match(self.s, self.p) and not re.compile(rf"{K['record']}[^i]").match(self.s, self.p):
             self.mods()
             if not self.kind():
                 self.fail()
@@ -729,7 +742,11 @@ class Java(CFamily):
             self.need("i")
             self.declarators()
         else:
+            start = self.p
             self.expression()
+            part = self.s[start : self.p]
+            if part[-1] not in ")U}" and part[0] != "U" and "=" not in part and "Q" not in part:
+                self.fail("not a statement")
             self.semi()
 
     def label(self) -> None:
@@ -738,22 +755,22 @@ class Java(CFamily):
         else:
             self.p += 1
             while True:
-                if self.rx(re.compile(rf"M*{self.TYPE.pattern}i(?=[R:,&{K['if']}])")) or self.eat(K["default"]):
+                if self.rx(self.CASE) or self.eat(K["default"]):
                     pass
                 else:
-                    self.ternary_free()
+                    self.binary()
                 if not self.eat(","):
                     break
             if self.at("i"):
                 self.p += 1
                 self.binary()
-        if self.eat("R"):
+        if not self.eat("R"):
+            self.need(":")
+        elif self.at("{" + K["throw"]):
             self.statement()
         else:
-            self.need(":")
-
-    def ternary_free(self) -> None:
-        self.binary()
+            self.expression()
+            self.semi()
 
     def tried(self) -> None:
         self.p += 1
@@ -871,7 +888,7 @@ class Java(CFamily):
                 self.need("]")
             elif self.at("."):
                 self.p += 1
-                self.rx(re.compile(_JG))
+                self.rx(self.GENERIC)
                 if self.at(K["new"]):
                     self.p += 1
                     self.rx(self.NEW)
@@ -881,13 +898,13 @@ class Java(CFamily):
                     self.p += 1
             elif self.at("D"):
                 self.p += 1
-                self.rx(re.compile(_JG))
+                self.rx(self.GENERIC)
                 if not self.at("i" + K["new"]):
                     self.fail("expected a method")
                 self.p += 1
             elif self.at("U"):
                 self.p += 1
-            elif self.rx(re.compile(rf"{_JG}(?=D|\.)")) and self.s[self.p - 1] == ">":
+            elif self.at("<") and self.rx(self.OWNER):
                 pass
             else:
                 return
@@ -902,6 +919,7 @@ class Script(Parser):
     NOT_ALONE = kw("if do else for while switch try")
     LEVELS = Parser.LEVELS | {K["in"]: 7, K["instanceof"]: 7}
     PREFIX = "!-+~U" + kw("typeof void delete await")
+    OPEN = kw("typeof void delete await in instanceof")
     ARROW = re.compile(r"(?:" + f"[{SOFT}]" + "|" + group(r"[^;()]", 3) + r")F")
 
     def is_name(self, c: str) -> bool:
@@ -922,7 +940,7 @@ class Script(Parser):
     def semi(self) -> None:
         if self.eat(";") or self.at("}") or self.at(END):
             return
-        if self.at("\n") or self.s[self.p - 1] == "}":
+        if self.at("\n"):
             self.skip()
             return
         self.need(";")
@@ -946,7 +964,7 @@ class Script(Parser):
             self.assigned()
 
     def assigned(self) -> None:
-        self.eat(K["async"]) if self.at(K["async"]) and (self.is_name(self.s[self.p + 1]) or self.s[self.p + 1] == "(") and self.arrow_at(self.p + 1) else None
+        self.eat(K["async"]) if self.at(K["async"]) and (self.is_name(self.s[self.p + 1]) or self.s[self.p + 1] in "(<") and self.arrow_at(self.p + 1) else None
         if self.arrow_at(self.p):
             self.arrow()
             return
@@ -970,7 +988,11 @@ class Script(Parser):
             self.assigned()
 
     def target(self, start: int) -> bool:
-        c = self.s[self.p - 1]
+        c, depth = self.s[self.p - 1], 0
+        for x in self.s[start : self.p - (c == "!")]:
+            depth += (x in "([{") - (x in ")]}")
+            if depth == 0 and (x in "+-*/%&|^~!ESPAO<>U" or x in self.OPEN):
+                return c == ">" and self.typed
         return c in "]}" or self.is_word(c) or c in ")!>" and self.typed or c == ")" and self.s[start] == "("
 
     def arrow_at(self, p: int) -> bool:
@@ -1075,9 +1097,9 @@ class Script(Parser):
     def after(self) -> None:
         while True:
             c = self.s[self.p]
-            if c == ".":
+            if c in ".N":
                 self.p += 1
-                if self.at("(["):
+                if c == "N" and self.at("(["):
                     continue
                 if not self.is_word(self.s[self.p]):
                     self.fail("expected a name")
@@ -1725,7 +1747,7 @@ class Go(Parser):
             self.p += 1
             if self.eat("."):
                 self.need("i")
-            if self.at("[") and re.compile(r"\[(?:[i*.,]|\[\]|" + K["map"] + r"\[i\])+\](?![in({\[])").match(self.s, self.p) and not self.at("[]"):
+            if self.at("[") and re.compile(r"\[(?:[i*.,]|\[\]|" + K["map"] + r"\[i\])+\](?![in({\[])").match(self.s, self.p) and self.s[self.p + 1] != "]":
                 self.braces("[", "]")
         elif c == "(":
             self.p += 1
@@ -1899,12 +1921,17 @@ class Go(Parser):
 
     def branch(self) -> None:
         self.need(K["if"])
-        if not self.known("if", self.COND, type(self).head):
-            self.head()
+        if not self.known("if", self.COND, Go.test):
+            self.test()
         self.block()
         if self.eat(K["else"]):
             self.branch() if self.at(K["if"]) else self.block()
 
+    def test(self) -> None:
+        self.head()
+        if self.s[self.p - 1] == ";":
+            self.fail("expected a condition")
+
     def head(self) -> None:
         saved, self.literals = self.literals, False
         if not self.at(";"):
@@ -2682,8 +2709,10 @@ class Python(Parser):
                 self.fail("expected def")
             c = self.s[self.p]
         word = NAME_OF.get(c, "")
-        if c == "i" and self.soft():
-            return self.soft_word
+        if c in "XZ":
+            if self.soft():
+                return self.soft_word
+            self.s = "i" + self.s[1:]
         if word not in self.OPENERS:
             self.p = a
             self.simple()
@@ -2730,17 +2759,26 @@ class Python(Parser):
     soft_word = ""
 
     def soft(self) -> bool:
-        """match and case are names too: a line that ends in a colon and has a subject is a statement."""
-        m = re.compile(r"i(?![.=:,;)\x00])").match(self.s, self.p)
-        if not m or not re.compile(r".*:\x00\Z", re.S).match(self.s, self.p):
-            return False
+        """match and case are names too: a line with a subject or pattern and a colon is a statement."""
+        word = "match" if self.at("X") else "case"
         a, self.p = self.p, self.p + 1
         try:
-            self.stars()
+            while True:
+                self.eat("*")
+                self.binary(5)
+                if self.eat(K["as"]):
+                    self.need("i")
+                if not self.eat(",") or self.at(":" + K["if"]):
+                    break
+            if self.eat(K["if"]):
+                self.named()
             self.need(":")
-            self.soft_word = "match"
+            self.soft_word = word
             if self.at(END):
                 return True
+            self.simple()
+            self.soft_word = "+" + word
+            return True
         except Bad:
             pass
         self.p = a
@@ -2822,8 +2860,9 @@ class Python(Parser):
                 self.alias()
                 while self.eat(","):
                     self.alias()
-        elif re.compile(r"i(?=i(?:\[[^=]*\])?=)").match(self.s, self.p):  # a soft type statement
-            self.p += 2
+        elif c == "Y":
+            self.p += 1
+            self.need("i")
             if self.at("["):
                 self.braces("[", "]")
             self.need("=")
@@ -3145,6 +3184,8 @@ class Python(Parser):
                 kind = ""
             if indent != stack[-1]:
                 if indent.startswith(stack[-1]):
+                    if need == "match" and kind not in ("case", "+case"):
+                        out.append((start, "expected case"))
                     if need is None:
                         out.append((start, "unexpected indent"))
                     else:
@@ -3218,7 +3259,7 @@ class Python(Parser):
 
 _BRACKET = re.compile(r"[()\[\]{}]")
 PARSERS = {"c": C, "java": Java, "javascript": JavaScript, "typescript": TypeScript, "go": Go, "rust": Rust}
-_SOFT = re.compile(r"(?<=[;{}(\[,=+\-*/%&|^~!?:<>.EAOSQFVP])\n+|\n+(?=[)\],.?:;=+*/%&|^<>EAOSQFP])|^\n+")
+_SOFT = re.compile(r"(?<=[;{(\[,=+\-*/%&|^~!?:<>.EAOSQFVP])\n+|\n+(?=[)\],.?:;=+*/%&|^<>EAOSQFP])|^\n+")
 
 
 def prepared(language: str, s: str) -> str:
@@ -3244,7 +3285,7 @@ def errors(language: str, text: str) -> list[tuple[int, str]]:
     s, tokens = classes(language, text)
     if language == "python":
         parser = Python(s)
-        indents = [(tokens[0] if tokens and tokens[0].isspace() and "\n" not in tokens[0] else "")] + [t.rpartition("\n")[2] for t in tokens if t[0] == "\n"]
+        indents = [(tokens[0] if tokens and tokens[0].isspace() and "\n" not in tokens[0] else "")] + [t.rpartition("\n")[2].rstrip("casemth") for t in tokens if t[0] == "\n"]
         found = parser.parse(indents)
     else:
         parser = PARSERS[language](prepared(language, s))
