@@ -47,13 +47,15 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select(F.col("source_id").alias("src"), dst.alias("dst"), "kind").filter("dst IS NOT NULL AND dst <> src").distinct()
 
 
-def frequent_pairs(commits: DataFrame, support: int = 3, most: int = 50) -> DataFrame:
+def frequent_pairs(commits: DataFrame, support: int = 3, most: int = 50, exclude: DataFrame | None = None) -> DataFrame:
     """a, b, n, weight: pairs of items (columns sha, item) in ``support`` commits or more, weight relative to the most frequent.
 
+    Commits of ``exclude`` (column sha) don't count, as those a search is tested with.
     Commits with one item or more than ``most`` are left out first, so a commit gives
     most * (most - 1) / 2 pairs at most; pairs are made inside their commit's row, without
     a self-join, and counted on the map side.
     """
+    commits = commits if exclude is None else commits.join(exclude.select("sha"), "sha", "left_anti")
     sets = commits.groupBy("sha").agg(F.slice(F.array_sort(F.collect_set("item")), 1, most + 1).alias("items")).filter(F.size("items").between(2, most))
     pairs = sets.select(F.explode(F.flatten(F.transform("items", lambda x, i: F.transform(F.expr("items"), lambda y: F.when(x < y, F.struct(x.alias("a"), y.alias("b"))))))).alias("p")).filter("p IS NOT NULL")
     counted = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)

@@ -34,16 +34,17 @@ def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5
     sizes = nodes.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), sum((F.size(fn.tokens(F.col(c))) for c in columns), F.lit(0)).alias("len"))
     n, average = sizes.agg(F.count(F.lit(1)), F.avg("len")).first()
     words = queries.select("qid", F.posexplode(fn.query_words(F.col("query"))).alias("k", "word")).withColumn("toks", fn.tokens(F.col("word"))).filter(F.size("toks") > 0)
-    # Equal phrases of all queries are looked up once.
-    phrases = words.select("toks").distinct().select("toks", F.size("toks").alias("m"), F.posexplode("toks").alias("j", "token"))
-    votes = phrases.join(text, "token").groupBy("toks", "m", "id", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
-    hits = votes.filter(F.col("v") == F.col("m")).groupBy("toks", "id").agg(F.count(F.lit(1)).alias("f"))
-    df = hits.groupBy("toks").agg(F.count(F.lit(1)).alias("df"))
+    words = words.select("qid", "toks", F.xxhash64("toks").alias("phrase"))
+    # Equal phrases of all queries are looked up once; from here on a phrase is a number.
+    phrases = words.groupBy("phrase").agg(F.first("toks").alias("toks")).select("phrase", F.size("toks").alias("m"), F.posexplode("toks").alias("j", "token"))
+    votes = phrases.join(text, "token").groupBy("phrase", "m", "id", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
+    hits = votes.filter(F.col("v") == F.col("m")).groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("f"))
+    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average or 1.0)))
-    weighed = hits.join(df, "toks").join(sizes, "id").select("toks", "id", "rank", weight.alias("w"))
-    scores = words.groupBy("qid", "toks").agg(F.count(F.lit(1)).alias("times")).join(weighed, "toks").groupBy("qid", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("score"), F.first("rank").alias("rank"))
-    scores = scores.select("qid", "id", (F.col("score") - F.lit(blend) * F.col("rank")).alias("score"))
+    weighed = hits.join(df, "phrase").join(sizes, "id").select("phrase", "id", "rank", weight.alias("w"))
+    asked = words.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("times"))
+    scores = asked.join(weighed, "phrase").groupBy("qid", "id").agg((-F.sum(F.col("w") * F.col("times")) - F.lit(blend) * F.max("rank")).alias("score"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9), "id"))
     return scores.withColumn("place", place).filter(F.col("place") <= limit)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars as fn
 from codeweft.operators import graph, ranking, retrieval
 from codeweft.plans.graph import E, N, TOP, load, seeds_of
-from codeweft.session import table
+from codeweft.session import checkpoint, table
 
 
 def subjects(spark, sf_dir):
@@ -115,13 +115,16 @@ def _tasks(spark, sf_dir):
 
 
 def localization(spark, sf_dir):
-    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search."""
+    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search, the last with and without co-change edges."""
     t = _tasks(spark, sf_dir)
     n, e = load(spark, sf_dir)
     gold, out = t.select("qid", "repo", "file_path"), None
-    for name, blend, expand in (("fts", 0.0, False), ("rank", 5.0, False), ("expand", 5.0, True)):
-        hits = retrieval.bm25(t.select("qid", "query"), n, 25, blend)
-        files = retrieval.expanded_files(hits, n, e, graph.neighbours) if expand else retrieval.ranked_files(hits, n)
+    # The two searches are written out once; three rungs read the second.
+    found = {blend: checkpoint(retrieval.bm25(t.select("qid", "query"), n, 25, blend)) for blend in (0.0, 5.0)}
+    plain = e.filter("kind <> 'co_changes'")
+    for name, blend, by in (("fts", 0.0, None), ("rank", 5.0, None), ("expand-nc", 5.0, plain), ("expand", 5.0, e)):
+        hits = found[blend]
+        files = retrieval.ranked_files(hits, n) if by is None else retrieval.expanded_files(hits, n, by, graph.neighbours)
         row = retrieval.metrics(files, gold).withColumn("method", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
