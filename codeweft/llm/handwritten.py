@@ -55,7 +55,7 @@ def layout(content: bytes) -> tuple:
     ends = np.flatnonzero(raw == 10)
     lengths = np.diff(np.concatenate(([-1], ends, [len(raw)]))) - 1
     lines = int((lengths > 0).sum())
-    head = _HEAD.match(text[:20_000])
+    head = _HEAD.match(text)
     head_text = head[0] if head else ""
     literal = sum(map(len, _LITERAL.findall(text))) / n if digits > 0.1 else 0.0
     runs = sum(map(len, _RUN.findall(text))) / n

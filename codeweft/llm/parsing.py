@@ -69,7 +69,8 @@ def parsed_files(scans: DataFrame) -> DataFrame:
     valid file (empty and comment-only files are valid).  A byte-order mark, CRLF and, in
     C, Latin-1 bytes are valid; bytes that aren't UTF-8 make a Python file without coding
     line invalid and count in other languages where they stand outside strings and
-    comments.  Repeated rows count once; null repo or path: left out.  Other columns are
+    comments.  A file nested deeper than the parser's stack counts as invalid.  Repeated
+    rows count once; null repo or path: left out.  Other columns are
     never read.
     """
     rows = scans.filter(F.col("lang").isNotNull()).select("repo", "path", F.col("modification_time").cast("timestamp_ntz").alias("modification_time"), F.xxhash64("content").alias("tie"), "lang", "content")

@@ -16,8 +16,9 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, item: str, n:
     its last ranking sees salts * n rows at most.
 
     Rows with a null group, item or score and NaN scores don't count (infinite ones do,
-    -0.0 equals 0.0).  Repeated rows count once: they share a subgroup and a dense rank.
-    An item listed with several scores counts with its best.  Fewer than n items: all
+    -0.0 equals 0.0).  Repeated rows count once, and an item listed with several scores
+    counts with its best: both are folded by an aggregate over (group, item) first, whose
+    keys spread a large group over all tasks.  Fewer than n items: all
     come out.  Empty input: empty result.  Other columns are never read.
     """
     rows = df.select(
@@ -28,8 +29,6 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, item: str, n:
     keys = [f"__g{k}" for k in range(len(groups))]
     order = [F.col("__score").desc(), F.col("__item")]
     sub = Window.partitionBy(*keys, F.pmod(F.xxhash64("__item"), F.lit(salts))).orderBy(*order)
-    # An item with several scores may fill a subgroup's places, so the cut is by item only
-    # after the best score of each is known: duplicates are folded by the first aggregate.
     best = rows.groupBy(*keys, "__item").agg(F.max("__score").alias("__score"))
     survivors = best.withColumn("__r", F.row_number().over(sub)).filter(F.col("__r") <= n)
     whole = Window.partitionBy(*keys).orderBy(*order)
