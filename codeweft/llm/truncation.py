@@ -196,7 +196,8 @@ def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
     Documents away from every limit and without a note count as intact; at most ``sample``
     of them, in order of a hash of the text.  The cut is inside a word, sentence or line,
     half of the cuts at a limit of the source, a third with a mark in place of the rest.
-    A prose text up to the end of one of its sentences, but without the stop, is intact.
+    A prose text up to the end of one of its sentences, but without the stop, is intact,
+    unless its length is a limit; with the stop it is intact there, too.
     Half of the texts with a closing mark are shown as if their length were a limit, too.
     """
 
@@ -215,7 +216,11 @@ def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
                     rows.append({"label": 1.0, "terms": features(cut[0], c, cut[1], not lw or lw in words)})
                 if not c and (whole := _ended(t, seed // 5 + 777 * k)):
                     lw = last_word(whole)
-                    rows.append({"label": 0.0, "terms": features(whole, c, False, not lw or lw in words)})
+                    ok2 = not lw or lw in words
+                    rows.append({"label": 0.0, "terms": features(whole, c, False, ok2)})
+                    if m is not None:  # right at a limit, the missing stop was cut off
+                        rows.append({"label": 1.0, "terms": features(whole, c, True, ok2)})
+                        rows.append({"label": 0.0, "terms": features(whole + ".", c, True, True)})
             out.append(rows)
         return pd.Series(out)
 
