@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codeweft.session import checkpoint_root
 
 #: Documents the classifier is fitted on at most, and the width of its hashed features.
-SAMPLE, WIDTH = 20_000, 1 << 15
+SAMPLE, WIDTH = 20_000, 1 << 18
 
 #: A limit or a broken transfer leaves more characters than this.
 SHORTEST = 40
