@@ -2,38 +2,111 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.operators.graph import is_test
 from codeweft.operators.retrieval import within_budget
 
+_LINE = re.compile(rb"[^\n]*\n|[^\n]+")
+
+
+def _alignment(a: list, b: list, store: int = 1 << 28) -> Iterator[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, each match as early as it can be.
+
+    Bit i of a row says whether one more item of ``a`` lengthens it (Hyyro's bit vectors,
+    one row for each item of ``b``, from the end).  Above ``store`` bits the rows aren't
+    kept: ``b`` is halved and the best place to halve ``a`` found first (Hirschberg).
+    """
+    m, n = len(a), len(b)
+    if not m or not n:
+        return
+
+    def rows(x: list, y: list) -> Iterator[int]:
+        mask, where = (1 << len(x)) - 1, {}
+        for i, v in enumerate(x):
+            where[v] = where.get(v, 0) | 1 << i
+        row = mask
+        yield row
+        for v in y:
+            u = row & where.get(v, 0)
+            row = ((row + u) | (row - u)) & mask
+            yield row
+
+    if m * n > store and n > 1:
+        half = n // 2
+
+        def lengths(x: list, y: list) -> list[int]:
+            for last in rows(x, y):
+                pass
+            return [0, *accumulate(c == "0" for c in reversed(f"{last:0{m}b}"))]
+
+        front, back = lengths(a, b[:half]), lengths(a[::-1], b[half:][::-1])
+        cut = max(range(m + 1), key=lambda i: front[i] + back[m - i])
+        yield from _alignment(a[:cut], b[:half], store)
+        yield from ((i + cut, j + half) for i, j in _alignment(a[cut:], b[half:], store))
+        return
+    kept, i, j = list(rows(a[::-1], b[::-1])), 0, 0
+    while i < m and j < n:
+        if a[i] == b[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif kept[n - j] >> (m - i - 1) & 1:  # nothing is lost without a[i]
+            i += 1
+        else:
+            j += 1
+
+
+def changed_ranges(old: bytes, new: bytes) -> list[tuple[int, int]]:
+    """(first, last) of each run of lines of ``new`` that differ from ``old``, numbered from 1, as few lines as possible.
+
+    Where lines were only taken away, both are the line before them (0 at the top), as in
+    the hunks of ``git diff --unified=0``.
+    """
+    a, b = _LINE.findall(old), _LINE.findall(new)
+    short = min(len(a), len(b))
+    head = next((k for k in range(short) if a[k] != b[k]), short)
+    tail = next((k for k in range(short - head) if a[-1 - k] != b[-1 - k]), short - head)
+    ia, ib = range(head, len(a) - tail), range(head, len(b) - tail)
+    both = {a[i] for i in ia} & {b[j] for j in ib}
+    ia, ib = [i for i in ia if a[i] in both], [j for j in ib if b[j] in both]
+    same = [(ia[i], ib[j]) for i, j in _alignment([a[i] for i in ia], [b[j] for j in ib])]
+    out, i0, j0 = [], head, head
+    for i, j in [*same, (len(a) - tail, len(b) - tail)]:
+        if j > j0:
+            out.append((j0 + 1, j))
+        elif i > i0:
+            out.append((j0, j0))
+        i0, j0 = i + 1, j + 1
+    return out
+
 
 def version_hunks(scans: DataFrame) -> DataFrame:
-    """repo, path, first, last: the lines of the current version that differ from the version before.
+    """repo, path, first, last: each range of lines of the current version that differs from the version before.
 
     Of each file the two latest versions count, found by their times only; their lines are
-    then compared from both ends, so a file gives one range.  Files without an older
+    then compared inside Arrow batches (see ``changed_ranges``).  Files without an older
     version or without a difference give none.
     """
     keys = ["repo", "path"]
     stamps = scans.filter("content IS NOT NULL").groupBy(*keys, "modification_time").agg(F.max(F.xxhash64("content")).alias("tie"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("modification_time").desc_nulls_last()))
     two = stamps.withColumn("k", place).filter("k <= 2").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("n = 2")
-    texts = scans.withColumn("tie", F.xxhash64("content")).join(two, [*keys, "modification_time", "tie"]).select(*keys, "k", F.split(F.decode("content", "UTF-8"), "\n").alias("lines"))
-    pair = texts.groupBy(*keys).agg(F.max(F.when(F.col("k") == 1, F.col("lines"))).alias("new"), F.max(F.when(F.col("k") == 2, F.col("lines"))).alias("old"))
-
-    def common(a, b):
-        """How many leading items are equal."""
-        both = F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1))
-        at = F.array_position(both, 1)
-        return F.when(at == 0, F.least(F.size(a), F.size(b))).otherwise((at - 1).cast("int"))
-
-    head = common(F.col("new"), F.col("old"))
-    tail = F.least(common(F.reverse("new"), F.reverse("old")), F.least(F.size("new"), F.size("old")) - F.col("head"))
-    spans = pair.withColumn("head", head).withColumn("tail", tail)
-    first, last = F.col("head") + 1, F.size("new") - F.col("tail")
-    return spans.filter((F.size("new") > F.col("head") + F.col("tail")) | (F.size("old") > F.col("head") + F.col("tail"))).select(*keys, F.least(first, F.size("new")).alias("first"), F.greatest(first, last).cast("int").alias("last"))
+    texts = scans.withColumn("tie", F.xxhash64("content")).join(two, [*keys, "modification_time", "tie"]).select(*keys, "k", "content")
+    pair = texts.groupBy(*keys).agg(F.max(F.when(F.col("k") == 1, F.col("content"))).alias("new"), F.max(F.when(F.col("k") == 2, F.col("content"))).alias("old"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r.as_py(), p.as_py(), *x) for r, p, new, old in zip(*b.columns) for x in changed_ranges(old.as_py(), new.as_py())]
+            columns = zip(*rows) if rows else ([],) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], [*keys, "first", "last"])
+
+    return pair.filter("new <> old").select(*keys, "new", "old").mapInArrow(run, "repo string, path string, first int, last int")
 
 
 def touched(hunks: DataFrame, nodes: DataFrame) -> DataFrame:

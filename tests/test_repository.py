@@ -2,6 +2,7 @@
 
 import subprocess
 from datetime import datetime
+from random import Random
 
 from codeweft.operators import changes, extraction, incremental
 from codeweft.sources import languages as lang
@@ -71,6 +72,32 @@ def test_hunks_and_touched_symbols(spark):
     assert [r["line"] for r in shown] == ["    2| TWO", "    3| three", "    4| four"]
 
 
+def test_distant_edits_are_separate_hunks(spark):
+    old = [f"line {k}" for k in range(1, 21)]
+    new = ["LINE 1", *old[1:9], *old[10:17], "more", "and more", *old[17:-1], "LINE 20"]
+    s = spark.createDataFrame([scan("a.py", "\n".join(old), 1), scan("a.py", "\n".join(new), 2), scan("b.py", "x\ny\n", 1), scan("b.py", "y\n", 2)], SCAN)
+    hunks = changes.version_hunks(s)
+    assert sorted(tuple(r) for r in hunks.collect()) == [("r", "a.py", 1, 1), ("r", "a.py", 9, 9), ("r", "a.py", 17, 18), ("r", "a.py", 21, 21), ("r", "b.py", 0, 0)]
+    n = nodes_of(spark, [node(1, path="a.py", lines=(1, 2)), node(2, path="a.py", lines=(3, 8)), node(3, path="a.py", lines=(20, 21)), node(4, path="b.py", lines=(1, 1))])
+    assert sorted(r["id"] for r in changes.diff_context(hunks, n, edges_of(spark, [(2, 2, "calls", 1.0)])).collect()) == [1, 3]
+
+
+def test_ranges_change_as_few_lines_as_git(tmp_path):
+    random = Random(7)
+    for k in range(40):
+        a = [random.choice("abcdefgh") if k % 2 else f"{random.randrange(60)}" for _ in range(random.randrange(80))]
+        b = [x for x in a if random.random() > 0.15]
+        for _ in range(random.randrange(8)):
+            b.insert(random.randrange(len(b) + 1), random.choice("abcxyz"))
+        best = list(changes._alignment(a, b))
+        assert all(a[i] == b[j] for i, j in best) and all(p < q and r < s for (p, r), (q, s) in zip(best, best[1:]))
+        assert len(best) == len(list(changes._alignment(a, b, 16)))  # halved again and again
+        for name, lines in (("old", a), ("new", b)):
+            (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+        diff = subprocess.run(["git", "diff", "--no-index", "--minimal", "--unified=0", "old", "new"], cwd=tmp_path, capture_output=True, text=True).stdout.split("\n")[4:]
+        assert sum(x[:1] == "-" for x in diff) == len(a) - len(best) and sum(x[:1] == "+" for x in diff) == len(b) - len(best)
+
+
 def test_unified_diff(spark):
     lines = ["diff --git a/m.py b/m.py", "--- a/m.py", "+++ b/m.py", "@@ -1 +1,2 @@", "+x", "@@ -9,2 +10,0 @@", "-y", "+++ b/n.py", "@@ -3 +3 @@"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
