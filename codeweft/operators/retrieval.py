@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
 
 COLUMNS = ("name", "qualified_name", "summary")
+#: Query vectors and vectors that meet in a task of the exact search, about.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 25_000
 
 
 def postings(nodes: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -55,18 +60,46 @@ def finite_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return vectors.filter((F.size("vec") == dim) & F.forall("vec", lambda x: x.isNotNull() & ~x.isin(*bad))).select("node_id", "vec").distinct()
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, limit: int = 50, most: int = 1000) -> DataFrame:
+def semantic(queries: DataFrame, vectors: DataFrame, limit: int = 50) -> DataFrame:
     """qid, id, score, place: the nodes whose vectors have the largest cosine with each query vector (qid, qvec).
 
-    Exact search for a handful of queries, as one call of a tool makes: ``most`` query
-    vectors at most are sent to all tasks, more are refused.  Equal cosines: larger id.
+    Exact for any number of queries: blocks of query vectors meet blocks of vectors, each
+    meeting is a task that gives the ``limit`` best of its block for each of its queries,
+    and these are merged.  All vectors have one length.  Equal cosines: larger id.
     """
-    q = queries.limit(most + 1)
-    if q.count() > most:
-        raise ValueError(f"more than {most} query vectors")
-    # The condition is on the sides only together, so the few queries are sent to the vectors.
-    pairs = vectors.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
-    scores = pairs.select("qid", F.col("node_id").alias("id"), F.round(fn.cosine(F.col("qvec"), F.col("vec")), 9).alias("score"))
+    blocks = {"q": max(1, -(-queries.count() // QUERY_BLOCK)), "v": max(1, -(-vectors.count() // VECTOR_BLOCK))}
+
+    def side(df: DataFrame, key: str, vec: str, own: str, other: str) -> DataFrame:
+        """The rows in the block of their own side, once for each block of the other."""
+        block = F.pmod(F.xxhash64(key, vec), F.lit(blocks[own])).cast("int").alias(own)
+        rows = df.select(F.lit(own).alias("side"), F.col(key).alias("key"), F.col(vec).alias("vec"), block)
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))).select("side", "key", "vec", "q", "v")
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+
+        def part(name: str) -> tuple[np.ndarray, np.ndarray]:
+            t = group.filter(pc.equal(group["side"], name)).combine_chunks()
+            x = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) if len(t) else np.empty((0, 0))
+            size = np.linalg.norm(x, axis=1)
+            return t["key"].to_numpy(), x / np.where(size == 0, 1, size)[:, None]
+
+        (qid, q), (ids, x) = part("q"), part("v")
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at in range(0, len(qid) if len(ids) else 0, 128):
+            sims = q[at : at + 128] @ x.T
+            last = -np.partition(-sims, limit - 1, axis=1)[:, limit - 1] if len(ids) > limit else np.full(len(sims), -2.0)
+            row, col = np.nonzero(sims >= last[:, None] - 2e-9)
+            score = np.round(sims[row, col], 9)
+            order = np.lexsort((-ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row, side="left") < limit
+            found.append((qid[at + row[kept]], ids[col[kept]], score[kept]))
+        return pa.table([np.concatenate(c) for c in zip(*found)], ["qid", "id", "score"])
+
+    vectors = vectors.filter("node_id IS NOT NULL")
+    meetings = side(queries, "qid", "qvec", "q", "v").unionByName(side(vectors, "node_id", "vec", "v", "q"))
+    scores = meetings.repartition(blocks["q"] * blocks["v"], "q", "v").groupBy("q", "v").applyInArrow(best, "qid long, id long, score double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").desc()))
     return scores.withColumn("place", place).filter(F.col("place") <= limit)
 

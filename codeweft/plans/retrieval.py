@@ -45,6 +45,21 @@ def search_hybrid(spark, sf_dir):
     return retrieval.fuse(lexical, vector).withColumn("rrf", F.round("rrf", 6))
 
 
+def search_semantic_fixed(spark, sf_dir):
+    """The fixed query set, which grows with the table: every vector whose id is divisible by 50, against all."""
+    v = retrieval.finite_vectors(table(spark, sf_dir, "vectors"))
+    q = v.filter("node_id % 50 = 0").select(F.col("node_id").alias("qid"), F.col("vec").alias("qvec"))
+    return retrieval.semantic(q, v).withColumn("score", F.round("score", 6))
+
+
+def search_hybrid_fixed(spark, sf_dir):
+    """The same for names and vectors of the nodes whose id is divisible by 50."""
+    n, v = load(spark, sf_dir)[0], retrieval.finite_vectors(table(spark, sf_dir, "vectors"))
+    words = n.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("name").alias("query"))
+    q = v.withColumnsRenamed({"node_id": "qid", "vec": "qvec"}).join(words.select("qid"), "qid", "left_semi")
+    return retrieval.fuse(retrieval.bm25(words, n, 50), retrieval.semantic(q, v, 50)).withColumn("rrf", F.round("rrf", 6))
+
+
 def embed_missing(spark, sf_dir):
     """Nodes without a vector and the text that would be embedded."""
     n, v = load(spark, sf_dir)[0], table(spark, sf_dir, "vectors")
@@ -139,7 +154,7 @@ def token_totals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_bm25, search_plain, search_semantic, search_hybrid, embed_missing, usage_boosts, context_direct, context_full, unresolved_tails,
+        search_bm25, search_plain, search_semantic, search_hybrid, search_semantic_fixed, search_hybrid_fixed, embed_missing, usage_boosts, context_direct, context_full, unresolved_tails,
         overview_text, node_lines, files_by_folder, issue_queries, stored_summaries, localization, token_totals,
     )
 }
@@ -204,3 +219,5 @@ SQL = {
         SELECT node_id, summary FROM d WHERE summary <> '' AND node_id IN (SELECT id FROM n) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC, doc_id DESC) = 1""",
     "token_totals": "SELECT source, CAST(sum(length(text) // 4) AS BIGINT) AS n_tokens, count(*) AS n_documents FROM documents WHERE text IS NOT NULL GROUP BY source",
 }
+SQL["search_semantic_fixed"] = SQL["search_semantic"].replace(f"{TOP}, {_VEC}", f"{_VEC}, seeds AS (SELECT DISTINCT node_id AS seed FROM fv WHERE node_id % 50 = 0)")
+SQL["search_hybrid_fixed"] = SQL["search_hybrid"].replace(TOP, "seeds AS (SELECT id AS seed FROM n WHERE id % 50 = 0)")

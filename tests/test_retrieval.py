@@ -3,6 +3,7 @@
 import json
 import sqlite3
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
@@ -40,6 +41,23 @@ def test_semantic_ties_and_fusion(spark):
     assert fused[0] == 2 and set(fused) == {1, 2, 3, 4, 9}
 
 
+def test_semantic_takes_any_number_of_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (1500, 4)).astype("float32")  # many equal cosines and some zeros
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "node_id long, vec array<float>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 500)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 400)
+    got = {}
+    for r in retrieval.semantic(v.filter("node_id < 1100").selectExpr("node_id AS qid", "vec AS qvec"), v, 7).collect():
+        got.setdefault(r["qid"], {})[r["place"]] = (r["score"], r["id"])
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-9)[:, None]
+    sims = np.round(unit[:1100] @ unit.T, 9)
+    assert len(got) == 1100
+    for q, places in got.items():
+        order = np.lexsort((-np.arange(1500), -sims[q]))[:7]
+        assert [places[k + 1][1] for k in range(7)] == order.tolist()
+
+
 def test_context_expands_through_strong_parents_only(spark):
     n = graph.clean_nodes(nodes_of(spark, [node(1, rank=0.2), node(2, rank=0.9), node(3, rank=0.1), node(4, rank=1.0), node(5, rank=0.5)]))
     e = edges_of(spark, [(1, 2, "calls", 1.0), (1, 3, "calls", 1.0), (2, 4, "calls", 1.0), (4, 5, "calls", 1.0), (3, 1, "calls", 1.0)])
