@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -11,26 +12,35 @@ from pyspark.sql import DataFrame
 
 #: For languages other than Python: patterns of definitions by kind (the name is the last group that matched), and of imports and bases.
 _NAME = r"([A-Za-z_$][\w$]*)"
+_ANNOTATED, _MODIFIED = r"(?:@[\w.]+(?:\([^()]*\))?[ \t]+)*", r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+_PARAMS, _STATEMENT = r"\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)", r"(?:if|for|while|do|switch|case|catch|try|return|throw|new|else|assert|yield|await|delete|goto|package|import|using|typedef|class|interface|enum|record|struct|extends|implements)\b"
 DEFINITIONS = {
-    "javascript": [("class", rf"^\s*(?:export\s+(?:default\s+)?)?class\s+{_NAME}"), ("function", rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\*?\s+{_NAME}"), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>"), ("method", rf"^\s+(?:static\s+|async\s+|private\s+|public\s+|protected\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b){_NAME}\s*\([^()]*\)\s*(?::[^{{=;]+)?\{{")],
-    "java": [("class", rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], .?]+\s+{_NAME}\s*\([^()]*\)[^;{{]*\{{")],
-    "go": [("class", rf"^type\s+{_NAME}\s+(?:struct|interface)"), ("method", rf"^func\s+\([^)]*\)\s*{_NAME}"), ("function", rf"^func\s+{_NAME}")],
+    "javascript": [("class", rf"^[ \t]*+(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+(?!extends\b|implements\b){_NAME}"), ("function", rf"^[ \t]*+(?:export\s+(?:default\s+)?)?(?:async\s+)?function\*?\s+{_NAME}"), ("function", rf"^[ \t]*+(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?(?:\((?:[^();]|\([^()]*\))*\)(?:\s*:[^=;{{}}]+)?|\w+)\s*=>"), ("method", rf"^[ \t]++(?:(?:static|async|private|public|protected|override|get|set)\s+)*(?:\*\s*)?(?!function\b|with\b|{_STATEMENT})([A-Za-z_$][\w$]*+)\s*(?:<[^;{{}}()]*>\s*)?\((?:[^();]|\([^()]*\))*\)\s*(?::[^{{=;]+)?\{{")],
+    "java": [("class", rf"^[ \t]*+{_ANNOTATED}(?:(?:public|private|protected|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record)\s+{_NAME}"), ("method", rf"^[ \t]*+{_ANNOTATED}{_MODIFIED}(?:<[^;{{}}()]*>\s*)?(?!{_STATEMENT})[\w.$]+(?:\s*<[^;{{}}()=]*>)?(?:\s*\[\s*\])*\s+{_NAME}\s*{_PARAMS}\s*(?:\[\s*\]\s*)*(?:throws\s[^;{{}}()]*)?(?:default\b|[{{;])"), ("constructor", rf"^[ \t]*+{_ANNOTATED}{_MODIFIED}(?:<[^;{{}}()]*>\s*)?{_NAME}\s*{_PARAMS}\s*(?:throws\s[^;{{}}()]*)?\{{")],
+    "go": [("class", rf"^type\s+{_NAME}\b\s*(?:\[[^\]\n]+\]\s*)?(?!\s*=)\S"), ("method", rf"^func\s+\([^)]*\)\s*{_NAME}"), ("function", rf"^func\s+{_NAME}")],
     "c": [("class", rf"^(?:typedef\s+)?(?:struct|union|enum)\s+{_NAME}\s*\{{"), ("function", rf"^(?!\s*(?:if|for|while|switch|return)\b)[A-Za-z_][\w\s*]*?\b{_NAME}\s*\([^;]*\)\s*\{{")],
     "rust": [("class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+{_NAME}"), ("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+{_NAME}")],
 }
-DEFINITIONS["typescript"] = DEFINITIONS["javascript"] + [("class", rf"^\s*(?:export\s+)?interface\s+{_NAME}")]
-DEFINITIONS["cpp"] = DEFINITIONS["c"] + [("class", rf"^\s*class\s+{_NAME}[^;]*\{{")]
+DEFINITIONS["typescript"] = DEFINITIONS["javascript"] + [("class", rf"^[ \t]*+(?:export\s+(?:default\s+)?)?(?:declare\s+)?interface\s+{_NAME}"), ("alias", rf"^[ \t]*+(?:export\s+)?(?:declare\s+)?type\s+{_NAME}\s*(?:<[^;{{}}()]*?>\s*)?=(?!=)")]
+_BODY = r"(?:\s|const|noexcept|override|final|&)*+(?:(?:->|:)[^{;]*+)?\{"
+DEFINITIONS["cpp"] = DEFINITIONS["c"] + [("class", rf"^\s*class\s+{_NAME}[^;{{]*\{{"), ("function", rf"^(?!\s*{_STATEMENT})(?:[A-Za-z_][\w \t*&<>,:]*?[ \t*&])?(?:\w+(?:<[^<>;{{}}()]*>)?::)+(~?[A-Za-z_]\w*)\s*{_PARAMS}{_BODY}"), ("function", rf"^[ \t]+(?!{_STATEMENT})[A-Za-z_][\w \t*&<>,:]*?[ \t*&](?!{_STATEMENT})(~?[A-Za-z_]\w*)\s*{_PARAMS}{_BODY}"), ("constructor", rf"^[ \t]+(?:explicit\s+|inline\s+|virtual\s+)*(~?[A-Za-z_]\w*)\s*{_PARAMS}{_BODY}")]
 IMPORTS = {
     "javascript": r"(?:from|require\(|import)\s*[\"']([^\"']+)[\"']", "typescript": r"(?:from|require\(|import)\s*[\"']([^\"']+)[\"']",
     "java": r"^import\s+(?:static\s+)?([\w.]+)", "go": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$", "c": r"^\s*#\s*include\s*[<\"]([^>\"]+)", "cpp": r"^\s*#\s*include\s*[<\"]([^>\"]+)", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)",
 }
-BASES = {"javascript": r"class\s+(\w+)\s+extends\s+([\w.]+)", "java": r"class\s+(\w+)(?:<[^>]*>)?\s+(?:extends|implements)\s+([\w.]+)", "cpp": r"class\s+(\w+)\s*:\s*(?:public|private|protected)\s+([\w:]+)"}
-BASES["typescript"] = BASES["javascript"]
+#: The name of a class and what stands between it and its body; words there that are no bases.
+BASES = {k: rf"(?<![\w.$]){word}\s+(?!extends\b|implements\b){_NAME}([^{{;]*)\{{" for k, word in (("javascript", "class"), ("typescript", "class"), ("java", "(?:class|enum|record)"), ("cpp", "(?:class|struct)"))}
+_NO_BASE = frozenset("public private protected virtual final".split())
 GENERIC = [("class", rf"^\s*(?:\w+\s+)*(?:class|struct|trait|interface|module)\s+{_NAME}"), ("function", rf"^\s*(?:\w+\s+)*(?:def|func|fun|function|sub|fn)\s+{_NAME}")]
 _CALL = re.compile(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\.)*[A-Za-z_$][\w$]*)\s*\(")
 _NO_CALL = frozenset("if for while switch catch return function sizeof match fn func def class new typeof await and or not in elif with print assert lambda".split())
 _STRINGS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|/\*.*?\*/", re.S)
 
+_CHARS = re.compile(_STRINGS.pattern.replace(r"'(?:[^'\\\n]|\\.)*'", r"'(?:[^'\\\n]|\\.[^'\n]*)'"), re.S)  # an apostrophe alone is a lifetime
+_JS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*.*?(?:\*/|\Z)|[`{}/]", re.S)
+_TEMPLATE, _REGEX = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{)|\\\Z)*(?:`|\$\{|\Z)", re.S), re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_BEFORE_REGEX = re.compile(r"(?<![\w$.])(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield)\Z")
+
 SYMBOL = pa.struct([("kind", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("signature", pa.string())])
 REF = pa.struct([("kind", pa.string()), ("source", pa.string()), ("target_name", pa.string())])
 SCHEMA = "repo string, path string, parse_error boolean, symbols array<struct<kind:string,name:string,qualified_name:string,line_start:int,line_end:int,signature:string>>, refs array<struct<kind:string,source:string,target_name:string>>"
@@ -69,31 +79,127 @@ def _python(text: str, module: str) -> tuple[list, list]:
     return syms, refs
 
 
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _bare(text: str, lang: str) -> str:
+    """The text with blanks in place of strings and comments; in JavaScript of regular expressions and templates, but not the code in them, too."""
+    if lang not in ("javascript", "typescript"):
+        return (_CHARS if lang == "rust" else _STRINGS).sub(lambda m: _blank(m[0]), text)
+    out, at, depths, inside = [], 0, [], False  # the depths of braces in the ${ } that are open
+    while at < len(text):
+        if inside:  # a template
+            m = _TEMPLATE.match(text, at)
+            out.append(_blank(m[0]))
+            at, inside = m.end(), False
+            if m[0].endswith("${"):
+                depths.append(0)
+            continue
+        m = _JS.search(text, at)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        token, at = m[0], m.end()
+        if token == "/":
+            before = text[max(0, m.start() - 40) : m.start()].rstrip()
+            x = _REGEX.match(text, m.start()) if not before or before[-1] in "(,=:[!&|?{};+-*%<>~^" or _BEFORE_REGEX.search(before) else None
+            at = x.end() if x else at
+            out.append(_blank(x[0]) if x else token)
+        elif token == "`":
+            out.append(" ")
+            inside = True
+        elif token in "{}":
+            if depths and token == "}" and depths[-1] == 0:
+                depths.pop()
+                out.append(" ")
+                inside = True
+            else:
+                if depths:
+                    depths[-1] += 1 if token == "{" else -1
+                out.append(token)
+        else:
+            out.append(_blank(token))
+    return "".join([*out, text[at:]])
+
+
 def _end(lines: list[str], start: int) -> int:
     """The line on which the braces opened from start on are closed."""
     depth, opened = 0, False
     for k in range(start, len(lines)):
-        bare = _STRINGS.sub("", lines[k])
-        depth += bare.count("{") - bare.count("}")
-        opened = opened or "{" in bare
+        depth += lines[k].count("{") - lines[k].count("}")
+        opened = opened or "{" in lines[k]
         if opened and depth <= 0:
             return k + 1
-        if not opened and bare.rstrip().endswith(";"):
+        if not opened and lines[k].rstrip().endswith(";"):
             return k + 1
     return len(lines)
 
 
+def _end_of_statement(lines: list[str], start: int) -> int:
+    """The line on which a statement ends that has no body of its own: brackets are closed and no operator goes on."""
+    depth = 0
+    for k in range(start, len(lines)):
+        depth += sum((c in "({[") - (c in ")}]") for c in lines[k])
+        line, after = lines[k].rstrip(), next((x.strip() for x in lines[k + 1 :] if x.strip()), "")
+        if depth <= 0 and (line.endswith(";") or not (line.endswith(("=", "|", "&", "?", ":", ",", "=>")) or not line.strip() or after.startswith(("|", "&", "?", ":", "=", ".")))):
+            return k + 1
+    return len(lines)
+
+
+def _grouped(bare: str) -> list[tuple[int, int, str]]:
+    """Start, end and name of every type in Go's ``type ( ... )``."""
+    out = []
+    for m in re.finditer(r"^type\s*\(", bare, re.M):
+        depth, begin, at = 0, m.end(), m.end()
+        while at < len(bare) and depth >= 0:
+            c = bare[at]
+            depth += (c in "({[") - (c in ")}]")
+            if depth < 0 or (depth == 0 and c in "\n;"):
+                if x := re.match(rf"\s*{_NAME}\b\s*(?:\[[^\]\n]+\]\s*)?(?!\s*=)\S", bare[begin:at]):
+                    out.append((begin + x.start(1), begin + x.end(1), x[1]))
+                begin = at + 1
+            at += 1
+    return out
+
+
+def _bases(clause: str, lang: str) -> list[str]:
+    """The names in what follows the name of a class, without type arguments."""
+    before = None
+    while before != clause:
+        before, clause = clause, re.sub(r"<[^<>]*>|\([^()]*\)", " ", clause)
+    if lang == "cpp":
+        lists = [clause.partition(":")[2]]
+    else:
+        lists = re.split(r"\b(?:extends|implements)\b", clause.partition(" permits ")[0])[1:]
+    words = [[w for w in re.findall(r"[\w.$:]+", x) if w not in _NO_BASE] for names in lists for x in names.split(",")]
+    return [w[0] for w in words if w]
+
+
 def _braced(text: str, module: str, lang: str) -> tuple[list, list]:
-    lines, found = text.split("\n"), []
+    lines, found, heads = text.split("\n"), [], []
+    bare = _bare(text, lang)
+    plain = bare.split("\n")
     for kind, pattern in DEFINITIONS.get(lang, GENERIC):
-        for m in re.finditer(pattern, text, re.M):
-            at = text.count("\n", 0, m.start() + len(m.group()) - len(m.group().lstrip("\n")))
-            found.append((at, kind, m[m.lastindex]))
+        for m in re.finditer(pattern, bare, re.M):
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            found.append((start, m.end(), kind, m[m.lastindex]))
+    if lang == "go":
+        found += [(a, b, "class", name) for a, b, name in _grouped(bare)]
+    breaks = [m.start() for m in re.finditer("\n", bare)]
+    classes = {x[3] for x in found if x[2] == "class"}
     spans, seen = [], set()
-    for at, kind, name in sorted(found, key=lambda x: (x[0], x[1] != "class", x[1])):
+    for start, end, kind, name in sorted(found, key=lambda x: (bisect.bisect_left(breaks, x[0]), x[2] != "class", x[2] == "constructor", x[2], x[0])):
+        at = bisect.bisect_left(breaks, start)
+        if kind == "constructor" and name.lstrip("~") not in classes:
+            continue
+        heads.append((start, end))
         if (at, name) not in seen:
             seen.add((at, name))
-            spans.append((at + 1, _end(lines, at), kind, name))
+            rest = bare[end:].partition("\n")[0]
+            alone = kind == "alias" or (lang == "go" and kind == "class" and "{" not in plain[at]) or (bare[start:end].endswith("=>") and not rest.lstrip().startswith("{"))
+            kind = {"alias": "class", "constructor": "method"}.get(kind, kind)
+            spans.append((at + 1, _end_of_statement(plain, at) if alone else _end(plain, at), kind, name))
     syms, open_ = [], []
     for a, b, kind, name in spans:
         open_ = [o for o in open_ if o[1] >= b and o[0] < a]
@@ -106,14 +212,17 @@ def _braced(text: str, module: str, lang: str) -> tuple[list, list]:
         return syms, []
     refs = [("imports", module, m[1]) for m in re.finditer(IMPORTS[lang], text, re.M)]
     named = {s[1]: s[2] for s in syms}
-    refs += [("inherits", named.get(m[1], module), m[2]) for m in re.finditer(BASES[lang], text)] if lang in BASES else []
-    heads = {s[3] for s in syms}
-    for k, line in enumerate(lines, 1):
-        if k in heads:
-            continue
-        inner = [s for s in syms if s[3] <= k <= s[4]]
-        scope = inner[-1][2] if inner else module
-        refs += [("calls", scope, m[1]) for m in _CALL.finditer(_STRINGS.sub("", line)) if m[1] not in _NO_CALL]
+    named |= {s[1]: s[2] for s in syms if s[0] == "class"}
+    refs += [("inherits", named.get(m[1], module), x) for m in re.finditer(BASES[lang], bare) for x in _bases(m[2], lang)] if lang in BASES else []
+    parts, done = [], 0
+    for a, b in sorted(heads):  # what a definition's own name and parameters look like is no call
+        parts += [bare[done:a], _blank(bare[max(a, done) : b])]
+        done = max(done, b)
+    for k, line in enumerate("".join([*parts, bare[done:]]).split("\n"), 1):
+        calls = [m[1] for m in _CALL.finditer(line) if m[1] not in _NO_CALL]
+        if calls:
+            inner = [s for s in syms if s[3] <= k <= s[4]]
+            refs += [("calls", inner[-1][2] if inner else module, x) for x in calls]
     return syms, refs
 
 

@@ -139,6 +139,46 @@ def test_extraction():
     assert extraction.extract(None, b"x", "x.md") == (False, [], [])
 
 
+def test_extraction_of_every_form_of_a_definition():
+    samples = {
+        "java": (
+            "class Box<T extends Item> extends Base<T> implements Shape, a.b.Solid {\n    Box(int x) {\n        super(x);\n    }\n    public Box() { this(make()); }\n    int size() { return count(); }\n    abstract List<String> names(int a, int b) throws IOException;\n    // int gone() { lost(); }\n    void run() {\n        return go(1);\n    }\n}\ninterface Shape {\n    int area();\n}\nenum Op implements Shape {\n    PLUS(1) {\n    };\n}\n",
+            {("class", "Box", 1, 12), ("method", "Box", 2, 4), ("method", "Box", 5, 5), ("method", "size", 6, 6), ("method", "names", 7, 7), ("method", "run", 9, 11), ("class", "Shape", 13, 15), ("method", "area", 14, 14), ("class", "Op", 16, 19)},
+            {("inherits", "d.x.Box", "Base"), ("inherits", "d.x.Box", "Shape"), ("inherits", "d.x.Box", "a.b.Solid"), ("inherits", "d.x.Op", "Shape"), ("calls", "d.x.Box.Box", "make"), ("calls", "d.x.Box.size", "count"), ("calls", "d.x.Box.run", "go")},
+            {"lost", "area", "names", "size"},
+        ),
+        "typescript": (
+            "export type Id = string | number\ntype Both<T> =\n  | A\n  | T;\nclass B extends A implements I, J<string> {\n  go(x: number): number { return run(x); }\n}\nconst h = (x) => twice(x)\nfunction f() { return g(); }\n",
+            {("class", "Id", 1, 1), ("class", "Both", 2, 4), ("class", "B", 5, 7), ("method", "go", 6, 6), ("function", "h", 8, 8), ("function", "f", 9, 9)},
+            {("inherits", "d.x.B", "A"), ("inherits", "d.x.B", "I"), ("inherits", "d.x.B", "J"), ("calls", "d.x.B.go", "run"), ("calls", "d.x.h", "twice"), ("calls", "d.x.f", "g")},
+            {"go", "f"},
+        ),
+        "go": (
+            "package m\n\ntype Id int\ntype (\n\tHandler func(x int) error\n\tPair struct {\n\t\ta int\n\t}\n\tOld = Pair\n)\ntype Names []string\n\nfunc F() int { return g() }\n",
+            {("class", "Id", 3, 3), ("class", "Handler", 5, 5), ("class", "Pair", 6, 8), ("class", "Names", 11, 11), ("function", "F", 13, 13)},
+            {("calls", "d.x.F", "g")},
+            {"F"},
+        ),
+        "cpp": (
+            "class B : public A, private ns::C<int> {\n  B(int x) : a(x) {\n  }\n  int go() const { return run(); }\n};\nint B::far(int x) {\n  return near(x);\n}\n",
+            {("class", "B", 1, 5), ("method", "B", 2, 3), ("method", "go", 4, 4), ("function", "far", 6, 8)},
+            {("inherits", "d.x.B", "A"), ("inherits", "d.x.B", "ns::C"), ("calls", "d.x.B.go", "run"), ("calls", "d.x.far", "near")},
+            {"far", "go"},
+        ),
+        "rust": ("fn f<'a>(x: &'a str, y: &'a str) -> u32 { g(x) }\n", {("function", "f", 1, 1)}, {("calls", "d.x.f", "g")}, {"f"}),
+    }
+    samples["javascript"] = (
+        "function f(x) {\n  const a = x.replace(/[{(\\[`]/g, '');\n  return `{ ${g(`${h(x)}`)}\n  }} lost(`;\n}\nclass C {\n  m(a = k()) { return n() / 2; }\n}\n",
+        {("function", "f", 1, 5), ("class", "C", 6, 8), ("method", "m", 7, 7)},
+        {("calls", "d.x.f", "x.replace"), ("calls", "d.x.f", "g"), ("calls", "d.x.f", "h"), ("calls", "d.x.C.m", "n")},
+        {"lost", "f", "m"},
+    )
+    for language, (code, symbols, wanted, no_calls) in samples.items():
+        bad, syms, refs = extraction.extract(language, code.encode(), "d/x.z")
+        assert not bad and {(s[0], s[1], s[3], s[4]) for s in syms} == symbols, language
+        assert wanted <= set(refs) and not {r[2] for r in refs if r[0] == "calls"} & no_calls, (language, refs)
+
+
 def test_streams(spark, tmp_path):
     src, root = tmp_path / "in", tmp_path / "run"
     spark.createDataFrame([scan("a.py", "1", 1), scan("b.py", "1", 1)], SCAN).coalesce(1).write.parquet(str(src / "scans.parquet"))
