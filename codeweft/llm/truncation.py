@@ -194,7 +194,7 @@ def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
     """fold, label, features: each intact document as it is (0) and with its end cut off (1).
 
     Documents away from every limit and without a note count as intact; at most ``sample``
-    of them, in order of a hash of the text.  The cut is inside a word, sentence or line,
+    distinct texts of them, in order of a hash, each once however many copies it has.  The cut is inside a word, sentence or line,
     half of the cuts at a limit of the source, a third with a mark in place of the rest.
     A prose text up to the end of one of its sentences, but without the stop, is intact,
     unless its length is a limit; with the stop it is intact there, too.
@@ -224,7 +224,10 @@ def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
             out.append(rows)
         return pd.Series(out)
 
-    intact = described.filter(~F.col("__at") & (F.length("__text") >= 12)).orderBy("__hash").limit(sample)
+    intact = described.filter(~F.col("__at") & (F.length("__text") >= 12))
+    # One row per text before the limit, else the copies of one text could fill the sample; of its sources the smallest.
+    one = F.min(F.struct("__source", "__code", "__known", "__limits", "__text")).alias("one")
+    intact = intact.groupBy("__hash", "__fold").agg(one).orderBy("__hash").limit(sample).select("__fold", "one.*")
     rows = intact.select("__fold", F.explode(examples("__text", "__code", "__limits", "__known")).alias("e")).select("__fold", "e.label", "e.terms")
     return HashingTF(numFeatures=width, inputCol="terms", outputCol="features", binary=True).transform(rows).select("__fold", "label", "features")
 

@@ -1,6 +1,6 @@
 import random
 
-from codeweft.llm.truncation import cut_rates, features, last_word, length_limits, scored, stripped
+from codeweft.llm.truncation import _described, _examples, cut_rates, features, last_word, length_limits, scored, stripped, vocabulary_of
 
 SUBJECTS = "The parser|A worker|This index|Every query|The old cache".split("|")
 VERBS = "reads the manifest|drops a row|keeps the lock|returns nothing|walks the whole graph".split("|")
@@ -35,6 +35,18 @@ def test_held_out_accuracy(spark):
     assert rates["a"] > 0.3 > rates["b"]
 
 
+def test_copies_of_a_text_take_one_place_of_the_sample(spark):
+    df = spark.createDataFrame(corpus(n=300)[0], "doc_id long, text string, source string, lang string, score int")
+    limits, words = length_limits(df), vocabulary_of(df)
+    base = _described(df, limits, words, "doc_id", "text", "source", "lang")
+    hot = base.filter("NOT __at").orderBy("__hash").select("__text").first()[0]
+    copies = spark.createDataFrame([(10_000 + k, hot, "b", "en", 1) for k in range(400)], df.schema)
+    more = _described(df.unionByName(copies), limits, words, "doc_id", "text", "source", "lang")
+    count = lambda d: {(r["__fold"], r["label"]): r["count"] for r in _examples(d, 100, 64).groupBy("__fold", "label").count().collect()}
+    got = count(more)
+    assert got == count(base) and len(got) == 4
+
+
 def test_marks_are_taken_off():
     assert stripped("ab [truncated]") == ("ab", "note") and stripped("ab...") == ("ab", "dots") and stripped("ab… (output clipped, 5 chars left out)")[0] == "ab"
     assert stripped("a [b]") == ("a [b]", "none") and last_word("some wor...") == "wor" and last_word("end.") == ""
