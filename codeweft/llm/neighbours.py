@@ -123,8 +123,8 @@ def nearest(vectors: DataFrame, key: str = "node_id", vec: str = "vec", k: int =
     is dropped.
 
     Repeated rows count once.  Of more than k+1 nodes with the same vector, the k+1 smallest
-    ids take part and give the others their neighbours: equal values go to smaller ids, so
-    no other could come out.  Unusable vectors take no part; nodes without any neighbour
+    ids take part and give the others their neighbours: themselves and what they have found,
+    as a multiple of the vector is as near and may have smaller ids.  Unusable vectors take no part; nodes without any neighbour
     have no row.  Empty input: empty result.  Other columns are never read.
     """
     rows = usable(vectors, key, vec, dim).select("node", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
@@ -140,7 +140,8 @@ def nearest(vectors: DataFrame, key: str = "node_id", vec: str = "vec", k: int =
         inside = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("node")).alias("ids"))
         others = crowd.select("h1", "h2", "node").distinct().join(first, ["h1", "h2", "node"], "left_anti").join(inside, ["h1", "h2"]).join(lists, ["h1", "h2"], "left")
         own = F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("d"), i.alias("id")))
-        others = others.select("node", F.slice(own, 1, k).alias("near"))
+        both = F.concat(own, F.coalesce("near", F.expr("CAST(array() AS array<struct<d:double,id:bigint>>)")))
+        others = others.select("node", F.slice(F.array_sort(F.array_distinct(both)), 1, k).alias("near"))
         return near.unionByName(others)
     return _nearest(rows.select("node", "vec"), n, k, dim)
 

@@ -61,6 +61,17 @@ def test_many_nodes_with_one_vector(spark):
     assert got == brute(ids, x)
 
 
+def test_two_large_groups_that_are_multiples_of_each_other(spark):
+    rng = np.random.default_rng(11)
+    v, rest = rng.standard_normal(64).astype(np.float32).astype(np.float64), clustered(rng, 20)
+    ids = np.concatenate([np.arange(100, 112), np.arange(1, 10), np.arange(50, 70)])
+    x = np.concatenate([np.tile(v, (12, 1)), np.tile(2 * v, (9, 1)), rest])
+    near = nb.nearest(frame(spark, ids, x))
+    assert {tuple(r) for r in nb.neighbour_pairs(near).collect()} == brute(ids, x)
+    got = {r["node"]: [n["id"] for n in r["near"]] for r in near.collect()}
+    assert got[111] == [1, 2, 3, 4, 5] and got[9] == [1, 2, 3, 4, 5]
+
+
 def test_empty_and_lonely(spark):
     df = frame(spark, [1], np.ones((1, 64)))
     assert nb.nearest(df).count() == 0 and nb.nearest(df.limit(0)).count() == 0
