@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeweft.session import checkpoint_root
+from codeweft.session import shared_folder, written
 
-#: Documents the classifier is fitted on at most, and the width of its hashed features.
-SAMPLE, WIDTH = 20_000, 1 << 18
+#: Distinct texts the classifier is fitted on at most, the width of its hashed features, and
+#: the examples that a feature must be in to get a coefficient.
+SAMPLE, WIDTH, LEAST = 20_000, 1 << 18, 3
+#: Parts that the rows of one last word are spread over, and tasks that a step of the fitting takes.
+SALTS, FITTING = 32, 4
 
 #: A limit or a broken transfer leaves more characters than this.
 SHORTEST = 40
@@ -29,6 +33,7 @@ MARKS = ("...", "…", " ...", " [truncated]", "...(cut)", " <snip>", "\n[output
 _WORD = re.compile(r"[^\W\d_]+|\d+|\S")
 _STOP = re.compile(r"(?<=[\w`)\]])(?:[.!](?=\s|\Z)|(?=\n))")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LAST = re.compile(r"[^\W\d_]+\Z")
 
 
 def stripped(text: str) -> tuple[str, str]:
@@ -44,50 +49,82 @@ def _kind(c: str) -> str:
     return "a" if c.isalpha() else "0" if c.isdigit() else "_" if c in " \t" else c
 
 
+def _word_at_end(u: str) -> str:
+    m = _LAST.search(u[-80:])
+    return m[0].lower() if m else ""
+
+
 def last_word(text: str) -> str:
     """The letters the text breaks off in, lower case; "" if it ends in something else."""
-    u = stripped(text)[0]
-    m = re.search(r"[^\W\d_]+\Z", u[-80:])
-    return m[0].lower() if m else ""
+    return _word_at_end(stripped(text)[0])
 
 
-def features(text: str, code: bool, at_limit: bool, known: bool) -> list[str]:
-    """Hashed features: closing characters and words, punctuation still open, distance to a length limit."""
+def closing(text: str, code: bool) -> tuple[list[str], list[str], str, str]:
+    """The terms of a text's end, those that wait for what is known of the whole corpus, its stripped text and last word.
+
+    Closing characters and words, punctuation still open.  The waiting terms: three if the
+    length is at a limit, three if it isn't, one if the last word is known, one if it isn't.
+    """
     u, mark = stripped(text)
     body = u.rstrip()
-    line = body.rpartition("\n")[2]
+    line = body[body.rfind("\n") + 1 :]
     words = [w.lower() if w.isalpha() else "0" if w.isdigit() else w for w in _WORD.findall(line[-160:])][-6:]
     w = ["^"] * (6 - len(words)) + words
     tail = u[len(body) :]
     space = "n" if "\n" in tail else "s" if tail else ""
     c = "code" if code else "text"
+    kind = _kind(body[-1:] or " ")
     out = [
-        f"{c} end {''.join(map(_kind, body[-1:]))}{space}",
+        f"{c} end {_kind(body[-1:])}{space}" if body else f"{c} end {space}",
         f"{c} end2 {''.join(map(_kind, body[-2:]))}{space}",
         f"{c} space {space}",
         f"mark {mark}",
-        f"limit {at_limit}",
-        f"limit {at_limit} {_kind(body[-1:] or ' ')}",
-        f"limit {at_limit} {c} {mark} {space}",
-        f"{c} known {known} {_kind(body[-1:] or ' ')} {space}",
         f"ticks {body.count('`') % 2}",
         f"fence {body.count('```') % 2}",
         f"{c} round {line.count('(') > line.count(')')} square {line.count('[') > line.count(']')}",
         f"{c} quotes {line.count(chr(34)) % 2}",
-        f"{c} braces {(body.count('{') > body.count('}')) - (body.count('{') < body.count('}'))}",
-        f"{c} words {min(len(words), 6)} {'n' if '\n' in body else ''}",
+        f"{c} braces {((n := body.count('{')) > (m := body.count('}'))) - (n < m)}",
+        f"{c} words {len(words)} {'n' if len(line) < len(body) else ''}",
         f"{c} line {w[0] if len(words) == 6 else words[0] if words else ''} {line[:2]}",
         f"{c} size {min(len(body) // 20, 10)}",
         f"{c} indent {line[:1].isspace()} {space}",
     ]
     if not code:
         out += [f"w1 {w[5]}", f"w2 {w[4]} {w[5]}", f"w3 {w[3]} {w[4]} {w[5]}", f"s2 {w[3]} {w[4]}", f"s3 {w[2]} {w[3]} {w[4]}", f"s4 {w[1]} {w[2]} {w[3]}", f"p1 {w[4]}"]
-        out += [f"x{mark} {w[4]} {w[5]}"]
+        out.append(f"x{mark} {w[4]} {w[5]}")
     else:
         out += [f"c1 {w[5]}", f"c2 {w[4]} {w[5]}"]
+    late = [x for at in (True, False) for x in (f"limit {at}", f"limit {at} {kind}", f"limit {at} {c} {mark} {space}")]
+    late += [f"{c} known {known} {kind} {space}" for known in (True, False)]
+    return out, late, u, _word_at_end(u)
+
+
+def _chosen(late: list, at_limit: bool, known: bool) -> list:
+    return late[:3] * at_limit + late[3:6] * (not at_limit) + [late[6 if known else 7]]
+
+
+_HASHED: dict[str, int] = {}
+
+
+def hashed(terms: list[str], width: int) -> list[int]:
+    """The bucket of each term; frequent ones are remembered, in each worker 200,000 at most."""
+    if len(_HASHED) > 200_000:
+        _HASHED.clear()
+    out = []
+    for t in terms:
+        h = _HASHED.get(t)
+        if h is None:
+            h = _HASHED[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+        out.append(h % width)
     return out
 
 
+def features(text: str, code: bool, at_limit: bool, known: bool) -> list[str]:
+    """All terms of a text whose length and last word have been looked up."""
+    terms, late, _, _ = closing(text, code)
+    return terms + _chosen(late, at_limit, known)
+
+
 def _cut(text: str, limits: list[int], seed: int) -> tuple[str, bool] | None:
     """An intact text with its end taken away inside a word, sentence or line; and whether at a limit."""
     fit = [n for n in limits if 20 < n < len(text) - 1]
@@ -115,25 +152,41 @@ def _ended(text: str, seed: int) -> str | None:
     return text[: ends[seed % len(ends)]] if ends else None
 
 
-def length_limits(documents: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """source, limit, n_rows: lengths at which a source has far more texts than around them.
+def described(documents: DataFrame, key: str, text: str, source: str, lang: str, width: int = WIDTH) -> DataFrame:
+    """What later steps need of each document with a text that isn't blank; the texts stay where they are read.
 
-    Counted over all documents, without what was put in place of a lost end.  The result
-    has a few rows per source, however many documents there are.
+    __key, __source, __code (no language), __hash of the text, __fold, __size (characters),
+    __n and __bytes (without what stands for a lost end), __word (the last), __terms and
+    __late (buckets of hashed terms, see ``closing``).
     """
+    rows = documents.select(F.col(key).alias("__key"), F.coalesce(F.col(source), F.lit("")).alias("__source"), F.col(lang).isNull().alias("__code"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+    rows = rows.filter(F.col("__text").isNotNull() & F.col("__text").rlike(r"(?U)\S"))
+    ints = pa.list_(pa.int32())
 
-    @F.pandas_udf("int")
-    def stripped_length(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: len(stripped(x)[0]))
-
-    counts = (
-        documents.filter(F.col(text).isNotNull())
-        .select(F.coalesce(F.col(source), F.lit("")).alias("source"), stripped_length(F.col(text)).alias("n"), F.xxhash64(text).alias("__hash"))
-        .filter("n >= 40")
-        .distinct()  # copies of one text make no limit
-        .groupBy("source", "n")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, code in zip(b.column(4), b.column(2).to_pylist()):
+                t = t.as_py()
+                terms, late, u, word = closing(t, code)
+                out.append((len(t), len(u), len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass")), word, hashed(terms, width), hashed(late, width)))
+            cols = zip(*out) if out else ([],) * 6
+            more = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.string(), ints, ints))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], [*b.schema.names[:4], "__size", "__n", "__bytes", "__word", "__terms", "__late"])
+
+    kind = rows.schema["__key"].dataType.simpleString()
+    facts = rows.mapInArrow(run, f"__key {kind}, __source string, __code boolean, __hash long, __size int, __n int, __bytes int, __word string, __terms array<int>, __late array<int>")
+    return facts.withColumn("__fold", F.pmod("__hash", F.lit(2)).cast("int"))
+
+
+def length_limits(facts: DataFrame) -> DataFrame:
+    """source, limit, n_rows: lengths at which a source has far more texts than around them.
+
+    Counted over all documents (see ``described``), without what was put in place of a lost
+    end; copies of one text make no limit.  The result has a few rows per source, however
+    many documents there are.
+    """
+    counts = facts.filter("__n >= 40").select(F.col("__source").alias("source"), F.col("__n").alias("n"), "__hash").distinct().groupBy("source", "n").agg(F.count(F.lit(1)).alias("n_rows"))
     around = Window.partitionBy("source").orderBy("n").rangeBetween(-12, 12)
     near = counts.withColumn("__near", F.sum("n_rows").over(around) - F.col("n_rows")).withColumn("__top", F.max("n_rows").over(around))
     total = Window.partitionBy("source")
@@ -144,117 +197,142 @@ def length_limits(documents: DataFrame, text: str = "text", source: str = "sourc
     )
 
 
-def _facts(documents: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
-    """key, text, source, code, hash, fold and ending (last word, length) of each document with a text that isn't blank."""
-
-    @F.pandas_udf("word string, n int, n_bytes int")
-    def ending(t: pd.Series) -> pd.DataFrame:
-        whole = t.map(lambda x: stripped(x)[0])
-        return pd.DataFrame({"word": t.map(last_word), "n": whole.map(len), "n_bytes": whole.map(lambda x: len(x.encode("utf-8", "surrogatepass")))})
-
-    rows = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.coalesce(F.col(source), F.lit("")).alias("__source"), F.col(lang).isNull().alias("__code"))
-    rows = rows.filter(F.col("__text").isNotNull() & F.col("__text").rlike(r"(?U)\S"))
-    return rows.withColumn("__hash", F.xxhash64("__text")).withColumn("__fold", F.pmod("__hash", F.lit(2))).withColumn("__e", ending("__text"))
-
-
 def vocabulary_of(documents: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
     """word, n: the words inside texts, each text without its last one, in lower case, seen ``least`` times or more.
 
     Counted over all documents; each task sends a word once per batch, not once per occurrence.
     """
 
-    def count(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter = Counter()
             for t in b.column(0):
-                words = _LETTERS.findall(t.as_py())
-                n.update(x.lower() for x in words[:-1])
+                words = _LETTERS.findall(t.as_py().lower())
+                n.update(words)
+                if words:
+                    n[words[-1]] -= 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
 
     rows = documents.select(text).filter(F.col(text).isNotNull())
     return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def _described(documents: DataFrame, limits: DataFrame, words: DataFrame, key: str, text: str, source: str, lang: str) -> DataFrame:
-    """The facts with the limits of the source, whether the length is at one, and whether the last word is known."""
+def looked_up(facts: DataFrame, limits: DataFrame, words: DataFrame) -> DataFrame:
+    """The facts with the limits of the source, __at (the length is at one), __known (the last word is) and all terms.
+
+    Only documents that end in a word are joined with the words, by word and a salt, so
+    neither those that end in a full stop nor a hot word meet in one task.
+    """
     per_source = limits.groupBy(F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("limit")).alias("__limits"))
-    facts = _facts(documents, key, text, source, lang).join(F.broadcast(per_source), "__source", "left")  # a row per source
-    known = words.select(F.col("word").alias("__word"), F.lit(True).alias("__known"))
-    facts = facts.withColumn("__word", F.col("__e.word")).join(known, "__word", "left")
     # A limit counts characters or bytes; blanks or half a character at the cut may be gone.
-    near = F.exists("__limits", lambda m: F.col("__e.n").between(m - 1, m) | F.col("__e.n_bytes").between(m - 3, m))
-    return facts.withColumn("__at", F.coalesce(near, F.lit(False))).withColumn("__known", F.col("__known").isNotNull() | (F.col("__word") == ""))
+    near = F.exists("__limits", lambda m: F.col("__n").between(m - 1, m) | F.col("__bytes").between(m - 3, m))
+    facts = facts.join(F.broadcast(per_source), "__source", "left").withColumn("__at", F.coalesce(near, F.lit(False)))  # a row per source
+    asked = facts.filter("__word <> ''").select(F.col("__word").alias("word")).distinct()
+    known = asked.join(words.select("word"), "word", "left_semi").select(F.col("word").alias("__word"), F.lit(True).alias("__known"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    ending = facts.filter("__word <> ''").withColumn("__salt", F.pmod(F.xxhash64("__key", "__hash"), F.lit(SALTS)).cast("int"))
+    ending = ending.join(known, ["__word", "__salt"], "left").withColumn("__known", F.col("__known").isNotNull()).drop("__salt")
+    rows = ending.unionByName(facts.filter("__word = ''").withColumn("__known", F.lit(True)))
+    late = F.concat(F.when(F.col("__at"), F.slice("__late", 1, 3)).otherwise(F.slice("__late", 4, 3)), F.when(F.col("__known"), F.slice("__late", 7, 1)).otherwise(F.slice("__late", 8, 1)))
+    return rows.withColumn("__terms", F.concat("__terms", late)).drop("__late")
+
+
+def _shown(t: str, code: bool, limits: list[int] | None, known: bool, width: int) -> Iterator[tuple[float, list[int]]]:
+    """Label and hashed terms of the examples made of one text."""
+
+    def terms(x: str, at: bool, ok: bool | None = None) -> list[int]:
+        """Terms of a text; whether its last word is known is looked up among its own words where it isn't given."""
+        early, late, _, word = closing(x, code)
+        ok = (not word or word in words()) if ok is None else ok
+        return hashed(early + _chosen(late, at, ok), width)
+
+    inside: list[set] = []
+
+    def words() -> set:
+        if not inside:
+            inside.append(set(_LETTERS.findall(t.lower())))
+        return inside[0]
+
+    seed = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+    early, late, _, _ = closing(t, code)
+    yield 0.0, hashed(early + _chosen(late, False, known), width)
+    if seed % 2 and t.rstrip()[-1:] in ".!?}`)":
+        yield 0.0, hashed(early + _chosen(late, True, known), width)
+    for k in (0, 1):
+        if cut := _cut(t, limits or [], seed + 12345 * k):
+            yield 1.0, terms(cut[0], cut[1])
+        if not code and (whole := _ended(t, seed // 5 + 777 * k)):
+            yield 0.0, terms(whole, False)
+            if limits is not None:  # right at a limit, the missing stop was cut off
+                yield 1.0, terms(whole, True)
+                yield 0.0, terms(whole + ".", True, True)
+
+
+def examples(facts: DataFrame, documents: DataFrame, key: str, text: str, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
+    """fold, label, terms: each intact document as it is (0) and with its end cut off (1).
+
+    Documents away from every limit count as intact; at most ``sample`` distinct texts of
+    them, in order of a hash, each once however many copies it has.  The cut is inside a
+    word, sentence or line, half of the cuts at a limit of the source, a third with a mark
+    in place of the rest.  A prose text up to the end of one of its sentences, but without
+    the stop, is intact, unless its length is a limit; with the stop it is intact there,
+    too.  Half of the texts with a closing mark are shown as if their length were a limit.
+
+    The sample is chosen by hash and key alone (at most ``sample`` small rows, so they are
+    broadcast), and its texts are then read where they lie, in as many tasks as hold them.
+    """
+    intact = facts.filter(~F.col("__at") & (F.col("__size") >= 12))
+    one = intact.groupBy("__hash").agg(F.min(F.struct("__key", "__source", "__code", "__known", "__limits")).alias("one")).orderBy("__hash").limit(sample)
+    one = one.select("__hash", "one.*")
+    texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull()).withColumn("__hash", F.xxhash64("__text"))
+    chosen = texts.join(F.broadcast(one), ["__key", "__hash"]).select("__hash", "__code", "__known", "__limits", "__text").dropDuplicates(["__hash"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold, label, terms = [], [], []
+            for h, code, known, limits, t in zip(*(c.to_pylist() for c in b.columns)):
+                for y, x in _shown(t, code, limits, known, width):
+                    fold.append(h % 2)
+                    label.append(y)
+                    terms.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(label, pa.float64()), pa.array(terms, pa.list_(pa.int32()))], ["fold", "label", "terms"])
 
-def _examples(described: DataFrame, sample: int, width: int) -> DataFrame:
-    """fold, label, features: each intact document as it is (0) and with its end cut off (1).
+    return chosen.mapInArrow(run, "fold int, label double, terms array<int>")
 
-    Documents away from every limit and without a note count as intact; at most ``sample``
-    distinct texts of them, in order of a hash, each once however many copies it has.  The cut is inside a word, sentence or line,
-    half of the cuts at a limit of the source, a third with a mark in place of the rest.
-    A prose text up to the end of one of its sentences, but without the stop, is intact,
-    unless its length is a limit; with the stop it is intact there, too.
-    Half of the texts with a closing mark are shown as if their length were a limit, too.
-    """
 
-    @F.pandas_udf("array<struct<label:double,terms:array<string>>>")
-    def examples(text: pd.Series, code: pd.Series, limits: pd.Series, known: pd.Series) -> pd.Series:
-        out = []
-        for t, c, m, ok in zip(text, code, limits, known):
-            seed = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-            rows = [{"label": 0.0, "terms": features(t, c, False, ok)}]
-            if seed % 2 and t.rstrip()[-1:] in ".!?}`)":
-                rows.append({"label": 0.0, "terms": features(t, c, True, ok)})
-            words = set(_LETTERS.findall(t.lower()))
-            for k in (0, 1):
-                if cut := _cut(t, [] if m is None else list(m), seed + 12345 * k):
-                    lw = last_word(cut[0])
-                    rows.append({"label": 1.0, "terms": features(cut[0], c, cut[1], not lw or lw in words)})
-                if not c and (whole := _ended(t, seed // 5 + 777 * k)):
-                    lw = last_word(whole)
-                    ok2 = not lw or lw in words
-                    rows.append({"label": 0.0, "terms": features(whole, c, False, ok2)})
-                    if m is not None:  # right at a limit, the missing stop was cut off
-                        rows.append({"label": 1.0, "terms": features(whole, c, True, ok2)})
-                        rows.append({"label": 0.0, "terms": features(whole + ".", c, True, True)})
-            out.append(rows)
-        return pd.Series(out)
-
-    intact = described.filter(~F.col("__at") & (F.length("__text") >= 12))
-    # One row per text before the limit, else the copies of one text could fill the sample; of its sources the smallest.
-    one = F.min(F.struct("__source", "__code", "__known", "__limits", "__text")).alias("one")
-    intact = intact.groupBy("__hash", "__fold").agg(one).orderBy("__hash").limit(sample).select("__fold", "one.*")
-    rows = intact.select("__fold", F.explode(examples("__text", "__code", "__limits", "__known")).alias("e")).select("__fold", "e.label", "e.terms")
-    return HashingTF(numFeatures=width, inputCol="terms", outputCol="features", binary=True).transform(rows).select("__fold", "label", "features")
-
-
-def _stored(model: LogisticRegressionModel) -> LogisticRegressionModel:
-    """The model, written to the shared folder and read again: what its training keeps alive can't be sent to tasks."""
-    path = f"{checkpoint_root(SparkSession.active())}/model-{uuid.uuid4().hex}"
-    model.write().save(path)
-    return LogisticRegressionModel.load(path)
-
-
-def fit(described: DataFrame, sample: int = SAMPLE, width: int = WIDTH, reg: float = 3e-4) -> list[LogisticRegressionModel]:
-    """Two logistic regressions over hashed features, each for the half of the texts it wasn't fitted on.
-
-    Some texts that count as intact have lost their end too.  A model would learn those by
+def fit(rows: DataFrame, root: str, reg: float = 3e-4) -> tuple[CountVectorizerModel, list[LogisticRegressionModel]] | None:
+    """The hashed features that get a coefficient, and two logistic regressions, each for the half of the texts it wasn't fitted on.
+
+    rows: fold, label, terms.  Features in fewer than LEAST examples are left out.  Some
+    texts that count as intact have lost their end too.  A model would learn those by
     heart, so each half is judged by the model of the other half, negatives that look cut
-    are taken out, and both models are fitted again.
+    are taken out, and both models are fitted again.  Where one half lacks examples of
+    either kind, one model of all rows serves both; None where all rows do.
     """
-    rows = _examples(described, sample, width).cache()
-    learn = LogisticRegression(maxIter=30, regParam=reg)
+    seen = rows.groupBy("fold", "label").count().collect()  # four rows at most
+    labels = [{r["label"] for r in seen if r["fold"] != k} for k in (0, 1)]
+    if len(labels[0] | labels[1]) < 2:
+        return None
+    buckets = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST).select(F.col("t").cast("string")).orderBy("t")
+    vocabulary = [r["t"] for r in buckets.collect()] or ["0"]  # WIDTH at most
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features", binary=True)
+    ready = vectors.transform(rows.withColumn("words", F.col("terms").cast("array<string>"))).select("fold", "label", "features")
+    ready = ready.coalesce(FITTING).cache()  # a bounded sample of short vectors: more tasks would only add to the steps
+    learn = LogisticRegression(maxIter=30, regParam=reg, tol=1e-4)
+
+    def stored(model: LogisticRegressionModel, name: str) -> LogisticRegressionModel:
+        """The model, written to the shared folder and read again: what its training keeps alive can't be sent to tasks."""
+        model.write().overwrite().save(f"{root}/{name}")
+        return LogisticRegressionModel.load(f"{root}/{name}")
+
     try:
-        models = [_stored(learn.fit(rows.filter(F.col("__fold") != k))) for k in (0, 1)]
-        judged = [models[k].transform(rows.filter(F.col("__fold") == k)) for k in (0, 1)]
+        if min(map(len, labels)) < 2:
+            return vectors, [stored(learn.fit(ready), "model")] * 2
+        first = [stored(learn.copy({learn.maxIter: 12}).fit(ready.filter(F.col("fold") != k)), f"first-{k}") for k in (0, 1)]
+        judged = [first[k].transform(ready.filter(F.col("fold") == k)) for k in (0, 1)]
         clean = [j.filter((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("label", "features") for j in judged]
-        return [_stored(learn.fit(clean[1 - k])) for k in (0, 1)]
+        return vectors, [stored(learn.fit(clean[1 - k]), f"model-{k}") for k in (0, 1)]
     finally:
-        rows.unpersist()
+        ready.unpersist()
 
 
 def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
@@ -262,26 +340,24 @@ def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", source
 
     ``score`` is the probability that the end was lost; 0.5 and more counts as cut.  Limits
     and known words come from all documents, the classifier from artificial cuts (see fit).
-    Equal texts of one source have equal scores.  A null source is a source of its own, a
-    null language means code.  Empty input, or nothing to fit on: an empty result.
+    Texts are read three times: for what is hashed of them, for their words, and those of
+    the sample for the examples; all else works on the hashed facts, a table in the shared
+    folder.  Equal texts of one source have equal scores.  A null source is a source of its
+    own, a null language means code.  Empty input, or nothing to fit on: an empty result.
     """
-    limits, words = length_limits(documents, text, source), vocabulary_of(documents, text)
-    described = _described(documents, limits, words, key, text, source, lang)
-    schema = documents.select(F.col(key).alias(key), F.col(source).alias("source")).schema
-    if described.limit(1).isEmpty():
-        return described.sparkSession.createDataFrame([], schema).withColumns({"score": F.lit(0.0), "at_limit": F.lit(False)})
-    models = fit(described, sample, width)
-
-    @F.pandas_udf("array<string>")
-    def terms(t: pd.Series, code: pd.Series, at: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([features(*x) for x in zip(t, code, at, known)])
-
-    rows = described.select("__fold", F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__at").alias("at_limit"), terms("__text", "__code", "__at", "__known").alias("terms"))
-    hashed = HashingTF(numFeatures=width, inputCol="terms", outputCol="features", binary=True).transform(rows)
+    root = shared_folder(documents.sparkSession, "truncation")
+    facts = written(described(documents, key, text, source, lang, width), f"{root}/facts")
+    rows = written(looked_up(facts, length_limits(facts), vocabulary_of(documents, text)), f"{root}/rows")
+    fitted = fit(written(examples(rows, documents, key, text, sample, width), f"{root}/examples"), root)
+    rows = rows.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__at").alias("at_limit"), "__fold", F.col("__terms").cast("array<string>").alias("words"))
+    if fitted is None:
+        return rows.filter("false").select(key, "source", F.lit(0.0).alias("score"), "at_limit")
+    vectors, models = fitted
+    rows = vectors.transform(rows)
     for k in (0, 1):
-        hashed = models[k].setProbabilityCol(f"__p{k}").setRawPredictionCol(f"__r{k}").setPredictionCol(f"__c{k}").transform(hashed)
+        rows = models[k].copy().setProbabilityCol(f"__p{k}").setRawPredictionCol("").setPredictionCol("").transform(rows)
     score = F.when(F.col("__fold") == 0, vector_to_array("__p0")[1]).otherwise(vector_to_array("__p1")[1])
-    return hashed.select(key, "source", score.alias("score"), "at_limit")
+    return rows.select(key, "source", score.alias("score"), "at_limit")
 
 
 def cut_rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

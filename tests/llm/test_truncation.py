@@ -1,6 +1,6 @@
 import random
 
-from codeweft.llm.truncation import _described, _examples, cut_rates, features, last_word, length_limits, scored, stripped, vocabulary_of
+from codeweft.llm.truncation import cut_rates, described, examples, features, last_word, length_limits, looked_up, scored, stripped, vocabulary_of
 
 SUBJECTS = "The parser|A worker|This index|Every query|The old cache".split("|")
 VERBS = "reads the manifest|drops a row|keeps the lock|returns nothing|walks the whole graph".split("|")
@@ -25,7 +25,7 @@ def corpus(seed=1, n=900):
 def test_held_out_accuracy(spark):
     rows, cut = corpus()
     df = spark.createDataFrame(rows + [(9001, None, "a", "en", 1), (9002, "", "a", "en", 1), (9003, " \n", "b", "en", 1)], "doc_id long, text string, source string, lang string, score int")
-    limits = {(r["source"], r["limit"]) for r in length_limits(df).collect()}
+    limits = {(r["source"], r["limit"]) for r in length_limits(described(df, "doc_id", "text", "source", "lang")).collect()}
     assert ("a", 200) in limits and len(limits) < 4
     s = scored(df)
     got = {r["doc_id"] for r in s.filter("score >= 0.5").collect()}
@@ -37,14 +37,28 @@ def test_held_out_accuracy(spark):
 
 def test_copies_of_a_text_take_one_place_of_the_sample(spark):
     df = spark.createDataFrame(corpus(n=300)[0], "doc_id long, text string, source string, lang string, score int")
-    limits, words = length_limits(df), vocabulary_of(df)
-    base = _described(df, limits, words, "doc_id", "text", "source", "lang")
-    hot = base.filter("NOT __at").orderBy("__hash").select("__text").first()[0]
-    copies = spark.createDataFrame([(10_000 + k, hot, "b", "en", 1) for k in range(400)], df.schema)
-    more = _described(df.unionByName(copies), limits, words, "doc_id", "text", "source", "lang")
-    count = lambda d: {(r["__fold"], r["label"]): r["count"] for r in _examples(d, 100, 64).groupBy("__fold", "label").count().collect()}
-    got = count(more)
-    assert got == count(base) and len(got) == 4
+    facts = lambda d: looked_up(described(d, "doc_id", "text", "source", "lang"), limits, words)
+    limits, words = length_limits(described(df, "doc_id", "text", "source", "lang")), vocabulary_of(df)
+    base = facts(df)
+    first = base.filter("NOT __at").orderBy("__hash").first()["__key"]
+    hot = df.filter(f"doc_id = {first}").first()["text"]
+    more = df.unionByName(spark.createDataFrame([(10_000 + k, hot, "b", "en", 1) for k in range(400)], df.schema))
+    count = lambda f, d: {(r["fold"], r["label"]): r["count"] for r in examples(f, d, "doc_id", "text", 100, 64).groupBy("fold", "label").count().collect()}
+    got = count(facts(more), more)
+    assert got == count(base, df) and len(got) == 4
+
+
+def test_the_last_words_that_are_looked_up(spark):
+    rows = [(k, f"one shared ending number {k} alpha", "a", "en", 1) for k in range(50)] + [(90, "it ends with alp", "a", "en", 1), (91, "alpha stands inside, alpha too.", "a", "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, score int")
+    facts = described(df, "doc_id", "text", "source", "lang")
+    got = {r["__key"]: (r["__word"], r["__known"]) for r in looked_up(facts, length_limits(facts), vocabulary_of(df)).collect()}
+    assert len(got) == 52 and got[0] == ("alpha", True) and got[90] == ("alp", False) and got[91] == ("", True)
+
+
+def test_one_text_only(spark):
+    df = spark.createDataFrame([(1, "A single short text without any end", "a", None)], "doc_id long, text string, source string, lang string")
+    assert scored(df).count() in (0, 1)
 
 
 def test_marks_are_taken_off():
