@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm.encoding import round_trips, token_counts, token_ids
-from codeweft.llm.handwritten import file_origins
+from codeweft.llm.handwritten import file_origins, fitted_thresholds
 from codeweft.llm.neighbours import nearest, neighbour_pairs
 from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
@@ -33,6 +33,16 @@ def p2_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _origins(spark, sf_dir).groupBy("lang", "origin").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("n_chars"))
 
 
+def p2_deciding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand, by language and by what told them: a statistic of the layout, copied lines or a notice."""
+    return _origins(spark, sf_dir).filter("origin <> 'written'").groupBy("lang", "origin", "deciding").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p2_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the origins found part by each statistic of the layout, beside the thresholds in use: they should agree."""
+    return fitted_thresholds(_origins(spark, sf_dir)).withColumn("threshold", F.round("threshold", 4))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_files(table(spark, sf_dir, "scans")).select("repo", "path")
 
@@ -82,6 +92,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_origins": p2_origins,
+    "p2_deciding": p2_deciding,
+    "p2_thresholds": p2_thresholds,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
     "p3_rates": p3_rates,
