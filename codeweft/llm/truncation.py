@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +18,7 @@ from codeweft.session import shared_folder, written
 
 #: Distinct texts the classifier is fitted on at most, the width of its hashed features, and
 #: the examples that a feature must be in to get a coefficient.
-SAMPLE, WIDTH, LEAST = 20_000, 1 << 18, 3
+SAMPLE, WIDTH, LEAST = 20_000, 1 << 18, 2
 #: Parts that the rows of one last word are spread over, and tasks that a step of the fitting takes.
 SALTS, FITTING = 32, 4
 
@@ -38,9 +38,10 @@ _LAST = re.compile(r"[^\W\d_]+\Z")
 
 def stripped(text: str) -> tuple[str, str]:
     """A text without what stands for a lost end, and what kind of thing that was."""
-    if m := NOTE.search(text[-200:]):
+    last = text[-200:].rstrip()[-1:]
+    if last and last in "])>" and (m := NOTE.search(text[-200:])):
         return text[: len(text) - 200 + m.start() if len(text) > 200 else m.start()], "note"
-    if m := DOTS.search(text[-20:]):
+    if last and last in ".…" and (m := DOTS.search(text[-20:])):
         return text[: len(text) - 20 + m.start() if len(text) > 20 else m.start()], "dots"
     return text, "none"
 
@@ -103,20 +104,27 @@ def _chosen(late: list, at_limit: bool, known: bool) -> list:
     return late[:3] * at_limit + late[3:6] * (not at_limit) + [late[6 if known else 7]]
 
 
-_HASHED: dict[str, int] = {}
+class _Buckets(dict):
+    """The bucket of each term; those seen are remembered, in each worker 200,000 at most."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % self.width
+        return h
+
+
+_BUCKETS: dict[int, _Buckets] = {}
 
 
 def hashed(terms: list[str], width: int) -> list[int]:
-    """The bucket of each term; frequent ones are remembered, in each worker 200,000 at most."""
-    if len(_HASHED) > 200_000:
-        _HASHED.clear()
-    out = []
-    for t in terms:
-        h = _HASHED.get(t)
-        if h is None:
-            h = _HASHED[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-        out.append(h % width)
-    return out
+    of = _BUCKETS.get(width)
+    if of is None:
+        of = _BUCKETS[width] = _Buckets(width)
+    return [of[t] for t in terms]
 
 
 def features(text: str, code: bool, at_limit: bool, known: bool) -> list[str]:
@@ -198,23 +206,25 @@ def length_limits(facts: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(documents: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
-    """word, n: the words inside texts, each text without its last one, in lower case, seen ``least`` times or more.
+    """word, n: the words inside texts, in lower case, seen ``least`` times or more; a word that nothing follows isn't inside.
 
     Counted over all documents; each task sends a word once per batch, not once per occurrence.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter = Counter()
-            for t in b.column(0):
-                words = _LETTERS.findall(t.as_py().lower())
-                n.update(words)
-                if words:
-                    n[words[-1]] -= 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            if not b.num_rows:
+                continue
+            split = pc.split_pattern_regex(pc.utf8_lower(b.column(0)), r"[^\p{L}]+")
+            words = split.flatten()
+            ends = pc.subtract(split.offsets.slice(1), pa.scalar(1, pa.int32()))  # a split text has one piece at least
+            for found, sign in ((words, 1), (words.take(pc.subtract(ends, split.offsets[0])), -1)):
+                n = found.value_counts()
+                yield pa.RecordBatch.from_arrays([n.field(0).cast(pa.string()), pc.multiply(n.field(1), sign)], ["word", "n"])
 
     rows = documents.select(text).filter(F.col(text).isNotNull())
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts = rows.mapInArrow(count, "word string, n long").filter("word <> ''")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def looked_up(facts: DataFrame, limits: DataFrame, words: DataFrame) -> DataFrame:
@@ -327,7 +337,7 @@ def fit(rows: DataFrame, root: str, reg: float = 3e-4) -> tuple[CountVectorizerM
     try:
         if min(map(len, labels)) < 2:
             return vectors, [stored(learn.fit(ready), "model")] * 2
-        first = [stored(learn.copy({learn.maxIter: 12}).fit(ready.filter(F.col("fold") != k)), f"first-{k}") for k in (0, 1)]
+        first = [stored(learn.copy({learn.maxIter: 15}).fit(ready.filter(F.col("fold") != k)), f"first-{k}") for k in (0, 1)]
         judged = [first[k].transform(ready.filter(F.col("fold") == k)) for k in (0, 1)]
         clean = [j.filter((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("label", "features") for j in judged]
         return vectors, [stored(learn.fit(clean[1 - k]), f"model-{k}") for k in (0, 1)]
