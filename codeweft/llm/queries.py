@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.encoding import round_trips, token_counts, token_ids
 from codeweft.llm.handwritten import file_origins, fitted_thresholds
-from codeweft.llm.neighbours import nearest, neighbour_pairs
+from codeweft.llm.neighbours import nearest, neighbour_pairs, search_work
 from codeweft.llm.packing import fill, pack
 from codeweft.llm.parsing import invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
@@ -59,6 +59,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest(table(spark, sf_dir, "vectors")))
 
 
+def p4_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the pairs that stand in one array are verified."""
+    return search_work(nearest(table(spark, sf_dir, "vectors")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "p3_errors": p3_errors,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
+    "p4_work": p4_work,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_packing": p7_packing,

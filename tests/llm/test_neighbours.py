@@ -81,5 +81,6 @@ def test_windows_double_until_the_neighbours_are_near_enough():
     rng = np.random.default_rng(8)
     x = nb._unit(rng.standard_normal((400, 64)))  # nothing is near: every window has to open
     every = np.ones(400, dtype=bool)
-    q, t, s = nb.search(np.arange(400), x, every, every)
+    q, t, s, asked, verified = nb.search(np.arange(400), x, every, every)
+    assert len(asked) == 400 and verified.min() >= 399
     assert len(q) == 2000 and {(min(a, b), max(a, b)) for a, b in zip(q.tolist(), t.tolist())} == brute(np.arange(400), x)
