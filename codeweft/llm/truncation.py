@@ -6,11 +6,11 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,10 +309,34 @@ def examples(facts: DataFrame, documents: DataFrame, key: str, text: str, sample
     return chosen.mapInArrow(run, "fold int, label double, terms array<int>")
 
 
-def fit(rows: DataFrame, root: str, reg: float = 3e-4) -> tuple[CountVectorizerModel, list[LogisticRegressionModel]] | None:
-    """The hashed features that get a coefficient, and two logistic regressions, each for the half of the texts it wasn't fitted on.
+Weights = list[tuple[np.ndarray, float]]
 
-    rows: fold, label, terms.  Features in fewer than LEAST examples are left out.  Some
+
+def probabilities(rows: DataFrame, weights: Weights, keep: list[str], fold: str, terms: str) -> DataFrame:
+    """The columns to keep and score: the logistic of the summed weights of a row's terms, by the model of its fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, folds = b.column(terms), b.column(fold).to_numpy()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            score = np.empty(b.num_rows)
+            for k, (w, intercept) in enumerate(weights):
+                sums = np.concatenate(([0.0], np.cumsum(w[flat])))
+                margin = sums[at[1:]] - sums[at[:-1]] + intercept
+                score = np.where(folds == k, 1 / (1 + np.exp(-margin)), score)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+
+    wanted = rows.select(*keep, *(c for c in (fold, terms) if c not in keep))
+    fields = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in keep)
+    return wanted.mapInArrow(run, f"{fields}, score double")
+
+
+def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | None:
+    """Two logistic regressions over hashed features, each for the half of the texts it wasn't fitted on: the weight of each bucket, and the intercept.
+
+    rows: fold, label, terms.  Features in fewer than LEAST examples get no weight.  Some
     texts that count as intact have lost their end too.  A model would learn those by
     heart, so each half is judged by the model of the other half, negatives that look cut
     are taken out, and both models are fitted again.  Where one half lacks examples of
@@ -322,27 +346,32 @@ def fit(rows: DataFrame, root: str, reg: float = 3e-4) -> tuple[CountVectorizerM
     labels = [{r["label"] for r in seen if r["fold"] != k} for k in (0, 1)]
     if len(labels[0] | labels[1]) < 2:
         return None
-    buckets = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST).select(F.col("t").cast("string")).orderBy("t")
-    vocabulary = [r["t"] for r in buckets.collect()] or ["0"]  # WIDTH at most
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features", binary=True)
-    ready = vectors.transform(rows.withColumn("words", F.col("terms").cast("array<string>"))).select("fold", "label", "features")
-    ready = ready.coalesce(FITTING).cache()  # a bounded sample of short vectors: more tasks would only add to the steps
-    learn = LogisticRegression(maxIter=30, regParam=reg, tol=1e-4)
-
-    def stored(model: LogisticRegressionModel, name: str) -> LogisticRegressionModel:
-        """The model, written to the shared folder and read again: what its training keeps alive can't be sent to tasks."""
-        model.write().overwrite().save(f"{root}/{name}")
-        return LogisticRegressionModel.load(f"{root}/{name}")
+    buckets = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST).select("t")
+    kept = np.sort(np.array([r["t"] for r in buckets.collect()], dtype=np.int64))  # width at most
+    vectors = CountVectorizerModel.from_vocabulary([*map(str, kept)] or ["none"], inputCol="words", outputCol="features", binary=True)
+
+    def ready(examples: DataFrame) -> DataFrame:
+        """Vectors for the fitting: a bounded sample of short ones, so more tasks would only add to the steps."""
+        return vectors.transform(examples.withColumn("words", F.col("terms").cast("array<string>"))).select("fold", "label", "features").coalesce(FITTING).cache()
+
+    def fitted(examples: DataFrame, steps: int) -> tuple[np.ndarray, float]:
+        model = LogisticRegression(maxIter=steps, regParam=reg, tol=1e-4).fit(examples)
+        w = np.zeros(width)
+        w[kept] = model.coefficients.toArray()[: len(kept)]
+        return w, model.intercept
 
+    every = ready(rows)
     try:
         if min(map(len, labels)) < 2:
-            return vectors, [stored(learn.fit(ready), "model")] * 2
-        first = [stored(learn.copy({learn.maxIter: 15}).fit(ready.filter(F.col("fold") != k)), f"first-{k}") for k in (0, 1)]
-        judged = [first[k].transform(ready.filter(F.col("fold") == k)) for k in (0, 1)]
-        clean = [j.filter((F.col("label") == 1) | (vector_to_array("probability")[1] < 0.5)).select("label", "features") for j in judged]
-        return vectors, [stored(learn.fit(clean[1 - k]), f"model-{k}") for k in (0, 1)]
+            return [fitted(every, 30)] * 2
+        first = [fitted(every.filter(F.col("fold") != k), 15) for k in (0, 1)]
     finally:
-        ready.unpersist()
+        every.unpersist()
+    clean = ready(probabilities(rows, first, ["fold", "label", "terms"], "fold", "terms").filter("label = 1 OR score < 0.5"))
+    try:
+        return [fitted(clean.filter(F.col("fold") != k), 30) for k in (0, 1)]
+    finally:
+        clean.unpersist()
 
 
 def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
@@ -358,16 +387,11 @@ def scored(documents: DataFrame, key: str = "doc_id", text: str = "text", source
     root = shared_folder(documents.sparkSession, "truncation")
     facts = written(described(documents, key, text, source, lang, width), f"{root}/facts")
     rows = written(looked_up(facts, length_limits(facts), vocabulary_of(documents, text)), f"{root}/rows")
-    fitted = fit(written(examples(rows, documents, key, text, sample, width), f"{root}/examples"), root)
-    rows = rows.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__at").alias("at_limit"), "__fold", F.col("__terms").cast("array<string>").alias("words"))
-    if fitted is None:
-        return rows.filter("false").select(key, "source", F.lit(0.0).alias("score"), "at_limit")
-    vectors, models = fitted
-    rows = vectors.transform(rows)
-    for k in (0, 1):
-        rows = models[k].copy().setProbabilityCol(f"__p{k}").setRawPredictionCol("").setPredictionCol("").transform(rows)
-    score = F.when(F.col("__fold") == 0, vector_to_array("__p0")[1]).otherwise(vector_to_array("__p1")[1])
-    return rows.select(key, "source", score.alias("score"), "at_limit")
+    weights = fit(written(examples(rows, documents, key, text, sample, width), f"{root}/examples"), width)
+    if weights is None:
+        rows, weights = rows.filter("false"), [(np.zeros(width), 0.0)] * 2
+    rows = rows.select(F.col("__key").alias(key), F.col("__source").alias("source"), F.col("__at").alias("at_limit"), "__fold", "__terms")
+    return probabilities(rows, weights, [key, "source", "at_limit"], "__fold", "__terms").select(key, "source", "score", "at_limit")
 
 
 def cut_rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
