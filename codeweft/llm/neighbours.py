@@ -20,6 +20,8 @@ PER_ARRAY, ENDS = 400, 3
 COUNTING, COLLISIONS, WINDOW, DOUBLINGS, VOUCH = 24, 15, 0.07, 1, 5.0
 #: Steps of a sorted array in a half-width; a place in it is a byte, so windows are compared by the byte.
 STEPS = 15
+#: Pairs that are verified at once, so that they stay near the processor.
+PIECE = 1 << 13
 #: Rows of an array in one task at most; a longer one is cut into blocks that meet pairwise.
 BLOCK = 20_000
 #: Bytes of vectors in a partition of the search, about.
@@ -110,6 +112,7 @@ def search(ids: np.ndarray, x: np.ndarray, query: np.ndarray, target: np.ndarray
     place = np.ascontiguousarray(np.floor(p * (STEPS / WINDOW)).astype(np.int64).astype(np.uint8).T)
     tplace, tfirst, tid, tx = np.ascontiguousarray(place[:, target]), p[target, 0], ids[target], x[target]
     x32, tx32 = x.astype(np.float32), tx.astype(np.float32)
+    buffers = np.empty((2, PIECE, x.shape[1]), dtype=np.float32)
     verified, out = np.zeros(len(ids), dtype=np.int64), []
     qs = np.flatnonzero(query)
     for a in range(0, len(qs), 256):
@@ -126,9 +129,12 @@ def search(ids: np.ndarray, x: np.ndarray, query: np.ndarray, target: np.ndarray
             row, col = row[other], col[other]
             n = np.bincount(row, minlength=len(left))
             verified[left] += n
-            sims = np.empty(len(row), dtype=np.float32)
-            for s in range(0, len(row), 1 << 15):  # in pieces that stay near the processor
-                sims[s : s + (1 << 15)] = np.einsum("ij,ij->i", x32[left[row[s : s + (1 << 15)]]], tx32[col[s : s + (1 << 15)]])
+            sims, mine = np.empty(len(row), dtype=np.float32), left[row]
+            for s in range(0, len(row), PIECE):
+                one, two = buffers[0][: len(row) - s], buffers[1][: len(row) - s]
+                np.take(x32, mine[s : s + PIECE], axis=0, out=one, mode="clip")
+                np.take(tx32, col[s : s + PIECE], axis=0, out=two, mode="clip")
+                np.einsum("ij,ij->i", one, two, out=sims[s : s + PIECE])
             table = np.full((len(left), max(k, n.max(initial=0))), -2, dtype=np.float32)
             table[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = sims
             kth = -np.partition(-table, k - 1, axis=1)[:, k - 1]
