@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Containers a group fills, about: a group is one task's work, whatever the size of the corpus.
-GROUP = 1024
+#: Containers a group fills, about, and items it holds, about: a group is one task's work, whatever the size of the corpus.
+GROUP, ITEMS = 1024, 65_536
 
 
 def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -36,15 +36,16 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, starts
 
 
-def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, group: int = GROUP, most: int = ITEMS) -> DataFrame:
     """container, key, piece, start, n_tokens: the container and the place of each item.
 
     An item above the capacity is cut into full pieces, which are containers of their own,
     and a rest.  Rests and all other items go to randomised groups of about ``group``
     containers, by a hash of key and piece; each group is packed by first-fit decreasing
     (equal sizes by key, then piece) on its own.  The number of groups follows from the sum
-    of all sizes, so a group's work is bounded however large the corpus is, and equal keys
-    with many pieces spread over groups.
+    of all sizes and from the number of items (about ``most`` in a group, as very many may
+    be empty), so a group's work is bounded however large the corpus is.  Rows with one key
+    are spread over the groups, too.
 
     An item of size 0 or null takes no room and stands in a container all the same.  An
     item of exactly the capacity fills a container.  Rows with the same key are items of
@@ -60,8 +61,8 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
         .select(F.concat_ws("-", F.lit("d"), F.col("__key").cast("string"), F.col("__row"), "piece").alias("container"), "__key", "piece", F.lit(0).alias("start"), F.lit(capacity).alias("n_tokens"))
     )
     rest = items.filter((F.col("__n") < capacity) | (F.col("__n") % cap > 0)).select("__key", (F.col("__n") / cap).cast("int").alias("piece"), (F.col("__n") % cap).cast("int").alias("n_tokens"))
-    total = items.agg(F.sum(F.col("__n") % cap)).first()[0] or 0
-    groups = max(1, round(total / (capacity * group)))
+    total, count = rest.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(1, round(total / (capacity * group)), -(-count // most))
     kind = sized.schema[key].dataType.simpleString()
 
     def ffd(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +72,7 @@ def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
         return pdf[["container", "__key", "piece", "start", "n_tokens"]]
 
     packed = (
-        rest.withColumn("__group", F.pmod(F.xxhash64("__key", "piece"), F.lit(groups)))
+        rest.withColumn("__group", F.pmod(F.xxhash64("__key", "piece", F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("__group")
         .applyInPandas(ffd, f"container string, __key {kind}, piece int, start int, n_tokens int")
     )

@@ -104,3 +104,9 @@ def test_packing_holds_everything_once_and_splits_only_what_must_be(spark):
     report = fill(pack(df, capacity=100, group=20), 100).first()
     assert report["fullest"] <= 100 and report["containers"] <= 1.1 * report["least"] + 1
     assert pack(df.limit(0)).count() == 0 and fill(pack(df.limit(0))).first()["containers"] == 0
+
+
+def test_very_many_empty_items_and_one_key_spread_over_groups(spark):
+    rows = [(7, 0) for _ in range(400)] + [(k, None) for k in range(100)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), capacity=100, group=20, most=50).collect()
+    assert len(got) == 500 and len({r["container"].split("-")[0] for r in got}) >= 8
