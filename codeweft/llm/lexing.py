@@ -12,7 +12,7 @@ BAD, END = "\x01", "\x00"
 
 #: Operators of more than one character and their class.
 OPERATORS = {
-    "==": "E", "!=": "E", "===": "E", "!==": "E", "<=": "E", ">=": "E", "&&": "A", "||": "O", "??": "O", "<<": "S",
+    "==": "E", "!=": "E", "===": "E", "!==": "E", "<=": "E", ">=": "E", "&&": "A", "||": "O", "??": "H", "<<": "S",
     "+=": "Q", "-=": "Q", "*=": "Q", "/=": "Q", "%=": "Q", "&=": "Q", "|=": "Q", "^=": "Q", "<<=": "Q", ">>=": "Q", ">>>=": "Q",
     "**=": "Q", "//=": "Q", "@=": "Q", "&&=": "Q", "||=": "Q", "??=": "Q", "&^=": "Q", "&^": "&",
     "=>": "F", "->": "R", "::": "D", "++": "U", "--": "U", "...": "V", "..": "W", "..=": "W", ":=": "L", "<-": "C", "**": "P", "?.": "N", "//": "/",
@@ -70,7 +70,7 @@ def _table(language: str):
     signs = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
     # What is frequent stands first; a name isn't the prefix of a string.
     name = rf"[A-Za-z_]\w*+(?![\w\"'#$]|[^\x00-\x7f])[ \t]*+"
-    soft = r"\n\s*+(?:match|case)\b(?=[ \t]*[^\s=.,;)\]}:][^\n]*(?::|[(\[{,][ \t]*\n))|" if language == "python" else ""
+    soft = r"\n\s*+(?:match|case)\b(?=[ \t]*(?:[(\[{][ \t]*\n|[^\s=.,;)\]}:][^\n]*(?::|[(\[{,][ \t]*\n)))|" if language == "python" else ""
     marks = r"\n\s*+|[()\[\]{};,][()\[\]{};, \t]*+|[ \t\r\f]++" if language == "python" else r"[()\[\]{};,\s]++"
     name = r"type[ \t]+[A-Za-z_]\w*+(?=[ \t]*(?:\[[^\]\n]*\][ \t]*)?=(?!=))|" + name if language == "python" else name
     pattern = re.compile(rf"{soft}{name}|{marks}|(?:{skip})[ \t]*|(?:{text})[ \t]*|{digits}{suffix}(?!\w)[ \t]*|\d\w*|[^\W\d][\w$]*[ \t]*|[$@#]\w+[ \t]*|(?:{signs})[ \t]*|[\s\S]")
@@ -128,6 +128,11 @@ def classes(language: str, text: str) -> tuple[str, list[str]]:
     return "".join(map(table.__getitem__, tokens)), tokens
 
 
+def table_of(language: str) -> dict[str, str]:
+    """The classes of the tokens of a language."""
+    return _TABLES[language][1]
+
+
 def lines_of(language: str, tokens: list[str], places: list[int]) -> list[int]:
     """The line of each place in the class string, places ascending."""
     table, out, line, seen, k = _TABLES[language][1], [], 1, 0, 0

@@ -13,6 +13,8 @@ from codeweft.llm.syntax import PARSERS, errors
 from codeweft.llm.versions import current
 
 LANGUAGES = ("python", *PARSERS)
+#: Calls that may nest while a file is judged; they lie on the heap, a few hundred bytes each.
+FRAMES = 1_000_000
 _FACTS = "repo string, path string, modification_time timestamp_ntz, tie long, lang string, errors array<struct<line:int,cause:string>>"
 _ARROW = pa.list_(pa.struct([("line", pa.int32()), ("cause", pa.string())]))
 _COOKIE = re.compile(rb"\A(?:[^\n]*\n)?[ \t\f]*#.*?coding[:=][ \t]*([-\w.]+)")
@@ -50,7 +52,7 @@ def syntax_errors(lang: str | None, content: bytes | None) -> list[dict] | None:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import sys
 
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     for b in batches:
         found = [syntax_errors(lang, content.as_py()) for lang, content in zip(b.column("lang").to_pylist(), b.column("content"))]
         keep = [b.column(c) for c in ("repo", "path", "modification_time", "tie", "lang")]
@@ -69,9 +71,10 @@ def parsed_files(scans: DataFrame) -> DataFrame:
     valid file (empty and comment-only files are valid).  A byte-order mark, CRLF and, in
     C, Latin-1 bytes are valid; bytes that aren't UTF-8 make a Python file without coding
     line invalid and count in other languages where they stand outside strings and
-    comments.  A file nested deeper than the parser's stack counts as invalid.  Repeated
-    rows count once; null repo or path: left out.  Other columns are
-    never read.
+    comments.  Nesting counts only where a language limits it (Python: 200 brackets); a
+    file that takes more than FRAMES nested calls, about 100,000 brackets in each other,
+    is beyond any compiler and counts as invalid.  Repeated rows count once; null repo or
+    path: left out.  Other columns are never read.
     """
     rows = scans.filter(F.col("lang").isNotNull()).select("repo", "path", F.col("modification_time").cast("timestamp_ntz").alias("modification_time"), F.xxhash64("content").alias("tie"), "lang", "content")
     return current(rows.mapInArrow(_parse, _FACTS), ["repo", "path"], "modification_time", "tie").drop("modification_time")
@@ -84,6 +87,11 @@ def invalid_files(scans: DataFrame) -> DataFrame:
     return bad.select("repo", "path", "lang", F.size("errors").alias("n_errors"), first["line"].alias("line"), first["cause"].alias("cause"))
 
 
+def all_errors(scans: DataFrame) -> DataFrame:
+    """repo, path, lang, place, line, cause: every error of every file that does not parse, the first cause at place 0."""
+    return parsed_files(scans).select("repo", "path", "lang", F.posexplode("errors").alias("place", "e")).select("repo", "path", "lang", "place", "e.line", "e.cause")
+
+
 def parse_rates(scans: DataFrame) -> DataFrame:
     """Files judged, invalid files and their share per repository and language, with the totals of each language (repo null)."""
     judged = parsed_files(scans).filter(F.col("errors").isNotNull())

@@ -9,7 +9,7 @@ from codeweft.llm.encoding import round_trips, token_counts, token_ids
 from codeweft.llm.handwritten import file_origins, fitted_thresholds
 from codeweft.llm.neighbours import nearest, neighbour_pairs, search_work
 from codeweft.llm.packing import fill, pack
-from codeweft.llm.parsing import invalid_files, parse_rates
+from codeweft.llm.parsing import all_errors, invalid_files, parse_rates
 from codeweft.llm.topn import top_n_per_group
 from codeweft.llm.truncation import cut_rates, scored
 from codeweft.session import checkpoint, table
@@ -51,6 +51,10 @@ def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_files(table(spark, sf_dir, "scans"))
 
 
+def p3_all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_errors(table(spark, sf_dir, "scans"))
+
+
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(table(spark, sf_dir, "scans"))
 
@@ -101,6 +105,7 @@ QUERIES = {
     "p2_thresholds": p2_thresholds,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
+    "p3_all_errors": p3_all_errors,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_work": p4_work,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from codeweft.llm.lexing import BAD, END, KEYWORD, NAME_OF, classes, lines_of
+from codeweft.llm.lexing import BAD, END, KEYWORD, NAME_OF, classes, lines_of, table_of
 
 K = KEYWORD
 NAMES = {"i": "name", "n": "number", "s": "string", "\n": "end of line", END: "end of file", BAD: "invalid character", "Q": "assignment", "E": "comparison", "L": ":=", "F": "=>", "R": "->", "D": "::"}
@@ -917,7 +917,7 @@ class Script(Parser):
     typed = False
     SOFT = "i" + kw("async of get set static let yield await") + kw("type namespace declare abstract readonly public private protected implements as satisfies keyof infer is asserts override interface enum")
     NOT_ALONE = kw("if do else for while switch try")
-    LEVELS = Parser.LEVELS | {K["in"]: 7, K["instanceof"]: 7}
+    LEVELS = Parser.LEVELS | {"H": 1, K["in"]: 7, K["instanceof"]: 7}
     PREFIX = "!-+~U" + kw("typeof void delete await")
     OPEN = kw("typeof void delete await in instanceof")
     ARROW = re.compile(r"(?:" + f"[{SOFT}]" + "|" + group(r"[^;()]", 3) + r")F")
@@ -991,7 +991,7 @@ class Script(Parser):
         c, depth = self.s[self.p - 1], 0
         for x in self.s[start : self.p - (c == "!")]:
             depth += (x in "([{") - (x in ")]}")
-            if depth == 0 and (x in "+-*/%&|^~!ESPAO<>U" or x in self.OPEN):
+            if depth == 0 and (x in "+-*/%&|^~!ESPAOH<>U" or x in self.OPEN):
                 return c == ">" and self.typed
         return c in "]}" or self.is_word(c) or c in ")!>" and self.typed or c == ")" and self.s[start] == "("
 
@@ -1021,8 +1021,10 @@ class Script(Parser):
         self.skip()
         self.block() if self.at("{") else self.assigned()
 
-    def binary(self, level: int = 1) -> None:
+    def binary(self, level: int = 1) -> str:
+        """The logical operators met outside brackets come back, as ?? takes brackets beside || and &&."""
         self.unary()
+        met = ""
         while True:
             if self.typed and self.at(kw("as satisfies")):
                 self.p += 1
@@ -1030,10 +1032,14 @@ class Script(Parser):
                 continue
             op = self.level()
             if op < level or op == 0 or op == 7 and self.at(K["in"]) and self.no_in:
-                return
+                return met
+            if op <= 2:
+                met += self.s[self.p]
             self.operator()
             self.skip()
-            self.binary(op + 1)
+            met += self.binary(op + 1)
+            if "H" in met and ("O" in met or "A" in met):
+                self.fail("?? beside || or && without brackets")
 
     no_in = False
 
@@ -3121,15 +3127,31 @@ class Python(Parser):
                 self.ternary()
 
     def arguments(self) -> None:
+        """After a keyword no plain argument may come, after ** none with * either; a generator without brackets stands alone."""
+        named = double = False
+        first = True
         while not self.eat(")"):
-            if self.eat("P") or self.eat("*"):
+            if self.eat("P"):
+                self.ternary()
+                double = True
+            elif self.at("*"):
+                if double:
+                    self.fail("* after ** in a call")
+                self.p += 1
                 self.ternary()
             elif self.at("i") and self.s[self.p + 1] == "=":
                 self.p += 2
                 self.ternary()
+                named = True
             else:
+                a = self.p
                 self.named()
-                self.comprehension()
+                if self.comprehension():
+                    if not first or not self.at(")"):
+                        self.fail("generator without brackets")
+                elif named or double:
+                    raise Bad(a, "plain argument after a keyword")
+            first = False
             if not self.eat(","):
                 self.need(")")
                 return
@@ -3258,8 +3280,9 @@ class Python(Parser):
 
 
 _BRACKET = re.compile(r"[()\[\]{}]")
+_SOFT_START = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*(?:match|case)\b")
 PARSERS = {"c": C, "java": Java, "javascript": JavaScript, "typescript": TypeScript, "go": Go, "rust": Rust}
-_SOFT = re.compile(r"(?<=[;{(\[,=+\-*/%&|^~!?:<>.EAOSQFVP])\n+|\n+(?=[)\],.?:;=+*/%&|^<>EAOSQFP])|^\n+")
+_SOFT = re.compile(r"(?<=[;{(\[,=+\-*/%&|^~!?:<>.EAOHSQFVP])\n+|\n+(?=[)\],.?:;=+*/%&|^<>EAOHSQFP])|^\n+")
 
 
 def prepared(language: str, s: str) -> str:
@@ -3279,24 +3302,160 @@ def places_in(whole: str, part: str, places: list[int]) -> list[int]:
     return [out.get(k, len(whole)) for k in places]
 
 
+#: Fixed value: brackets that Python's own tokenizer lets nest.
+PYTHON_DEPTH = 200
+_FORMATTED = re.compile(r"(?:[fF][rR]?|[rR][fF])(\"\"\"|\'\'\'|\"|\')")
+_NAME_END = re.compile(r"[=<>!]=$")
+
+
+def _past_string(text: str, k: int) -> int:
+    """The place behind the string that begins at k."""
+    mark = text[k : k + 3] if text[k : k + 3] in ('"""', "\'\'\'") else text[k]
+    k += len(mark)
+    while k < len(text) and not text.startswith(mark, k):
+        k += 2 if text[k] == "\\" else 1
+    return k + len(mark)
+
+
+def _past_code(text: str, k: int, stops: str) -> int:
+    """The first place from k on outside strings and brackets that holds one of stops, or the end."""
+    depth = 0
+    while k < len(text):
+        c = text[k]
+        if depth == 0 and c in stops and not (c == "!" and text[k + 1 : k + 2] == "="):
+            return k
+        if c in "\"'`":
+            k = _past_template(text, k + 1, "`") + 1 if c == "`" else _past_string(text, k)
+            continue
+        depth += (c in "([{") - (c in ")]}")
+        k += 1
+    return k
+
+
+def _past_template(text: str, k: int, end: str) -> int:
+    """The place of the mark that ends a template whose inside begins at k."""
+    while k < len(text) and text[k] != end:
+        if text.startswith("${", k):
+            k = _past_code(text, k + 2, "}") + 1
+        else:
+            k += 2 if text[k] == "\\" else 1
+    return k
+
+
+def _python_fields(body: str, spec: bool = False) -> str | None:
+    """What is wrong with the fields of a format string, None if nothing."""
+    k = 0
+    while k < len(body):
+        c = body[k]
+        if c in "{}" and not spec and body[k + 1 : k + 2] == c:
+            k += 2
+        elif c == "}":
+            return "single } in a format string"
+        elif c == "{":
+            end = _past_code(body, k + 1, ":!}")
+            code = body[k + 1 : end].rstrip()
+            if code.endswith("=") and not _NAME_END.search(code):
+                code = code[:-1]
+            if wrong := _fragment("python", code):
+                return wrong
+            if body[end : end + 1] == "!":
+                at = end + 1
+                end = _past_code(body, at, ":}")
+                if body[at:end].strip() not in ("r", "s", "a"):
+                    return "conversion of a format field"
+            if body[end : end + 1] == ":":
+                at = end + 1
+                end = _past_code(body, at, "}")
+                if wrong := _python_fields(body[at:end], True):
+                    return wrong
+            if body[end : end + 1] != "}":
+                return "format field without end"
+            k = end + 1
+        else:
+            k += 1
+    return None
+
+
+@lru_cache(20_000)
+def _fragment(language: str, code: str) -> str | None:
+    """What is wrong with an expression on its own, None if nothing."""
+    s, tokens = classes(language, code.strip())
+    if language == "python":
+        parser = Python(s.replace("\n", ""))
+        rule = parser.yielded if parser.at(K["yield"]) else parser.stars
+    else:
+        parser = PARSERS[language](prepared(language, s))
+        rule = parser.expression
+    try:
+        rule()
+        parser.rx(re.compile(r"\n*"))
+        parser.need(END)
+    except Bad as e:
+        return e.cause
+    inner = inside(language, s, tokens)
+    return inner[0][1] if inner else None
+
+
+def inside(language: str, s: str, tokens: list[str]) -> list[tuple[int, str]]:
+    """Errors in the fields of Python's format strings and of script templates, at the place of the string."""
+    out, place, table = [], 0, table_of(language)
+    for t in tokens:
+        if language == "python":
+            m = _FORMATTED.match(t)
+            body = t.rstrip()[m.end() : -len(m[1])] if m and "{" in t or m and "}" in t else None
+            wrong = _python_fields(body) if body is not None else None
+        elif t[0] == "`" and "${" in t:
+            wrong, k, t2 = None, 1, t.rstrip()
+            while wrong is None and (k := t2.find("${", k)) > 0:
+                if (len(t2[:k]) - len(t2[:k].rstrip("\\"))) % 2:  # escaped
+                    k += 2
+                    continue
+                end = _past_code(t2, k + 2, "}")
+                wrong, k = _fragment(language, t2[k + 2 : end]), end + 1
+        else:
+            wrong = None
+        if wrong:
+            out.append((place, wrong))
+        place += len(table[t])
+    return out
+
+
+def too_deep(s: str, most: int) -> list[tuple[int, str]]:
+    """Where brackets nest deeper than ``most``."""
+    depth = 0
+    for m in _BRACKET.finditer(s):
+        depth += 1 if m[0] in "([{" else -1
+        if depth > most:
+            return [(m.start(), "too many nested brackets")]
+    return []
+
+
 def errors(language: str, text: str) -> list[tuple[int, str]]:
     """All errors of a text as (line, cause), in order of place."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    ahead = 0
+    if language == "python" and _SOFT_START.match(text):  # match and case are told by the line end before them
+        text, ahead = "\n" + text, 1
     s, tokens = classes(language, text)
     if language == "python":
-        parser = Python(s)
-        indents = [(tokens[0] if tokens and tokens[0].isspace() and "\n" not in tokens[0] else "")] + [t.rpartition("\n")[2].rstrip("casemth") for t in tokens if t[0] == "\n"]
-        found = parser.parse(indents)
+        found = too_deep(s, PYTHON_DEPTH)
+        if not found:
+            parser = Python(s)
+            indents = [(tokens[0] if tokens and tokens[0].isspace() and "\n" not in tokens[0] else "")] + [t.rpartition("\n")[2].rstrip("casemth") for t in tokens if t[0] == "\n"]
+            found = parser.parse(indents)
     else:
         parser = PARSERS[language](prepared(language, s))
         parser.file()
         found = parser.errors
     if not found and BAD in s:
         found = [(s.index(BAD), "invalid character")]
-    if not found:
+    script = language in ("javascript", "typescript")
+    fields = inside(language, s, tokens) if language == "python" and _FORMATTED.search(text) or script and "${" in text else []
+    if not found and not fields:
         return []
     found.sort()
     where = [min(p, len(s)) for p, _ in found]
-    if language in ("javascript", "typescript", "go"):
+    if script or language == "go":
         where = places_in(s, parser.s[:-1], where)
-    return list(zip(lines_of(language, tokens, where), [c for _, c in found]))
+    both = sorted([*zip(where, (c for _, c in found)), *fields])
+    return [(line - ahead, cause) for line, (_, cause) in zip(lines_of(language, tokens, [p for p, _ in both]), both)]

@@ -113,3 +113,40 @@ def test_operator_takes_the_current_version(spark):
     rates = {(r["repo"], r["lang"]): (r["n_files"], r["n_invalid"], r["rate"]) for r in parse_rates(df).collect()}
     assert rates[("r", "python")] == (2, 1, 0.5) and rates[(None, "c")] == (1, 1, 1.0)
     assert parsed_files(df.limit(0)).count() == 0
+
+
+BROKEN = ["f(a=1, 2)", "f(**a, *b)", "f(x for x in y, 1)", "class A(m=1, B): pass", "f'{a b}'", "f'{a!z}'", "f'{}'", "f'}'", "f'{a:{b c}}'", "match x:\n  case 1 2: pass", "(" * 201 + ")" * 201]
+WHOLE = [
+    "match x:\n  case 1: pass", "# c\n\nmatch x:\n  case (\n    1\n    | 2\n  ):\n    pass\nmatch = 1\n", "case = 1", "match(x)", "f(a=1, *b)", "f(**a, b=1)", "f(*a, b)",
+    "f'{a!r:>{w}} {b=} {{x}} {d[\"k\"]} {x!r}'", "f'{a!=b}'", "f\'\'\'{\n a\n}\'\'\'", "f'{(lambda x: 1)}'", "f'{x:%H:%M}'", "rf'\\d{x}'", "f'{*a, b}'", "f'{x = }'",
+]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_python_that_does_not_parse(text):
+    assert errors("python", text)
+
+
+@pytest.mark.parametrize("text", WHOLE)
+def test_python_that_parses(text):
+    assert errors("python", text) == []
+
+
+def test_a_first_match_keeps_its_lines():
+    assert errors("python", "match x:\n  case 1:\n    a b\n")[0][0] == 3
+
+
+@pytest.mark.parametrize("text,broken", [("a ?? b || c", 1), ("a && b ?? c", 1), ("a ?? b && c", 1), ("a ?? (b || c)", 0), ("(a && b) ?? c", 0), ("a ?? b ?? c", 0), ("`${a b}`", 1), ("`${}`", 1), ("`${a + `x${b}`} \\${c d}`", 0), ("x = `a ${f({a: 1})} b`;", 0), ("x =\n a ??\n b", 0)])
+def test_script_operators_and_templates(text, broken):
+    assert bool(errors("javascript", text)) == bool(broken) and bool(errors("typescript", text)) == bool(broken)
+
+
+def test_deep_nesting_is_judged(spark):
+    from codeweft.llm.parsing import all_errors, parsed_files
+
+    deep = {"deep.js": "x = " + "(" * 5000 + "1" + ")" * 5000 + ";", "open.js": "x = " + "(" * 5000 + "1" + ")" * 4999 + ";", "two.js": "a b;\nlet x = 1;\nc d;\n"}
+    rows = [("r", p, None, bytearray(t.encode()), "javascript") for p, t in deep.items()]
+    df = spark.createDataFrame(rows, "repo string, path string, modification_time timestamp, content binary, lang string")
+    got = {r["path"]: len(r["errors"]) for r in parsed_files(df).collect()}
+    assert got["deep.js"] == 0 and got["open.js"] > 0 and got["two.js"] == 2
+    assert [(r["place"], r["line"]) for r in all_errors(df).filter("path = 'two.js'").orderBy("place").collect()] == [(0, 1), (1, 3)]
