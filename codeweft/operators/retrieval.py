@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars as fn
 
 COLUMNS = ("name", "qualified_name", "summary")
-#: Query vectors and vectors that meet in a task of the exact search, about.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 25_000
+#: Queries, vectors and nodes that meet in a task of the exact searches, about.
+QUERY_BLOCK, VECTOR_BLOCK, NODE_BLOCK = 4096, 25_000, 10_000
 
 
 def postings(nodes: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -34,24 +34,76 @@ def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5
 
     One equi-join by token finds the phrases of all queries: a token at offset j of a
     phrase votes for the place pos - j, and a phrase occurs where all its offsets vote.
+    Then blocks of queries meet blocks of nodes, by a hash of either: a meeting is a task
+    that sums the weights of its own nodes and gives the ``limit`` best for each of its
+    queries.  So of the pairs of a query and a node with a common word only the best leave
+    the task they are summed in, and a word that very many nodes have is spread over all
+    blocks.  Exact, as the blocks' best are merged.
     """
-    text = postings(nodes, columns)
-    sizes = nodes.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), sum((F.size(fn.tokens(F.col(c))) for c in columns), F.lit(0)).alias("len"))
-    n, average = sizes.agg(F.count(F.lit(1)), F.avg("len")).first()
+    sized = nodes.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), *[fn.tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
+    sized = sized.withColumn("len", sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)))
+    n, average = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
+    cols = F.array(*[F.struct(F.lit(k).alias("col"), F.col(f"t{k}").alias("toks")) for k in range(len(columns))])
+    text = sized.select("id", "rank", "len", F.explode(cols).alias("c")).select("id", "rank", "len", "c.col", F.posexplode("c.toks").alias("pos", "token"))
     words = queries.select("qid", F.posexplode(fn.query_words(F.col("query"))).alias("k", "word")).withColumn("toks", fn.tokens(F.col("word"))).filter(F.size("toks") > 0)
     words = words.select("qid", "toks", F.xxhash64("toks").alias("phrase"))
     # Equal phrases of all queries are looked up once; from here on a phrase is a number.
     phrases = words.groupBy("phrase").agg(F.first("toks").alias("toks")).select("phrase", F.size("toks").alias("m"), F.posexplode("toks").alias("j", "token"))
-    votes = phrases.join(text, "token").groupBy("phrase", "m", "id", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
-    hits = votes.filter(F.col("v") == F.col("m")).groupBy("phrase", "id").agg(F.count(F.lit(1)).alias("f"))
+    of = ["phrase", "id", "rank", "len"]
+    votes = phrases.join(text, "token").groupBy(*of, "m", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
+    hits = votes.filter(F.col("v") == F.col("m")).groupBy(*of).agg(F.count(F.lit(1)).alias("f"))
     df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average or 1.0)))
-    weighed = hits.join(df, "phrase").join(sizes, "id").select("phrase", "id", "rank", weight.alias("w"))
+    weighed = hits.join(df, "phrase").select("phrase", "id", "rank", weight.alias("w"))
     asked = words.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    scores = asked.join(weighed, "phrase").groupBy("qid", "id").agg((-F.sum(F.col("w") * F.col("times")) - F.lit(blend) * F.max("rank")).alias("score"))
+    best = _best_by_blocks(asked, weighed, {"q": max(1, -(-queries.count() // QUERY_BLOCK)), "v": max(1, -(-n // NODE_BLOCK))}, limit, blend)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9), "id"))
-    return scores.withColumn("place", place).filter(F.col("place") <= limit)
+    return best.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def _met(df: DataFrame, key: str, own: str, other: str, blocks: dict[str, int]) -> DataFrame:
+    """The rows in the block of their own side, once for each block of the other."""
+    block = F.pmod(F.xxhash64(key), F.lit(blocks[own])).cast("int").alias(own)
+    return df.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))).alias(other))
+
+
+def _best_by_blocks(asked: DataFrame, weighed: DataFrame, blocks: dict[str, int], limit: int, blend: float) -> DataFrame:
+    """qid, id, score of the ``limit`` best nodes (and those as good) of each query in each block of nodes.
+
+    asked: qid, phrase, times; weighed: phrase, id, rank, w.
+    """
+
+    def sums(asked: pa.Table, weighed: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(asked) and len(weighed):
+            phrase = weighed["term"].to_numpy()
+            order = np.argsort(phrase, kind="stable")
+            phrase, weights = phrase[order], weighed["w"].to_numpy()[order]
+            ids, first, node = np.unique(weighed["id"].to_numpy(), return_index=True, return_inverse=True)
+            node, bonus = node[order], blend * weighed["rank"].to_numpy()[first]
+            qid = asked["qid"].to_numpy()
+            order = np.argsort(qid, kind="stable")
+            qid, wanted, times = qid[order], asked["phrase"].to_numpy()[order], asked["times"].to_numpy()[order]
+            lo, hi = np.searchsorted(phrase, wanted, side="left"), np.searchsorted(phrase, wanted, side="right")
+            starts = np.append(np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]), len(qid))
+            for a, b in zip(starts[:-1], starts[1:]):
+                total, hit = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+                for k in range(a, b):
+                    mine = node[lo[k] : hi[k]]  # a node comes once in a phrase
+                    total[mine] += weights[lo[k] : hi[k]] * times[k]
+                    hit[mine] = True
+                mine = np.flatnonzero(hit)
+                score = -total[mine] - bonus[mine]
+                if len(mine) > limit:
+                    kept = score <= np.partition(score, limit - 1)[limit - 1] + 2e-9
+                    mine, score = mine[kept], score[kept]
+                found.append((np.full(len(mine), qid[a]), ids[mine], score))
+        return pa.table([np.concatenate(c) for c in zip(*found)], ["qid", "id", "score"])
+
+    one = _met(asked, "qid", "q", "v", blocks).repartition(blocks["q"] * blocks["v"], "q", "v")
+    two = _met(weighed, "id", "v", "q", blocks).withColumnsRenamed({"phrase": "term", "q": "q2", "v": "v2"}).repartition(blocks["q"] * blocks["v"], "q2", "v2")
+    return one.groupBy("q", "v").cogroup(two.groupBy("q2", "v2")).applyInArrow(sums, "qid long, id long, score double")
 
 
 def finite_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
