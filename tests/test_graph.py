@@ -83,6 +83,22 @@ def test_communities_equal_the_sequential_sweep(spark):
     assert got[30] == got[31]  # a component of two files agrees
 
 
+def test_communities_of_a_long_chain_take_bounded_steps(spark):
+    links = [(a, b) for k in range(40) for a, b in ((k, k + 1), (k + 1, k))]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["id"]: r["community"] for r in ranking.communities(df, 2, 6).collect()}
+    assert got.keys() == set(range(41)) and got[0] == got[1]
+    assert {r["id"]: r["community"] for r in ranking.communities(df).collect()} == sweep(links)
+
+
+def test_pagerank_splits_hot_sources(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TOGETHER", 3)
+    edges = [(0, k, 1.0) for k in range(1, 14)] + [(k, (k * 5) % 14, 2.0) for k in range(1, 14)]
+    got = {r["id"]: r["rank"] for r in ranking.pagerank(nodes_of(spark, [node(i) for i in range(14)]), edges_of(spark, [(s, t, "calls", w) for s, t, w in edges]), steps=7).collect()}
+    want = plain_rank(list(range(14)), edges, steps=7)
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
 def test_upsert_keeps_the_weight_loaded_last(spark):
     t = lambda k: datetime(2025, 1, k)
     rows = [(1, 2, "calls", 1.0, t(1), t(5)), (1, 2, "calls", 2.0, t(2), t(3)), (1, 2, "imports", 1.0, t(1), t(1)), (None, 2, "calls", 1.0, t(1), t(1)), (1, 2, None, 1.0, t(1), t(1))]
