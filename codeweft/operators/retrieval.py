@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -193,67 +190,100 @@ def priorities(pairs: DataFrame, nodes: DataFrame, usage: DataFrame, decay: floa
     return rows.withColumnRenamed("node_kind", "kind").withColumn("prio", F.round(prio, 9)).withColumn("line", line)
 
 
+def best_edges(pairs: DataFrame, nodes: DataFrame, usage: DataFrame, budget: int, decay: float = 1.0) -> DataFrame:
+    """seed, n, id, prio, line: each neighbour of a seed once, by its best edge, in order of priority, as many as can count.
+
+    Equal priorities: out edges first, then kind, then id.  Taken in this order, nodes whose
+    lines without the kind of edge exceed the budget can't come out, whatever stands
+    between them, and a line has one character at least.
+    """
+    rows = priorities(pairs, nodes, usage, decay).filter("id <> seed")
+    first = F.struct((-F.col("prio")).alias("p"), (F.col("dir") != "out").alias("back"), "edge", "line", (F.length("line") - F.length("edge") - F.when(F.col("dir") == "out", 0).otherwise(3)).alias("size"))
+    one = rows.groupBy("seed", "id").agg(F.min(first).alias("e"))
+    order = [F.col("e.p"), F.col("e.back"), F.col("e.edge"), F.col("id")]
+    placed = one.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).filter(F.col("n") <= budget)
+    before = _prefix(["seed"], [F.col("n")], F.col("e.size")) - F.col("e.size")
+    return placed.withColumn("__before", before).filter(F.col("__before") <= budget).select("seed", "n", "id", (-F.col("e.p")).alias("prio"), F.col("e.line").alias("line"))
+
+
 def direct_context(pairs: DataFrame, nodes: DataFrame, usage: DataFrame, budget: int = 8000) -> DataFrame:
     """seed, place, id, line: the neighbours of each seed by priority, as many lines as fit the budget.
 
     A neighbour joined by several edges comes once, by its best; equal priorities: out
     edges first, then kind, then id.
     """
-    rows = priorities(pairs, nodes, usage).filter("id <> seed")
-    order = [F.col("prio").desc(), F.col("dir").desc(), F.col("edge"), F.col("id")]
-    one = rows.withColumn("__best", F.row_number().over(Window.partitionBy("seed", "id").orderBy(*order))).filter("__best = 1")
-    placed = one.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).filter(F.col("place") <= budget)
-    return within_budget(placed.select("seed", "place", "id", "line"), ["seed"], "place", budget - 40)
+    placed = best_edges(pairs, nodes, usage, budget).select("seed", F.col("n").alias("place"), "id", "line")
+    return within_budget(placed, ["seed"], "place", budget - 40)
 
 
-def context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFrame, neighbours, budget: int = 8000, shortest: int = 20) -> DataFrame:
-    """seed, place, id, depth, line: best-first expansion over two hops within a budget of characters.
+def headers(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """seed, head: the line of each seed, its signature where it has one, and an empty line."""
+    n = seeds.join(nodes.withColumn("seed", F.col("id")), "seed")
+    signature = F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit("declared: "), "signature", F.lit("\n"))).otherwise("")
+    return n.select("seed", F.concat(fn.node_line(F.lit("")), F.lit("\n"), signature, F.lit("\n")).alias("head"))
+
+
+def arranged(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFrame, neighbours, budget: int) -> DataFrame:
+    """seed, at, hop, via, id, line: what a best-first walk over two hops would take from each seed, in its order.
 
-    Neighbours are taken by priority; one taken at the first hop puts its own neighbours
-    into the queue with 0.6 of theirs, which don't expand; a node comes once; the first
-    line that doesn't fit ends it.  Taking in order is the one step that Spark can't say,
-    so it runs per seed over a frontier that the budget bounds: no more than budget /
-    shortest lines can be emitted, so of each hop only as many of the best of every node
-    can count, and the rest is cut by a top-n before.
+    A walk that always takes the waiting node of the highest priority, and lets a taken
+    neighbour of the seed put its own neighbours into the queue with 0.6 of their
+    priority, takes a neighbour at its own priority, and what it lets in at once where
+    that has a higher one, else at that one's priority, after the seed's neighbours as
+    good.  So the order follows from columns; what a node that was taken before would let
+    in is for the reader of the rows to leave out.
     """
-    cut = budget // shortest
-    order = [F.col("prio").desc(), F.col("dir").desc(), F.col("edge"), F.col("id")]
-    first = priorities(neighbours(seeds, nodes, edges), nodes, usage).filter("id <> seed")
-    first = first.withColumn("__n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).filter(F.col("__n") <= cut)
+    first = best_edges(neighbours(seeds, nodes, edges), nodes, usage, budget)
     hop = neighbours(first.select(F.col("id").alias("seed")).distinct(), nodes, edges)
-    second = priorities(hop, nodes, usage, 0.6)
-    second = second.withColumn("__n", F.row_number().over(Window.partitionBy("seed").orderBy(*order))).filter(F.col("__n") <= cut + 1)
-    a = first.select("seed", F.lit(-1).cast("long").alias("via"), F.col("__n").alias("n"), "id", "prio", "line")
-    b = second.select(F.col("seed").alias("via"), F.col("__n").alias("n"), "id", "prio", "line")
-    b = first.select("seed", F.col("id").alias("via")).distinct().join(b, "via").select("seed", "via", "n", "id", "prio", "line")
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One seed's frontier in the order of taking, up to the budget."""
-        root = int(pdf["seed"].iloc[0])
-        arcs = {via: list(g[["prio", "id", "line"]].itertuples(index=False, name=None)) for via, g in pdf.sort_values("n").groupby("via")}
-        # Waiting nodes lie in ascending order of (priority, minus arrival); the next one is the last.
-        arrivals, waiting, taken, room = 0, [], {root: None}, budget - 40
-
-        def enqueue(via: int, hop: int) -> None:
-            nonlocal arrivals
-            for prio, node, line in arcs.get(via, ()):
-                arrivals += 1
-                bisect.insort(waiting, (prio, -arrivals, hop, node, line))
-
-        enqueue(-1, 1)
-        while waiting:
-            _, _, hop, node, line = waiting.pop()
-            if node in taken:
+    second = best_edges(hop, nodes, usage, budget, 0.6).select(F.col("seed").alias("via"), F.col("n").alias("m"), F.col("id").alias("child"), F.col("prio").alias("p2"), F.col("line").alias("line2"))
+    own = first.select("seed", F.lit(1).alias("hop"), F.lit(None).cast("long").alias("via"), "id", "line", F.col("prio").alias("k1"), F.lit(0).alias("k2"), F.col("n").alias("k3"), F.lit(-1e300).alias("k4"), F.lit(0).alias("k5"))
+    let = first.select("seed", F.col("id").alias("via"), "n", "prio").join(second, "via").filter("child <> seed")
+    lazy = F.col("p2") <= F.col("prio")
+    let = let.select("seed", F.lit(2).alias("hop"), "via", F.col("child").alias("id"), F.col("line2").alias("line"), F.least("prio", "p2").alias("k1"), lazy.cast("int").alias("k2"), F.col("n").alias("k3"), F.when(lazy, 0.0).otherwise(-F.col("p2")).alias("k4"), F.col("m").alias("k5"))
+    order = Window.partitionBy("seed").orderBy(F.col("k1").desc(), "k2", "k3", "k4", "k5")
+    return own.unionByName(let).select("seed", F.row_number().over(order).alias("at"), "hop", "via", "id", "line")
+
+
+def context(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFrame, neighbours, budget: int = 8000) -> DataFrame:
+    """seed, place, id, depth, line: best-first expansion over two hops within a budget of characters.
+
+    Neighbours are taken by priority; one taken at the first hop lets in its own, which
+    don't let in others; a node comes once; the first line that doesn't fit ends it.  The
+    seed's own lines (see ``headers``) count, too.  Spark orders all rows of a seed (see
+    ``arranged``); what depends on the rows before, which of them are new and fit, is one
+    pass over the rows of a seed, which the budget bounds.
+    """
+    rows = arranged(seeds, nodes, edges, usage, neighbours, budget).join(headers(seeds, nodes).select("seed", F.length("head").alias("used")), "seed")
+
+    def take(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        room, taken, opened, kept = budget - 40 - group["used"][0].as_py(), {group["seed"][0].as_py()}, {None}, []
+        for at, (hop, via, node, size) in enumerate(zip(*(c.to_pylist() for c in (group["hop"], group["via"], group["id"], pc.utf8_length(group["line"]))))):
+            if node in taken or via not in opened:
                 continue
-            room -= len(line) + 1
+            room -= size + 1
             if room < 0:
                 break
-            taken[node] = (root, len(taken), node, hop, line)
+            taken.add(node)
+            kept.append(at)
             if hop == 1:
-                enqueue(node, 2)
-        return pd.DataFrame(list(taken.values())[1:], columns=["seed", "place", "id", "depth", "line"])
-
-    return a.unionByName(b).groupBy("seed").applyInPandas(take, "seed long, place int, id long, depth int, line string")
+                opened.add(node)
+        out = group.take(pa.array(kept, pa.int64()))
+        return pa.table([out["seed"], pa.array(range(1, len(kept) + 1), pa.int32()), out["id"], out["hop"], out["line"]], ["seed", "place", "id", "depth", "line"])
+
+    return rows.groupBy("seed").applyInArrow(take, "seed long, place int, id long, depth int, line string")
+
+
+def context_text(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: DataFrame, refs: DataFrame, neighbours, budget: int = 8000, unresolved: int = 10) -> DataFrame:
+    """seed, text: the answer about each seed: its own lines, its context, and the first names it refers to, if they fit as well."""
+    lines = context(seeds, nodes, edges, usage, neighbours, budget)
+    body = lines.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(x.line, F.lit("\n"))), "").alias("body"))
+    names = refs.filter("target_name IS NOT NULL AND target_name <> ''").select(F.col("source_id").alias("seed"), "target_name").join(seeds, "seed", "left_semi").distinct()
+    first = names.withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy("target_name"))).filter(F.col("k") <= unresolved)
+    tails = first.groupBy("seed").agg(F.concat(F.lit("refers to: "), F.array_join(F.array_sort(F.collect_list("target_name")), ", "), F.lit("\n")).alias("tail"))
+    all_ = headers(seeds, nodes).join(body, "seed", "left").join(tails, "seed", "left")
+    text = F.concat("head", F.coalesce("body", F.lit("")))
+    return all_.select("seed", F.concat(text, F.when(F.length(text) + F.length("tail") <= budget, F.col("tail")).otherwise("")).alias("text"))
 
 
 def overview(nodes: DataFrame, top: DataFrame, groups: DataFrame, budget: int = 8000) -> DataFrame:

@@ -85,6 +85,23 @@ def context_full(spark, sf_dir):
     return retrieval.context(seeds_of(spark, sf_dir), n, e, usage(spark, sf_dir), graph.neighbours)
 
 
+def fixed_seeds(spark, sf_dir):
+    """The fixed seeds, which grow with the table: every symbol whose id is divisible by 50."""
+    return load(spark, sf_dir)[0].filter("id % 50 = 0 AND kind <> 'file'").select(F.col("id").alias("seed"))
+
+
+def context_fixed(spark, sf_dir):
+    n, e = load(spark, sf_dir)
+    return retrieval.context(fixed_seeds(spark, sf_dir), n, e, usage(spark, sf_dir), graph.neighbours)
+
+
+def answer_context(spark, sf_dir):
+    """The answers about the key symbols and their length."""
+    n, e = load(spark, sf_dir)
+    texts = retrieval.context_text(seeds_of(spark, sf_dir), n, e, usage(spark, sf_dir), table(spark, sf_dir, "refs"), graph.neighbours)
+    return texts.select("seed", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def unresolved_tails(spark, sf_dir):
     """The first ten distinct reference names of every symbol, in one string."""
     r = table(spark, sf_dir, "refs").filter("target_name IS NOT NULL").select("source_id", "target_name").distinct()
@@ -154,7 +171,7 @@ def token_totals(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_bm25, search_plain, search_semantic, search_hybrid, search_semantic_fixed, search_hybrid_fixed, embed_missing, usage_boosts, context_direct, context_full, unresolved_tails,
+        search_bm25, search_plain, search_semantic, search_hybrid, search_semantic_fixed, search_hybrid_fixed, embed_missing, usage_boosts, context_direct, context_full, context_fixed, answer_context, unresolved_tails,
         overview_text, node_lines, files_by_folder, issue_queries, stored_summaries, localization, token_totals,
     )
 }
@@ -219,5 +236,33 @@ SQL = {
         SELECT node_id, summary FROM d WHERE summary <> '' AND node_id IN (SELECT id FROM n) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC, doc_id DESC) = 1""",
     "token_totals": "SELECT source, CAST(sum(length(text) // 4) AS BIGINT) AS n_tokens, count(*) AS n_documents FROM documents WHERE text IS NOT NULL GROUP BY source",
 }
+_WALK = f"""
+        pr AS (SELECT x.*, n.id AS node, round(weight * (0.5 + rank) * (1 + 0.1 * least(coalesce(uses, 0), 5)), 9) AS p1, round(weight * (0.5 + rank) * 0.6 * (1 + 0.1 * least(coalesce(uses, 0), 5)), 9) AS p2,
+              {_LINE.format(prefix="'[' || CASE WHEN dir = 'out' THEN edge ELSE edge || '-by' END || '] '", kind='n.kind')} AS line
+              FROM (SELECT src AS a, 'out' AS dir, kind AS edge, weight, dst AS b FROM e UNION ALL SELECT dst, 'in', kind, weight, src FROM e) x JOIN n ON b = n.id LEFT JOIN u ON u.id = n.id WHERE a <> b),
+        f1 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p1 DESC, dir DESC, edge, b) AS n FROM
+              (SELECT pr.* FROM pr JOIN seeds ON a = seed QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY p1 DESC, dir DESC, edge) = 1)),
+        f2 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p2 DESC, dir DESC, edge, b) AS m FROM
+              (SELECT * FROM pr WHERE a IN (SELECT b FROM f1) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY p2 DESC, dir DESC, edge) = 1)),
+        al AS (SELECT a AS seed, 1 AS hop, CAST(NULL AS BIGINT) AS via, b AS id, line, p1 AS k1, 0 AS k2, n AS k3, -1e300 AS k4, 0 AS k5 FROM f1
+               UNION ALL SELECT f1.a, 2, f1.b, f2.b, f2.line, least(f1.p1, f2.p2), CASE WHEN f2.p2 <= f1.p1 THEN 1 ELSE 0 END, n, CASE WHEN f2.p2 <= f1.p1 THEN 0 ELSE -f2.p2 END, m FROM f1 JOIN f2 ON f2.a = f1.b WHERE f2.b <> f1.a),
+        it AS MATERIALIZED (SELECT seed, hop, via, id, line, row_number() OVER (PARTITION BY seed ORDER BY k1 DESC, k2, k3, k4, k5) AS nr FROM al),
+        hd AS MATERIALIZED (SELECT seed, {_LINE.format(prefix="''", kind='kind')} || chr(10) || CASE WHEN coalesce(signature, '') <> '' THEN 'declared: ' || signature || chr(10) ELSE '' END || chr(10) AS head FROM seeds JOIN n ON seed = id),
+        walk AS (SELECT seed, CAST(0 AS BIGINT) AS nr, [seed] AS taken, [seed] AS opened, CAST(7960 - length(head) AS BIGINT) AS room, 0 AS place, false AS ok, CAST(NULL AS BIGINT) AS id, 0 AS hop, '' AS line FROM hd
+              UNION ALL SELECT seed, nr, CASE WHEN ok THEN list_append(taken, id) ELSE taken END, CASE WHEN ok AND hop = 1 THEN list_append(opened, id) ELSE opened END, CASE WHEN ok THEN room - length(line) - 1 ELSE room END, CASE WHEN ok THEN place + 1 ELSE place END, ok, id, hop, line
+              FROM (SELECT w.seed, it.nr, w.taken, w.opened, w.room, w.place, NOT list_contains(w.taken, it.id) AND (it.hop = 1 OR list_contains(w.opened, it.via)) AS ok, it.id, it.hop, it.line FROM walk w JOIN it ON it.seed = w.seed AND it.nr = w.nr + 1 WHERE w.room >= 0))"""
+
+
+def _walked(seeds: str) -> str:
+    return f"WITH RECURSIVE {N}, {E}, {seeds}, {_U}, {_WALK}"
+
+
+SQL["context_full"] = f"{_walked(TOP)} SELECT seed, place, id, hop AS depth, line FROM walk WHERE ok AND room >= 0"
+SQL["answer_context"] = f"""{_walked(TOP)}, rf AS (SELECT DISTINCT source_id AS seed, target_name FROM refs WHERE target_name <> '' QUALIFY dense_rank() OVER (PARTITION BY source_id ORDER BY target_name) <= 10),
+        tl AS (SELECT seed, 'refers to: ' || string_agg(target_name, ', ' ORDER BY target_name) || chr(10) AS tail FROM rf GROUP BY seed),
+        bd AS (SELECT seed, string_agg(line || chr(10), '' ORDER BY place) AS body FROM walk WHERE ok AND room >= 0 GROUP BY seed),
+        tx AS (SELECT hd.seed, head || coalesce(body, '') AS t, tail FROM hd LEFT JOIN bd USING (seed) LEFT JOIN tl USING (seed)),
+        ty AS (SELECT seed, CASE WHEN tail IS NOT NULL AND length(t) + length(tail) <= 8000 THEN t || tail ELSE t END AS text FROM tx)
+        SELECT seed, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5 FROM ty"""
 SQL["search_semantic_fixed"] = SQL["search_semantic"].replace(f"{TOP}, {_VEC}", f"{_VEC}, seeds AS (SELECT DISTINCT node_id AS seed FROM fv WHERE node_id % 50 = 0)")
 SQL["search_hybrid_fixed"] = SQL["search_hybrid"].replace(TOP, "seeds AS (SELECT id AS seed FROM n WHERE id % 50 = 0)")

@@ -1,6 +1,8 @@
 """Search, context and rendering against SQLite's full-text index and hand-built cases."""
 
+import heapq
 import json
+import random
 import sqlite3
 
 import numpy as np
@@ -67,7 +69,63 @@ def test_context_expands_through_strong_parents_only(spark):
     assert got == [(2, 1), (4, 2), (3, 1)]  # 5 is three hops away
     direct = retrieval.direct_context(graph.neighbours(seeds, n, e), n, use).orderBy("place").collect()
     assert [r["id"] for r in direct] == [2, 3] and direct[0]["line"].startswith("[calls] function n2 — a.py:1")
-    assert retrieval.context(seeds, n, e, use, graph.neighbours, budget=60).count() <= 1
+    assert retrieval.context(seeds, n, e, use, graph.neighbours, budget=90).count() <= 1
+
+
+def plain_walk(seed, near, prio, line, room):
+    """The best-first walk with a queue, for one seed."""
+    heap, k, taken, out = [], 0, {seed}, []
+    for b in near(seed, 1.0):
+        k += 1
+        heapq.heappush(heap, (-prio(b, 1.0), k, 1, b))
+    while heap:
+        _, _, hop, b = heapq.heappop(heap)
+        if b[-1] in taken:
+            continue
+        room -= len(line(b)) + 1
+        if room < 0:
+            break
+        taken.add(b[-1])
+        out.append((b[-1], hop))
+        for c in near(b[-1], 0.6) if hop == 1 else ():
+            k += 1
+            heapq.heappush(heap, (-prio(c, 0.6), k, 2, c))
+    return out
+
+
+def test_context_equals_a_walk_with_a_queue(spark):
+    """Six kinds of edges to each node, ties and loops: the order of a queue, and the budget is filled."""
+    rng = random.Random(9)
+    kinds = ["calls", "imports", "inherits", "contains", "co_changes", "reads"]
+    n = [node(k, rank=rng.choice([0.0, 0.1, 0.5, 1.0]), name=f"n{k}", qname=f"pkg.n{k}") for k in range(1, 90)]
+    e = {(a, b, kind): rng.choice([0.2, 0.5, 1.0]) for a in range(1, 90) for b in rng.sample(range(1, 90), 3) for kind in rng.sample(kinds, 2)}
+    e |= {(1, b, kind): 1.0 for b in range(2, 60) for kind in kinds}
+    nodes, edges = graph.clean_nodes(nodes_of(spark, n)), edges_of(spark, [(*k, w) for k, w in e.items()])
+    use = spark.createDataFrame([(3, 4)], "node_id long, uses long")
+    rank = {r["id"]: r["rank"] for r in nodes.collect()}
+    lines = {r["id"]: r["line"] for r in nodes.select("id", fn.node_line(F.lit("")).alias("line")).collect()}
+    arcs = [(a, "out", kind, w, b) for (a, b, kind), w in e.items()] + [(b, "in", kind, w, a) for (a, b, kind), w in e.items()]
+    prio = lambda x, d: round(x[3] * (0.5 + rank[x[4]]) * d * (1.4 if x[4] == 3 else 1.0), 9)
+    line = lambda x: f"[{x[2] + ('-by' if x[1] == 'in' else '')}] {lines[x[4]]}"
+    near = lambda s, d: sorted((x for x in arcs if x[0] == s and x[4] != s), key=lambda x: (-prio(x, d), x[1] != "out", x[2], x[4]))
+    for budget in (900, 2500, 100_000):
+        got = retrieval.context(spark.createDataFrame([(1,), (2,), (70,)], "seed long"), nodes, edges, use, graph.neighbours, budget)
+        heads = {r["seed"]: len(r["head"]) for r in retrieval.headers(spark.createDataFrame([(1,), (2,), (70,)], "seed long"), nodes).collect()}
+        rows = got.orderBy("seed", "place").collect()
+        for seed in (1, 2, 70):
+            mine = [(r["id"], r["depth"]) for r in rows if r["seed"] == seed]
+            assert mine == plain_walk(seed, near, prio, line, budget - 40 - heads[seed]), (seed, budget)
+    used = sum(len(r["line"]) + 1 for r in retrieval.context(spark.createDataFrame([(1,)], "seed long"), nodes, edges, use, graph.neighbours, 2500).collect())
+    assert used > 2500 - 40 - 120
+
+
+def test_the_answer_about_a_node(spark):
+    n = graph.clean_nodes(nodes_of(spark, [node(1, rank=0.2), node(2, rank=0.9)]))
+    refs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (1, None)], "source_id long, target_name string")
+    use = spark.createDataFrame([], "node_id long, uses long")
+    ask = lambda budget: retrieval.context_text(spark.createDataFrame([(1,)], "seed long"), n, edges_of(spark, [(1, 2, "calls", 1.0)]), use, refs, graph.neighbours, budget).first()["text"]
+    assert ask(8000).startswith("function n1 — a.py:1") and "[calls] function n2" in ask(8000) and ask(8000).endswith("refers to: a, b\n")
+    assert "refers to" not in ask(30)
 
 
 def test_budget_stops_at_the_first_overflow(spark):
