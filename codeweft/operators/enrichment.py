@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
 from codeweft.operators.incremental import merged
+from codeweft.session import shared_folder, written
 
 
 def embed_missing(nodes: DataFrame, vectors: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -41,30 +42,72 @@ def summarize(items: DataFrame, write: Callable[[list[str]], list[str]]) -> Data
     return items.select("id", "text").mapInPandas(run, "id long, summary string")
 
 
-def store_summaries(nodes: DataFrame, offered: DataFrame) -> DataFrame:
-    """nodes with the offered summaries (id, summary), cleaned; empty ones and unknown ids are refused."""
-    good = offered.filter("id IS NOT NULL").select("id", fn.clean_summary(F.col("summary")).alias("__new")).filter("__new IS NOT NULL")
-    last = good.groupBy("id").agg(F.max("__new").alias("__new"))
+def store_summaries(nodes: DataFrame, offered: DataFrame, order: str | None = None) -> DataFrame:
+    """nodes with the summary offered last (id, summary and the column ``order``, else the order of rows), cleaned; empty ones and unknown ids are refused."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    good = offered.filter("id IS NOT NULL").select("id", fn.clean_summary(F.col("summary")).alias("__new"), place.alias("__place")).filter("__new IS NOT NULL")
+    last = good.groupBy("id").agg(F.max_by("__new", F.struct("__place", "__new")).alias("__new"))
     return nodes.join(last, "id", "left").withColumn("summary", F.coalesce("__new", "summary")).drop("__new")
 
 
+def remaining(nodes: DataFrame) -> DataFrame:
+    """language, kind, n_nodes, n_left: nodes and those without a summary (modules aside), what an enrichment still has to do."""
+    rows = nodes.filter("kind <> 'module'")
+    return rows.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(F.coalesce("summary", F.lit("")) == "", 1)).alias("n_left"))
+
+
+def with_snippets(nodes: DataFrame, snippets: DataFrame) -> DataFrame:
+    """nodes with snippet_hash, the hash of their source lines (id, n, line): what tells later whether a summary still holds."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
+    return nodes.drop("snippet_hash").join(snippets.groupBy("id").agg(F.sha2(text, 256).alias("snippet_hash")), "id", "left")
+
+
+def enriched(nodes: DataFrame, batch: Callable[[DataFrame], DataFrame], write: Callable[[list[str]], list[str]], rounds: int = 10) -> tuple[DataFrame, int]:
+    """nodes with summaries, batch by batch, and how many still lack one.
+
+    ``batch`` gives the next work items (id, text) of the nodes as they are, ``write`` the
+    summaries of a list of texts.  Each round is stored in the shared folder.  It ends when
+    nothing is left, after ``rounds``, or when a round stores nothing new.
+    """
+    root = shared_folder(nodes.sparkSession, "enriched")
+    left = nodes.filter((F.coalesce("summary", F.lit("")) == "") & (F.col("kind") != "module")).count()
+    for k in range(rounds):
+        if not left:
+            break
+        nodes = written(store_summaries(nodes, summarize(batch(nodes), write)), f"{root}/round-{k}")
+        before, left = left, nodes.filter((F.coalesce("summary", F.lit("")) == "") & (F.col("kind") != "module")).count()
+        if left == before:
+            break
+    return nodes, left
+
+
 def matching(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes with the text in their name or summary, whatever its case."""
     low = text.lower()
     return nodes.filter(F.lower("name").contains(low) | F.lower(F.coalesce("summary", F.lit(""))).contains(low))
 
 
+#: How words begin that speak of a fix.
+FIXING = ["fix", "bug", "crash", "error", "fail", "regress", "broken", "incorrect", "wrong", "issue", "resolve"]
+
+
+def bare_subject(subject: Column) -> Column:
+    """A commit subject without its issue numbers."""
+    return F.trim(F.regexp_replace(subject, r"\(?#\d+\)?", ""))
+
+
 def is_fix(subject: Column) -> Column:
-    """Whether a commit subject, less its issue number, has three words or more and speaks of a fix."""
-    bare = F.trim(F.regexp_replace(subject, r"\(#\d+\)", ""))
-    return (F.size(F.split(bare, r"\s+")) >= 3) & bare.rlike(r"(?i)\b(?:fix(?:es|ed)?|bug|crash|error|issue|regression|broken|wrong|fail(?:s|ed|ure)?)\b")
+    """Whether a commit subject, less its issue numbers, has three words or more and one that begins like those that speak of a fix."""
+    bare = bare_subject(subject)
+    words = F.size(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+    return (words >= 3) & bare.rlike(rf"(?i)\b(?:{'|'.join(FIXING)})")
 
 
 def fix_commits(commits: DataFrame, code_file: Callable[[Column], Column], current: DataFrame, most_code: int = 5, most: int = 10) -> DataFrame:
     """sha, subject, path: the code files of commits that fix something and touch few files, as far as they still exist."""
     few = commits.filter(is_fix(F.col("subject")) & (F.size("files") <= most))
     few = few.withColumn("code", F.filter("files", code_file)).filter(F.size("code").between(1, most_code))
-    return few.select("sha", "subject", F.explode("code").alias("path")).join(current.select("path").distinct(), "path", "left_semi").select("sha", "subject", "path")
+    return few.select("sha", bare_subject(F.col("subject")).alias("subject"), F.explode("code").alias("path")).join(current.select("path").distinct(), "path", "left_semi").select("sha", "subject", "path")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -30,10 +30,12 @@ def freshness(current: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("repo", "path", state.alias("state"))
 
 
-def cleared(changed: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
-    """The tables without what belongs to changed files (repo, path): nodes, edges at either end, references and vectors."""
+def cleared(changed: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame, vectors: DataFrame, files: DataFrame | None = None, usage: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables without what belongs to changed files (repo, path): nodes, edges at either end, references, vectors, usage and the manifest."""
     gone = nodes.join(changed.select("repo", F.col("path").alias("file_path")), ["repo", "file_path"], "left_semi").select("id").distinct()
-    return {
+    more = {} if files is None else {"files": files.join(changed.select("repo", "path"), ["repo", "path"], "left_anti")}
+    more |= {} if usage is None else {"usage": usage.join(gone.select(F.col("id").alias("node_id")), "node_id", "left_anti")}
+    return more | {
         "nodes": nodes.join(gone, "id", "left_anti"),
         "edges": edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"),
         "refs": refs.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti"),
@@ -47,7 +49,11 @@ def merged(known: DataFrame, news: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def carried(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new (qualified_name, snippet_hash) with the summary of the old symbol of that name, if its snippet is the same."""
-    before = old.filter("summary <> ''").select("qualified_name", F.col("snippet_hash").alias("__h"), F.col("summary").alias("__s")).dropDuplicates(["qualified_name"])
-    same = F.col("snippet_hash") == F.col("__h")
-    return new.drop("summary").join(before, "qualified_name", "left").withColumn("summary", F.when(same, F.col("__s")).otherwise("")).drop("__h", "__s")
+    """new (repo, file_path, qualified_name, snippet_hash) with the summary of the old symbol of that name in that file, if its snippet is the same.
+
+    Of several old symbols of one name and snippet the greatest summary counts, so the
+    result is always the same; null hashes equal nothing.
+    """
+    keys = ["repo", "file_path", "qualified_name", "snippet_hash"]
+    before = old.filter("summary <> '' AND snippet_hash IS NOT NULL").groupBy(*keys).agg(F.max("summary").alias("__s"))
+    return new.drop("summary").join(before, keys, "left").withColumn("summary", F.coalesce("__s", F.lit(""))).drop("__s")

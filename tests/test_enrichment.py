@@ -24,12 +24,32 @@ def test_summaries_are_cleaned_and_refused(spark):
     made = enrichment.summarize(spark.createDataFrame([(1, "x"), (2, "y"), (99999, "z")], "id long, text string"), lambda t: ["  good  " if x == "x" else " " if x == "y" else "no" for x in t])
     assert {r["id"]: r["summary"] for r in enrichment.store_summaries(n, made).collect()} == {1: "good", 2: "stay"}
     assert [r["id"] for r in enrichment.matching(n, "OLD").collect()] == [1]
+    twice = spark.createDataFrame([(1, "z first", 1), (1, "a last", 2), (1, "  ", 3)], "id long, summary string, at int")
+    assert enrichment.store_summaries(n, twice, "at").filter("id = 1").first()["summary"] == "a last"
+
+
+def test_enrichment_ends_when_nothing_is_left_or_stored(spark):
+    n = nodes_of(spark, [node(k) for k in range(5)])
+    batch = lambda nodes: nodes.filter("summary = ''").orderBy("id").limit(2).selectExpr("id", "name AS text")
+    done, left = enrichment.enriched(n, batch, lambda texts: [f"about {t}" for t in texts])
+    assert left == 0 and {r["summary"] for r in done.collect()} == {f"about n{k}" for k in range(5)}
+    stuck, left = enrichment.enriched(n, batch, lambda texts: [" " for _ in texts])
+    assert left == 5 and enrichment.remaining(stuck).first()["n_left"] == 5
+
+
+def test_snippet_hashes(spark):
+    n = nodes_of(spark, [node(1), node(2)])
+    lines = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "id long, n int, line string")
+    got = {r["id"]: r["snippet_hash"] for r in enrichment.with_snippets(n, lines).collect()}
+    assert got[2] is None and len(got[1]) == 64
 
 
 def test_fix_commits(spark):
     c = spark.createDataFrame([("1", "fix the crash here (#12)", ["a.py", "n.md"]), ("2", "fix (#1)", ["a.py"]), ("3", "add a thing now", ["a.py"]), ("4", "fix broken old file", ["gone.py"]), ("5", "fix many files here", [f"{k}.py" for k in range(11)])], "sha string, subject string, files array<string>")
     got = enrichment.fix_commits(c, lambda p: language_of(p).isNotNull(), spark.createDataFrame([("a.py",)], "path string"))
-    assert [tuple(r) for r in got.collect()] == [("1", "fix the crash here (#12)", "a.py")]
+    assert [tuple(r) for r in got.collect()] == [("1", "fix the crash here", "a.py")]
+    said = spark.createDataFrame([("resolves #3 in the walker",), ("regressions in parsing found",), ("prefix the names here",), ("Incorrect #12",)], "s string")
+    assert [r["x"] for r in said.select(enrichment.is_fix(F.col("s")).alias("x")).collect()] == [True, True, False, False]
 
 
 def test_instances_and_runs(spark, tmp_path):

@@ -4,6 +4,8 @@ import subprocess
 from datetime import datetime
 from random import Random
 
+from pyspark.sql import functions as F
+
 from codeweft.operators import changes, extraction, incremental
 from codeweft.sources import languages as lang
 from codeweft.sources import repositories as repos
@@ -29,6 +31,19 @@ def test_repository_scan_and_rules(spark, tmp_path):
     assert got == {"a.py": "python", "web/ok.js": "javascript", "notes.md": None, "keep/z.py": "python"}
 
 
+def test_ignore_files_and_odd_names_of_a_repository(spark, tmp_path):
+    root = tmp_path / "re.po (x)"
+    for p in ("a b/c+d.py", "x[1].py", "{y}.py", "pkg/__init__.py", "skip/z.py", "keep.py", "draft.py"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text("x = 1\n")
+    (root / ".gitignore").write_text("skip/\ndraft.*\n")
+    got = {r["path"]: bytes(r["content"]) for r in repos.read_repository(spark, str(root), "r").filter("lang = 'python'").collect()}
+    assert got.keys() == {"a b/c+d.py", "x[1].py", "{y}.py", "pkg/__init__.py", "keep.py"} and set(got.values()) == {b"x = 1\n"}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.lock").write_text("1")
+    assert repos.read_repository(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_ignore_patterns():
     import re
 
@@ -54,9 +69,12 @@ def test_freshness_and_cascade(spark):
 
 
 def test_summaries_are_carried_while_the_snippet_is_the_same(spark):
-    old = spark.createDataFrame([("a.f", "h1", "does f"), ("a.g", "h2", "does g")], "qualified_name string, snippet_hash string, summary string")
-    new = spark.createDataFrame([("a.f", "h1", ""), ("a.g", "h3", ""), ("a.h", "h4", "")], "qualified_name string, snippet_hash string, summary string")
-    assert {(r["qualified_name"], r["summary"]) for r in incremental.carried(old, new).collect()} == {("a.f", "does f"), ("a.g", ""), ("a.h", "")}
+    schema = "repo string, file_path string, qualified_name string, snippet_hash string, summary string"
+    old = spark.createDataFrame([("r", "a.py", "a.f", "h1", "does f"), ("r", "a.py", "a.f", "h1", "a twin"), ("s", "a.py", "a.h", "h4", "elsewhere"), ("r", "a.py", "a.g", "h2", "does g"), ("r", "a.py", "a.n", None, "x")], schema)
+    new = spark.createDataFrame([("r", "a.py", "a.f", "h1", ""), ("r", "a.py", "a.g", "h3", ""), ("r", "a.py", "a.h", "h4", ""), ("r", "a.py", "a.n", None, "")], schema).union(spark.createDataFrame([], schema))
+    got = {(r["qualified_name"], r["summary"]) for r in incremental.carried(old, new).collect()}
+    assert got - {("a.n", "")} == {("a.f", "does f"), ("a.g", ""), ("a.h", "")} and len(got) == 4
+    assert incremental.carried(old, new).count() == 4
 
 
 def test_hunks_and_touched_symbols(spark):
@@ -102,6 +120,8 @@ def test_unified_diff(spark):
     lines = ["diff --git a/m.py b/m.py", "--- a/m.py", "+++ b/m.py", "@@ -1 +1,2 @@", "+x", "@@ -9,2 +10,0 @@", "-y", "+++ b/n.py", "@@ -3 +3 @@"]
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
     assert sorted(map(tuple, repos.diff_hunks(df).collect())) == [("m.py", 1, 2), ("m.py", 10, 10), ("n.py", 3, 3)]
+    two = df.withColumn("d", F.lit(1)).unionByName(df.withColumn("d", F.lit(2)))
+    assert repos.diff_hunks(two, diff="d").count() == 6
 
 
 def test_commit_log(spark, tmp_path):
@@ -187,3 +207,30 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([scan("a.py", "2", 3)], SCAN).coalesce(1).write.mode("append").parquet(str(src / "scans.parquet"))
     second = {r["path"]: r["hash"] for r in usage.refresh(spark, usage.stream(spark, str(src), "scans"), str(root)).collect()}
     assert second["a.py"] != {r["path"]: r["hash"] for r in first}["a.py"] and len(second) == 2
+    again = {r["path"]: r["hash"] for r in usage.refresh(spark, usage.stream(spark, str(src), "scans"), str(root)).collect()}
+    assert again == second  # nothing new: the manifest is found in the folder
+    late = [scan("a.py", "older", 2), ("r", "b.py", None, 1, bytearray(b"9"), "python"), ("r", "n.py", None, 1, bytearray(b"1"), "python")]
+    spark.createDataFrame(late, SCAN).coalesce(1).write.mode("append").parquet(str(src / "scans.parquet"))
+    third = {r["path"]: r["hash"] for r in usage.refresh(spark, usage.stream(spark, str(src), "scans"), str(root)).collect()}
+    assert third.keys() == {"a.py", "b.py", "n.py"} and {k: third[k] for k in second} == second
+    whole = {r["path"]: r["hash"] for r in repos.current_files(spark.read.parquet(str(src / "scans.parquet"))).collect()}
+    assert third == whole
+    empty = tmp_path / "none"
+    spark.createDataFrame([], SCAN).coalesce(1).write.parquet(str(empty / "scans.parquet"))
+    assert usage.refresh(spark, usage.stream(spark, str(empty), "scans")).count() == 0
+
+
+def test_usage_windows_in_append_mode_and_after_a_restart(spark, tmp_path):
+    event = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    put = lambda rows: spark.createDataFrame([(k, datetime(2025, 1, 1, h, m), 1, "view", 1.0, None) for k, (h, m) in enumerate(rows)], event).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "events.parquet"))
+    run = lambda mode, root: {r["window_start"].hour: r["n"] for r in usage.run_once(spark, usage.usage_counts(usage.stream(spark, str(tmp_path / "in"), "events")), mode, str(tmp_path / root)).collect()}
+    put([(1, 5), (1, 9), (2, 1)])
+    assert run("complete", "c") == {1: 2, 2: 1} and run("append", "a") == {} and run("update", "u") == {1: 2, 2: 1}
+    put([(5, 0)])
+    run("append", "a")
+    put([(1, 30), (5, 1)])  # far too late, and in time
+    assert run("complete", "c") == {1: 3, 2: 1, 5: 2}
+    assert run("append", "a") == {1: 2, 2: 1}
+    assert run("update", "u") in ({1: 2, 2: 1, 5: 2}, {1: 3, 2: 1, 5: 2})
+    put([(9, 0)])
+    assert run("append", "a") == {1: 2, 2: 1, 5: 2} and run("append", "a") == {1: 2, 2: 1, 5: 2}
