@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: For languages other than Python: patterns of definitions by kind (the name is the last group that matched), and of imports and bases.
 _NAME = r"([A-Za-z_$][\w$]*)"
@@ -79,6 +80,40 @@ def _python(text: str, module: str) -> tuple[list, list]:
     return syms, refs
 
 
+_PY_HEAD = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)(?:[ \t]*\(([^()]*)\))?")
+_PY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b|import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*))")
+_PY_STRINGS = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:[^\"\\\n]|\\.)*\"|\'(?:[^\'\\\n]|\\.)*\'|#[^\n]*", re.S)
+
+
+def _indented(text: str, module: str) -> tuple[list, list]:
+    """Symbols and references of Python that doesn't parse: heads by line, spans by indent."""
+    lines, plain = text.split("\n"), _PY_STRINGS.sub(lambda m: _blank(m[0]), text).split("\n")
+    syms, refs, open_ = [], [], []  # open_: indent, qualified name, is class, place in syms
+    last = 0
+    for k, line in enumerate(plain, 1):
+        if not line.strip():
+            continue
+        indent = len(line) - len(line.lstrip())
+        while open_ and open_[-1][0] >= indent:
+            syms[open_.pop()[3]][4] = last
+        last = k
+        scope = open_[-1][1] if open_ else module
+        if m := _PY_HEAD.match(line):
+            cls = m[2] == "class"
+            syms.append(["class" if cls else "method" if open_ and open_[-1][2] else "function", m[3], f"{scope}.{m[3]}", k, k, lines[k - 1].strip()])
+            open_.append((indent, f"{scope}.{m[3]}", cls, len(syms) - 1))
+            if cls:
+                refs += [("inherits", f"{scope}.{m[3]}", b.strip()) for b in (m[4] or "").split(",") if re.fullmatch(r"[A-Za-z_][\w.]*", b.strip())]
+            line = line[m.end() :]
+        elif m := _PY_IMPORT.match(line):
+            refs += [("imports", module, x.split()[0].split(".")[0]) for x in (m[1] or m[2]).split(",")]
+            continue
+        refs += [("calls", open_[-1][1] if open_ else module, m[1]) for m in _CALL.finditer(line) if m[1] not in _NO_CALL]
+    for _, _, _, at in open_:
+        syms[at][4] = last
+    return [tuple(x) for x in syms], refs
+
+
 def _blank(text: str) -> str:
     return re.sub(r"[^\n]", " ", text)
 
@@ -218,11 +253,11 @@ def _braced(text: str, module: str, lang: str) -> tuple[list, list]:
     for a, b in sorted(heads):  # what a definition's own name and parameters look like is no call
         parts += [bare[done:a], _blank(bare[max(a, done) : b])]
         done = max(done, b)
+    owner = [module] * (len(lines) + 2)  # of each line, the innermost definition: later spans lie in earlier ones
+    for _, _, qname, a, b, _ in syms:
+        owner[a : b + 1] = [qname] * (b + 1 - a)
     for k, line in enumerate("".join([*parts, bare[done:]]).split("\n"), 1):
-        calls = [m[1] for m in _CALL.finditer(line) if m[1] not in _NO_CALL]
-        if calls:
-            inner = [s for s in syms if s[3] <= k <= s[4]]
-            refs += [("calls", inner[-1][2] if inner else module, x) for x in calls]
+        refs += [("calls", owner[k], m[1]) for m in _CALL.finditer(line) if m[1] not in _NO_CALL]
     return syms, refs
 
 
@@ -232,19 +267,20 @@ def extract(lang: str | None, content: bytes | None, path: str) -> tuple[bool, l
         return False, [], []
     module = re.sub(r"\.[^./]*$", "", path).replace("/", ".")
     try:
-        text = content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n")
+        text = content.decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n")
         syms, refs = _python(text, module) if lang == "python" else _braced(text, module, lang)
         return False, syms, refs
     except (SyntaxError, ValueError, RecursionError):
-        return True, [], []
+        return True, *(_indented(text, module) if lang == "python" else ([], []))
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """repo, path, parse_error, symbols, refs of every file (repo, path, lang, content), where it is read.
+def extracted(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """repo, path, parse_error, symbols, refs (and columns to keep) of every file (repo, path, lang, content), where it is read.
 
-    Python by its own syntax tree, other languages by patterns and braces; languages
-    without patterns of their own give definitions only.  Qualified names are the dotted
-    path and the chain of enclosing definitions; imports belong to the file.
+    Python by its own syntax tree, or by heads and indents where it doesn't parse; other
+    languages by patterns and braces; languages without patterns of their own give
+    definitions only.  Qualified names are the dotted path and the chain of enclosing
+    definitions; imports belong to the file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +288,18 @@ def extracted(files: DataFrame) -> DataFrame:
             rows = [extract(lang, c, p or "") for lang, c, p in zip(b.column("lang").to_pylist(), b.column("content").to_pylist(), b.column("path").to_pylist())]
             syms = pa.array([[dict(zip(("kind", "name", "qualified_name", "line_start", "line_end", "signature"), s)) for s in r[1]] for r in rows], pa.list_(SYMBOL))
             refs = pa.array([[dict(zip(("kind", "source", "target_name"), x)) for x in r[2]] for r in rows], pa.list_(REF))
-            yield pa.RecordBatch.from_arrays([b.column("repo"), b.column("path"), pa.array([r[0] for r in rows]), syms, refs], ["repo", "path", "parse_error", "symbols", "refs"])
+            yield pa.RecordBatch.from_arrays([b.column("repo"), b.column("path"), pa.array([r[0] for r in rows]), syms, refs, *(b.column(c) for c in keep)], ["repo", "path", "parse_error", "symbols", "refs", *keep])
+
+    rows = files.select("repo", "path", "lang", "content", *keep)
+    return rows.mapInArrow(run, ", ".join([SCHEMA, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)]))
+
 
-    return files.select("repo", "path", "lang", "content").mapInArrow(run, SCHEMA)
+def current_symbols(scans: DataFrame) -> DataFrame:
+    """repo, path, parse_error, symbols, refs of the current version of every scanned file.
+
+    Every version is read where it lies, and only what was found in it is shuffled.
+    """
+    stamped = scans.withColumns({"modification_time": F.col("modification_time").cast("timestamp_ntz"), "tie": F.xxhash64("content")})
+    found = extracted(stamped, ("modification_time", "tie")).dropna(subset=["repo", "path"])
+    last = F.max(F.struct("modification_time", "tie", "parse_error", "symbols", "refs")).alias("v")
+    return found.groupBy("repo", "path").agg(last).select("repo", "path", "v.parse_error", "v.symbols", "v.refs")

@@ -100,13 +100,21 @@ def induced(nodes: DataFrame, edges: DataFrame, n: int = 500) -> tuple[DataFrame
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, n: int = 500) -> DataFrame:
-    """One line of JSON per element of the induced graph, ids as strings, as graph viewers read them."""
+    """One line of JSON per element of the induced graph, ids and ranks as strings, as graph viewers read them."""
     top, inner = induced(nodes, edges, n)
-    a = top.select(F.lit("node").alias("element"), F.to_json(F.struct(F.struct(F.col("id").cast("string").alias("id"), F.col("name").alias("label"), "kind").alias("data"))).alias("json"))
+    data = F.struct(F.col("id").cast("string").alias("id"), F.col("name").alias("label"), "kind", F.col("file_path").alias("file"), F.col("line_start").alias("line"), F.coalesce("summary", F.lit("")).alias("summary"), F.col("rank").cast("decimal(18,6)").cast("string").alias("rank"))
+    a = top.select(F.lit("node").alias("element"), F.to_json(F.struct(data.alias("data")), {"ignoreNullFields": "false"}).alias("json"))
     b = inner.select(F.lit("edge").alias("element"), F.to_json(F.struct(F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "kind").alias("data"))).alias("json"))
     return a.unionByName(b)
 
 
+def graph_document(nodes: DataFrame, edges: DataFrame, n: int = 500) -> DataFrame:
+    """json: the same as one document with the lists ``nodes`` and ``edges``; the graph of n nodes bounds it."""
+    rows = graph_json(nodes, edges, n)
+    part = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("element") == k, F.col("json")))), ",")
+    return rows.agg(F.concat(F.lit('{"nodes":['), part("node"), F.lit('],"edges":['), part("edge"), F.lit("]}")).alias("json"))
+
+
 def is_test(path: Column) -> Column:
     low = F.lower(F.coalesce(path, F.lit("")))
     return F.element_at(F.split(low, "/"), -1).contains("test") | F.concat(F.lit("/"), low).contains("/tests/")

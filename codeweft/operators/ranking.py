@@ -142,8 +142,8 @@ def communities(links: DataFrame, rounds: int = 10, levels: int = 60) -> DataFra
     return labels.select("id", F.col("label").alias("community"))
 
 
-def subsystems(nodes: DataFrame, limit: int = 6, per: int = 4) -> DataFrame:
-    """community, size, place, file_path: the largest communities of files, each with its highest-ranked files.
+def subsystems(nodes: DataFrame, limit: int = 6, per: int = 4, more: tuple[str, ...] = ()) -> DataFrame:
+    """community, size, place, file_path (and more columns): the largest communities of files, each with its highest-ranked files.
 
     The ``limit`` largest come first, ties by smaller id, and of these only those with two
     files or more; label 0 is no community.
@@ -151,4 +151,13 @@ def subsystems(nodes: DataFrame, limit: int = 6, per: int = 4) -> DataFrame:
     files = nodes.filter("kind = 'file' AND community <> 0")
     big = files.groupBy("community").agg(F.count(F.lit(1)).alias("size")).orderBy(F.col("size").desc(), "community").limit(limit).filter("size >= 2")
     place = F.row_number().over(Window.partitionBy("community").orderBy(F.col("rank").desc(), "id"))
-    return files.join(big, "community").withColumn("place", place).filter(F.col("place") <= per).select("community", "size", "place", "file_path")
+    return files.join(big, "community").withColumn("place", place).filter(F.col("place") <= per).select("community", "size", "place", "file_path", *more)
+
+
+def with_ranks(nodes: DataFrame, ranks: DataFrame, groups: DataFrame) -> DataFrame:
+    """nodes with new ranks (id, rank) and communities (id, community of files), each node in the community of its file; unknown: 0."""
+    files = nodes.filter("kind = 'file'").groupBy("repo", "file_path").agg(F.max("id").alias("id"))
+    of_file = files.join(groups, "id").select("repo", "file_path", "community")
+    rest = [c for c in nodes.columns if c not in ("rank", "community")]
+    rows = nodes.select(*rest).join(ranks, "id", "left").join(of_file, ["repo", "file_path"], "left")
+    return rows.select(*rest, F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("community", F.lit(0)).alias("community"))

@@ -287,26 +287,68 @@ def context_text(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, usage: Da
 
 
 def overview(nodes: DataFrame, top: DataFrame, groups: DataFrame, budget: int = 8000) -> DataFrame:
-    """pos, line: counts, key symbols, subsystems and files by top folder, as many lines as fit the budget."""
-    n, files = nodes.agg(F.count(F.lit(1)), F.count(F.when(F.col("kind") == "file", 1))).first()
+    """pos, line: counts, key symbols, subsystems and files by top folder, as many lines as fit the budget.
+
+    groups: community, size, place, file_path, summary.  The counts are an aggregate of the
+    plan, so nothing runs before the result is asked for.
+    """
     spark = nodes.sparkSession
+    about = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(" — "), c)).otherwise("")
+    counts = nodes.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == "file", 1)).alias("files"))
+    counts = counts.select(F.lit("0").alias("pos"), F.concat(F.lit("# Graph of "), "n", F.lit(" nodes in "), "files", F.lit(" files")).alias("line"))
     key = F.lpad(F.row_number().over(Window.orderBy(F.col("rank").desc(), "id")).cast("string"), 6, "0")
     symbols = top.select(F.concat(F.lit("1-"), key).alias("pos"), fn.node_line(F.lit("- ")).alias("line"))
-    per = groups.groupBy("community", "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "file_path"))), lambda x: x.file_path), ", ").alias("names"), F.count(F.lit(1)).alias("shown"))
-    more = F.when(F.col("size") > F.col("shown"), F.concat(F.lit(" (+"), F.col("size") - F.col("shown"), F.lit(" more)"))).otherwise("")
+    lead = F.max(F.when(F.col("place") == 1, F.col("summary"))).alias("lead")
+    per = groups.groupBy("community", "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "file_path"))), lambda x: x.file_path), ", ").alias("names"), F.count(F.lit(1)).alias("shown"), lead)
+    more = F.when(F.col("size") > F.col("shown"), F.concat(F.lit(" and "), F.col("size") - F.col("shown"), F.lit(" more"))).otherwise("")
     order = F.lpad(F.row_number().over(Window.orderBy(F.col("size").desc(), "community")).cast("string"), 6, "0")
-    subs = per.select(F.concat(F.lit("3-"), order).alias("pos"), F.concat(F.lit("- ["), "size", F.lit(" files] "), "names", more).alias("line"))
-    heads = [("0", f"# Repository graph: {n} nodes, {files} files"), ("1-", "## Key symbols (by importance)"), ("3-", "## Subsystems (files that work together)"), ("5-", "## Files")]
+    subs = per.select(F.concat(F.lit("3-"), order).alias("pos"), F.concat(F.lit("- "), "size", F.lit(" files: "), "names", more, about(F.col("lead"))).alias("line"))
+    heads = [("1-", "## Most important symbols"), ("3-", "## Groups of files"), ("5-", "## All files")]
     folder = F.when(F.col("file_path").contains("/"), F.substring_index("file_path", "/", 1)).otherwise(".")
-    listed = nodes.filter("kind = 'file'").select(folder.alias("folder"), "file_path", "repo", "id")
+    listed = nodes.filter("kind = 'file'").select(folder.alias("folder"), "file_path", "repo", "id", "summary")
     titles = listed.select("folder").distinct().select(F.concat(F.lit("6-"), "folder").alias("pos"), F.concat(F.lit("### "), "folder", F.lit("/")).alias("line"))
-    paths = listed.select(F.concat(F.lit("6-"), "folder", F.lit("\u0001"), "file_path", F.lit("\u0001"), "repo").alias("pos"), F.concat(F.lit("- "), "file_path").alias("line"))
-    lines = spark.createDataFrame(heads, "pos string, line string").unionByName(symbols).unionByName(subs).unionByName(titles).unionByName(paths)
+    paths = listed.select(F.concat(F.lit("6-"), "folder", F.lit("\u0001"), "file_path", F.lit("\u0001"), "repo").alias("pos"), F.concat(F.lit("- "), F.col("file_path"), about(F.col("summary"))).alias("line"))
+    lines = spark.createDataFrame(heads, "pos string, line string").unionByName(counts).unionByName(symbols).unionByName(subs).unionByName(titles).unionByName(paths)
     # Lines beyond the budget can't count, so one ordered top-k bounds what the running sum sees.
     first = lines.orderBy("pos").limit(budget).withColumn("one", F.lit(1))
     return within_budget(first, ["one"], "pos", budget).select("pos", "line")
 
 
+def search(queries: DataFrame, nodes: DataFrame, vectors: DataFrame, limit: int = 12) -> DataFrame:
+    """qid, id, place of each query (qid, query, qvec): lexical and vector search fused where there are vectors, else lexical."""
+    lexical = bm25(queries, nodes, limit if (plain := vectors.limit(1).isEmpty()) else 50)
+    if plain:
+        return lexical.select("qid", "id", "place")
+    return fuse(lexical, semantic(queries.filter("qvec IS NOT NULL").select("qid", "qvec"), vectors, 50), limit).select("qid", "id", "place")
+
+
+def impact_listed(reached: DataFrame, together: DataFrame, nodes: DataFrame, users: int = 20, tests: int = 10) -> DataFrame:
+    """seed, section, place, id, line: what depends on a seed by (depth, rank, id), the first ``users``, the first ``tests`` of the tests, and the files that change with it.
+
+    reached: seed, id, depth, is_test (see ``graph.impact``); together: seed, weight,
+    file_path, place (see ``graph.cochanged``).
+    """
+    n = nodes.select("id", "rank", "kind", "qualified_name", "file_path", "line_start", "summary", "signature")
+    section = F.when(F.col("is_test"), "tests").otherwise("users")
+    rows = reached.withColumn("section", section).join(n, "id")
+    place = F.row_number().over(Window.partitionBy("seed", "section").orderBy("depth", F.col("rank").desc(), "id"))
+    rows = rows.withColumn("place", place).filter(((F.col("section") == "users") & (F.col("place") <= users)) | ((F.col("section") == "tests") & (F.col("place") <= tests)))
+    rows = rows.select("seed", "section", "place", "id", fn.node_line(F.concat(F.lit("["), "depth", F.lit("] "))).alias("line"))
+    line = F.concat(F.lit("["), F.round("weight", 2), F.lit("] "), F.col("file_path"))
+    return rows.unionByName(together.select("seed", F.lit("together").alias("section"), "place", F.lit(None).cast("long").alias("id"), line.alias("line")))
+
+
+def impact_text(listed: DataFrame, seeds: DataFrame, nodes: DataFrame, budget: int = 6000) -> DataFrame:
+    """seed, text: the sections of ``impact_listed`` under the seed's line, as many lines as fit the budget."""
+    number = F.when(F.col("section") == "users", 1).when(F.col("section") == "tests", 2).otherwise(3)
+    title = F.when(F.col("section") == "users", "used by:").when(F.col("section") == "tests", "tested by:").otherwise("changes with:")
+    rows = listed.select("seed", number.alias("s"), F.col("place").alias("p"), "line")
+    rows = rows.unionByName(listed.select("seed", number.alias("s"), F.lit(0).alias("p"), title.alias("line")).distinct())
+    head = seeds.join(nodes.withColumn("seed", F.col("id")), "seed").select("seed", F.lit(0).alias("s"), F.lit(0).alias("p"), fn.node_line(F.lit("")).alias("line"))
+    kept = within_budget(rows.unionByName(head).withColumn("o", F.struct("s", "p")), ["seed"], "o", budget)
+    return kept.groupBy("seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x.line), "\n").alias("text"))
+
+
 def ranked_files(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """qid, repo, file_path, pos: ranked nodes (qid, id, place) as ranked files, each file at its first place, from 1."""
     f = hits.join(nodes.select("id", "repo", "file_path"), "id").groupBy("qid", "repo", "file_path").agg(F.min("place").alias("place"))
@@ -333,3 +375,17 @@ def metrics(ranked: DataFrame, tasks: DataFrame) -> DataFrame:
     all_ = tasks.select("qid").distinct().join(first, "qid", "left")
     share = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 3)
     return all_.agg(F.count(F.lit(1)).alias("n_tasks"), share(5).alias("hit5"), share(10).alias("hit10"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 3).alias("mrr"))
+
+
+def mean_tokens(ranked: DataFrame, tasks: DataFrame) -> DataFrame:
+    """tokens: what the listed files of a task cost on the average, at a quarter of the characters."""
+    each = ranked.groupBy("qid").agg(F.floor(F.sum(F.length("file_path") + 1) / 4).alias("t"))
+    return tasks.select("qid").distinct().join(each, "qid", "left").agg(F.round(F.avg(F.coalesce("t", F.lit(0))), 1).alias("tokens"))
+
+
+def metrics_by_repository(ranked: DataFrame, tasks: DataFrame) -> DataFrame:
+    """repo, n_tasks, hit5, hit10, mrr: the metrics for the tasks of each repository."""
+    first = tasks.join(ranked, ["qid", "repo", "file_path"]).groupBy("qid", "repo").agg(F.min("pos").alias("first"))
+    all_ = tasks.select("qid", "repo").distinct().join(first, ["qid", "repo"], "left")
+    share = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 3)
+    return all_.groupBy("repo").agg(F.count(F.lit(1)).alias("n_tasks"), share(5).alias("hit5"), share(10).alias("hit10"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 3).alias("mrr"))

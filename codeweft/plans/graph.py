@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.operators import graph, ranking, resolving
+from codeweft.operators import graph, ranking, resolving, retrieval
 from codeweft.session import table
 
 N = """n AS (SELECT DISTINCT id, repo, kind, name, qualified_name, file_path, line_start, line_end, signature, summary, community,
@@ -15,6 +15,8 @@ N = """n AS (SELECT DISTINCT id, repo, kind, name, qualified_name, file_path, li
 E = """e AS (SELECT source_id AS src, target_id AS dst, kind, weight FROM edges
     WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND kind IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY loaded_at DESC, weight DESC) = 1)"""
+LINE = """regexp_replace({prefix} || {kind} || ' ' || qualified_name || ' — ' || CASE WHEN coalesce(line_start, 0) <> 0 THEN concat_ws(':', file_path, CAST(line_start AS VARCHAR)) ELSE coalesce(file_path, '') END
+        || ' — ' || coalesce(nullif(summary, ''), nullif(signature, ''), ''), '[ —]+$', '')"""
 TOP = "seeds AS (SELECT id AS seed FROM n WHERE kind NOT IN ('file', 'module') ORDER BY rank DESC, id LIMIT 15)"
 
 
@@ -103,6 +105,28 @@ def impact_cochanged(spark, sf_dir):
     return graph.cochanged(seeds_of(spark, sf_dir), n, e).withColumn("weight", F.round("weight", 6))
 
 
+def answer_impact(spark, sf_dir):
+    """What depends on the key symbols, their tests and what changes with them, capped as an answer shows it."""
+    n, e = load(spark, sf_dir)
+    seeds = seeds_of(spark, sf_dir)
+    listed = retrieval.impact_listed(graph.impact(seeds, n, e), graph.cochanged(seeds, n, e), n)
+    return listed.select("seed", "section", "place", "id", F.when(F.col("section") != "together", F.col("line")).alias("line"))
+
+
+def impact_fixed(spark, sf_dir):
+    """How many nodes depend on each symbol whose id is divisible by 50, by depth."""
+    n, e = load(spark, sf_dir)
+    seeds = n.filter("id % 50 = 0 AND kind <> 'file'").select(F.col("id").alias("seed"))
+    return graph.impact(seeds, n, e).groupBy("seed", "depth").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(F.col("is_test"), 1)).alias("n_tests"))
+
+
+def cochange_edges(spark, sf_dir):
+    """Co-change edges between the indexed files that were modified in the same month of a repository, twice or more."""
+    month = F.date_format("modification_time", "yyyy-MM")
+    commits = table(spark, sf_dir, "scans").select("repo", month.alias("sha"), "path")
+    return resolving.cochange_edges(commits, load(spark, sf_dir)[0], 2, 400).withColumn("weight", F.round("weight", 6))
+
+
 def graph_export(spark, sf_dir):
     n, e = load(spark, sf_dir)
     return graph.graph_json(n, e)
@@ -122,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         languages, edges_upserted, edges_kept, key_symbols, needs_summary, summaries_of_files, neighbours_top, degrees, lookups, contains_edges,
-        file_graph, pagerank, communities, subsystems, impact, impact_cochanged, graph_export, resolved_edges, cochange_pairs,
+        file_graph, pagerank, communities, subsystems, impact, impact_cochanged, answer_impact, impact_fixed, cochange_edges, graph_export, resolved_edges, cochange_pairs,
     )
 }
 
@@ -146,6 +170,16 @@ def _pagerank_sql(steps: int = 30, d: float = 0.85) -> str:
 _FILES = "fs AS (SELECT repo, file_path, max(id) AS file FROM n WHERE kind = 'file' GROUP BY ALL)"
 _TEST = "(contains(list_extract(string_split(lower(coalesce(file_path, '')), '/'), -1), 'test') OR contains('/' || lower(coalesce(file_path, '')), '/tests/'))"
 
+_IMPACT = f"""d AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('calls', 'imports', 'inherits') AND src IN (SELECT id FROM n)),
+        l1 AS (SELECT DISTINCT seed, src AS id FROM seeds JOIN d ON seed = dst), l2 AS (SELECT DISTINCT seed, src AS id FROM l1 JOIN d ON id = dst),
+        l3 AS (SELECT DISTINCT seed, src AS id FROM l2 JOIN d ON id = dst),
+        ud AS (SELECT seed, id, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY ALL),
+        im AS (SELECT seed, ud.id, depth, {_TEST} AS is_test FROM ud JOIN n ON ud.id = n.id WHERE seed <> ud.id)"""
+_TOGETHER = """own AS (SELECT seed, file FROM seeds JOIN n ON seed = id JOIN fs USING (repo, file_path)),
+        bo AS (SELECT src AS file, dst AS id, weight FROM e WHERE kind = 'co_changes' UNION ALL SELECT dst, src, weight FROM e WHERE kind = 'co_changes'),
+        tg AS (SELECT seed, round(weight, 6) AS weight, file_path, CAST(row_number() OVER (PARTITION BY seed ORDER BY weight DESC, file_path DESC, bo.id) AS INTEGER) AS place
+        FROM own JOIN bo USING (file) JOIN n ON bo.id = n.id QUALIFY place <= 8)"""
+
 SQL = {
     "languages": f"WITH {N} SELECT language, kind, count(*) AS n_nodes FROM n GROUP BY ALL",
     "edges_upserted": f"WITH {E} SELECT src, dst, kind, round(weight, 6) AS weight FROM e",
@@ -175,17 +209,22 @@ SQL = {
     "subsystems": f"""WITH {N}, b AS (SELECT community, count(*) AS size FROM n WHERE kind = 'file' AND community <> 0 GROUP BY 1 ORDER BY size DESC, community LIMIT 6)
         SELECT community, size, CAST(row_number() OVER (PARTITION BY community ORDER BY rank DESC, id) AS INTEGER) AS place, file_path
         FROM n JOIN b USING (community) WHERE kind = 'file' AND size >= 2 QUALIFY place <= 4""",
-    "impact": f"""WITH {N}, {E}, {TOP}, d AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('calls', 'imports', 'inherits') AND src IN (SELECT id FROM n)),
-        l1 AS (SELECT DISTINCT seed, src AS id FROM seeds JOIN d ON seed = dst), l2 AS (SELECT DISTINCT seed, src AS id FROM l1 JOIN d ON id = dst),
-        l3 AS (SELECT DISTINCT seed, src AS id FROM l2 JOIN d ON id = dst),
-        u AS (SELECT seed, id, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY ALL)
-        SELECT seed, u.id, depth, {_TEST} AS is_test FROM u JOIN n ON u.id = n.id WHERE seed <> u.id""",
-    "impact_cochanged": f"""WITH {N}, {E}, {TOP}, {_FILES}, own AS (SELECT seed, file FROM seeds JOIN n ON seed = id JOIN fs USING (repo, file_path)),
-        b AS (SELECT src AS file, dst AS id, weight FROM e WHERE kind = 'co_changes' UNION ALL SELECT dst, src, weight FROM e WHERE kind = 'co_changes')
-        SELECT seed, round(weight, 6) AS weight, file_path, CAST(row_number() OVER (PARTITION BY seed ORDER BY weight DESC, file_path DESC, b.id) AS INTEGER) AS place
-        FROM own JOIN b USING (file) JOIN n ON b.id = n.id QUALIFY place <= 8""",
+    "impact": f"WITH {N}, {E}, {TOP}, {_IMPACT} SELECT seed, id, depth, is_test FROM im",
+    "impact_fixed": f"""WITH {N}, {E}, seeds AS (SELECT id AS seed FROM n WHERE id % 50 = 0 AND kind <> 'file'), {_IMPACT}
+        SELECT seed, depth, count(*) AS n_nodes, count(*) FILTER (WHERE is_test) AS n_tests FROM im GROUP BY ALL""",
+    "answer_impact": f"""WITH {N}, {E}, {TOP}, {_FILES}, {_IMPACT}, {_TOGETHER},
+        k AS (SELECT im.seed, CASE WHEN is_test THEN 'tests' ELSE 'users' END AS section, CAST(row_number() OVER (PARTITION BY seed, is_test ORDER BY depth, rank DESC, n.id) AS INTEGER) AS place, n.id, {LINE.format(prefix="'[' || depth || '] '", kind='kind')} AS line FROM im JOIN n ON im.id = n.id)
+        SELECT seed, section, place, id, line FROM k WHERE place <= CASE WHEN section = 'users' THEN 20 ELSE 10 END
+        UNION ALL SELECT seed, 'together', place, NULL, NULL FROM tg""",
+    "cochange_edges": f"""WITH {N}, c AS (SELECT DISTINCT repo, strftime(modification_time, '%Y-%m') AS sha, path FROM scans WHERE repo IS NOT NULL AND path IS NOT NULL AND modification_time IS NOT NULL),
+        k AS (SELECT repo, sha FROM c GROUP BY ALL HAVING count(*) BETWEEN 2 AND 400),
+        p AS (SELECT x.repo, x.path AS a, y.path AS b, count(*) AS n FROM c x JOIN c y ON x.repo = y.repo AND x.sha = y.sha AND x.path < y.path JOIN k ON x.repo = k.repo AND x.sha = k.sha GROUP BY ALL HAVING count(*) >= 2),
+        fs AS (SELECT repo, file_path, max(id) AS file FROM n WHERE kind = 'file' GROUP BY ALL)
+        SELECT least(u.file, v.file) AS src, greatest(u.file, v.file) AS dst, 'co_changes' AS kind, round(n / (SELECT max(n) FROM p), 6) AS weight
+        FROM p JOIN fs u ON p.repo = u.repo AND a = u.file_path JOIN fs v ON p.repo = v.repo AND b = v.file_path""",
+    "impact_cochanged": f"WITH {N}, {E}, {TOP}, {_FILES}, {_TOGETHER} SELECT seed, weight, file_path, place FROM tg",
     "graph_export": f"""WITH {N}, {E}, t AS (SELECT * FROM n ORDER BY rank DESC, id LIMIT 500)
-        SELECT 'node' AS element, CAST(json_object('data', json_object('id', CAST(id AS VARCHAR), 'label', name, 'kind', kind)) AS VARCHAR) AS json FROM t
+        SELECT 'node' AS element, CAST(json_object('data', json_object('id', CAST(id AS VARCHAR), 'label', name, 'kind', kind, 'file', file_path, 'line', line_start, 'summary', coalesce(summary, ''), 'rank', CAST(CAST(rank AS DECIMAL(18, 6)) AS VARCHAR))) AS VARCHAR) AS json FROM t
         UNION ALL SELECT 'edge', CAST(json_object('data', json_object('source', CAST(src AS VARCHAR), 'target', CAST(dst AS VARCHAR), 'kind', kind)) AS VARCHAR)
         FROM e WHERE src IN (SELECT id FROM t) AND dst IN (SELECT id FROM t)""",
     "resolved_edges": f"""WITH {N}, r AS (SELECT DISTINCT source_id, refs.kind, target_name, n.repo, list_extract(string_split(target_name, '.'), -1) AS last FROM refs JOIN n ON source_id = id WHERE target_name <> ''),

@@ -56,16 +56,16 @@ def schema_summaries(spark, sf_dir):
 
 
 def extracted_symbols(spark, sf_dir):
-    """Symbols found in the scanned files, by language and kind."""
+    """Symbols found in the current files, by language and kind."""
     s = table(spark, sf_dir, "scans").filter("lang IS NOT NULL")
-    x = extraction.extracted(s).select("path", F.explode("symbols").alias("s"))
+    x = extraction.current_symbols(s).select("path", F.explode("symbols").alias("s"))
     return x.groupBy(lang.language_of(F.col("path")).alias("language"), F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
 def extracted_refs(spark, sf_dir):
-    """References found in the scanned files, by language and kind."""
+    """References found in the current files, by language and kind."""
     s = table(spark, sf_dir, "scans").filter("lang IS NOT NULL")
-    x = extraction.extracted(s).select("path", F.explode("refs").alias("r"))
+    x = extraction.current_symbols(s).select("path", F.explode("refs").alias("r"))
     return x.groupBy(lang.language_of(F.col("path")).alias("language"), F.col("r.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n_refs"))
 
 
@@ -132,6 +132,14 @@ def _ignored_sql() -> str:
     return out
 
 
+def _snippets_sql(chosen: str, around: int, most: int, budget: int) -> str:
+    return f"""WITH {N}, sy AS ({chosen}), tx AS (SELECT repo, path, TRY(decode(content)) AS text FROM scans WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY modification_time DESC NULLS LAST) = 1),
+        ln AS (SELECT sy.id, greatest(line_start - {around}, 1) AS a, least(line_end + {around} - greatest(line_start - {around}, 1) + 1, {most}) AS k, string_split(text, chr(10)) AS lines FROM sy JOIN tx ON sy.repo = tx.repo AND sy.file_path = tx.path WHERE line_start IS NOT NULL AND line_end IS NOT NULL),
+        ex AS (SELECT id, a + generate_subscripts(part, 1) - 1 AS n, unnest(part) AS line FROM (SELECT id, a, lines[a : a + k - 1] AS part FROM ln)),
+        nm AS (SELECT id, CAST(n AS INTEGER) AS n, CASE WHEN n < 100000 THEN lpad(CAST(n AS VARCHAR), 5, ' ') ELSE CAST(n AS VARCHAR) END || '| ' || line AS line FROM ex)
+        SELECT id, n, line FROM nm QUALIFY sum(length(line) + 1) OVER (PARTITION BY id ORDER BY n) <= {budget}"""
+
+
 SQL = {
     "languages_by_suffix": f"WITH {_LANGS}, s AS (SELECT {_SUFFIX} AS suffix FROM scans) SELECT suffix, language, count(*) AS n_files FROM s LEFT JOIN l USING (suffix) GROUP BY ALL",
     "scan_decisions": f"""WITH {_LANGS}, s AS (SELECT *, {_SUFFIX} AS suffix, lower(string_split(path, '/')[-1]) AS low, string_split(path, '/')[:-2] AS dirs FROM scans)
@@ -139,6 +147,22 @@ SQL = {
           WHEN {_ignored_sql()} THEN 'ignored' WHEN suffix(low, '.min.js') OR suffix(low, '.min.css') OR suffix(low, '.lock') THEN 'suffix'
           WHEN language IS NULL AND s.suffix NOT IN ({_LIST(lang.TEXTS)}) THEN 'kind' WHEN n_bytes > {lang.LARGEST} THEN 'size' ELSE 'kept' END AS decision
         FROM s LEFT JOIN l ON s.suffix = l.suffix""",
+    "scan_kept": f"""WITH {_LANGS}, s AS (SELECT *, {_SUFFIX} AS suffix, lower(string_split(path, '/')[-1]) AS low, string_split(path, '/')[:-2] AS dirs, string_split(regexp_replace(substring(hex(content), 1, 16384), '(..)', '\\1 ', 'g'), '0A ') AS head FROM scans)
+        SELECT repo, lang, count(*) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM s LEFT JOIN l ON s.suffix = l.suffix
+        WHERE NOT coalesce(list_bool_or(list_transform(dirs, lambda x: starts_with(x, '.') OR x IN ({_LIST(lang.FOLDERS)}))), false) AND NOT ({_ignored_sql()}) AND NOT (suffix(low, '.min.js') OR suffix(low, '.min.css') OR suffix(low, '.lock'))
+          AND NOT (language IS NULL AND s.suffix NOT IN ({_LIST(lang.TEXTS)})) AND NOT coalesce(n_bytes > {lang.LARGEST}, false)
+          AND NOT (s.suffix IN ({_LIST(lang.SNIFFED)}) AND coalesce(list_max(list_transform(head, lambda x: length(x) // 3)) > {lang.LONGEST}, false)) GROUP BY ALL""",
+    "schema_summaries": rf"""WITH s AS (SELECT repo, path, modification_time, {_SUFFIX} AS suffix, TRY(decode(content)) AS text FROM scans WHERE content IS NOT NULL),
+        c AS (SELECT repo, path, modification_time, 'Table with the columns ' || substring(string_split(text, chr(10))[1], 1, 400) AS summary FROM s WHERE suffix = '.csv' AND contains(substring(string_split(text, chr(10))[1], 1, 400), ',')),
+        t AS (SELECT repo, path, modification_time, regexp_extract_all(text, '(?i)create[ 	
+]+table[ 	
+]+(?:if[ 	
+]+not[ 	
+]+exists[ 	
+]+)?["''`\[]?([A-Za-z_][A-Za-z0-9_]*)', 1) AS names FROM s WHERE suffix = '.sql')
+        SELECT * FROM c UNION SELECT repo, path, modification_time, 'Script that creates the tables ' || array_to_string(names[1:20], ', ') FROM t WHERE len(names) > 0""",
+    "read_symbols": _snippets_sql("SELECT id, repo, file_path, line_start, line_end FROM n WHERE kind NOT IN ('file', 'module') ORDER BY rank DESC, id LIMIT 15", 2, 10**6, 5960),
+    "enrichment_batch": _snippets_sql("SELECT id, repo, file_path, line_start, line_end FROM n WHERE coalesce(summary, '') = '' AND kind <> 'module' ORDER BY rank DESC, id LIMIT 20", 0, 60, 39_960),
     "freshness": f"WITH {_STATE} SELECT repo, path, state FROM st",
     "cleared_tables": f"""WITH {N}, {E}, {_STATE}, g AS (SELECT DISTINCT id FROM n JOIN st ON n.repo = st.repo AND n.file_path = st.path WHERE state IN ('changed', 'vanished'))
         SELECT 'nodes' AS name, count(*) AS n_rows FROM n WHERE id NOT IN (SELECT id FROM g)

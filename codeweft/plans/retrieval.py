@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
-from codeweft.operators import graph, ranking, retrieval
-from codeweft.plans.graph import E, N, TOP, load, seeds_of
+from codeweft.operators import enrichment, graph, ranking, retrieval
+from codeweft.plans.graph import E, LINE, N, TOP, load, seeds_of
 from codeweft.session import checkpoint, table
+from codeweft.sources.repositories import current_files
 
 
 def subjects(spark, sf_dir):
@@ -112,7 +113,7 @@ def unresolved_tails(spark, sf_dir):
 
 def overview_text(spark, sf_dir):
     n = load(spark, sf_dir)[0]
-    return retrieval.overview(n, graph.top_symbols(table(spark, sf_dir, "nodes")), ranking.subsystems(n))
+    return retrieval.overview(n, graph.top_symbols(table(spark, sf_dir, "nodes")), ranking.subsystems(n, more=("summary",))).select("line")
 
 
 def node_lines(spark, sf_dir):
@@ -146,22 +147,51 @@ def _tasks(spark, sf_dir):
     return d.select(F.col("doc_id").alias("qid"), "node_id", fn.issue_query(F.col("text")).alias("query")).join(n, "node_id")
 
 
-def localization(spark, sf_dir):
-    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search, the last with and without co-change edges."""
+def _rungs(spark, sf_dir):
+    """The searched nodes of each rung of the ladder, as ranked files; the tasks' own words aren't in what is searched."""
     t = _tasks(spark, sf_dir)
     n, e = load(spark, sf_dir)
-    gold, out = t.select("qid", "repo", "file_path"), None
     # The two searches are written out once; three rungs read the second.
-    found = {blend: checkpoint(retrieval.bm25(t.select("qid", "query"), n, 25, blend)) for blend in (0.0, 5.0)}
+    found = {blend: checkpoint(retrieval.bm25(t.select("qid", "query"), n, 25, blend, ("name", "qualified_name"))) for blend in (0.0, 5.0)}
     plain = e.filter("kind <> 'co_changes'")
     for name, blend, by in (("fts", 0.0, None), ("rank", 5.0, None), ("expand-nc", 5.0, plain), ("expand", 5.0, e)):
         hits = found[blend]
-        files = retrieval.ranked_files(hits, n) if by is None else retrieval.expanded_files(hits, n, by, graph.neighbours)
-        row = retrieval.metrics(files, gold).withColumn("method", F.lit(name))
+        yield name, retrieval.ranked_files(hits, n) if by is None else retrieval.expanded_files(hits, n, by, graph.neighbours)
+
+
+def localization(spark, sf_dir):
+    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search, the last with and without co-change edges, and what a task's files cost."""
+    gold, out = _tasks(spark, sf_dir).select("qid", "repo", "file_path"), None
+    for name, files in _rungs(spark, sf_dir):
+        row = retrieval.metrics(files, gold).withColumns({"tokens": retrieval.mean_tokens(files, gold).scalar(), "method": F.lit(name)})
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def localization_by_repository(spark, sf_dir):
+    """The same for the ranked search, repository by repository."""
+    t, n = _tasks(spark, sf_dir), load(spark, sf_dir)[0]
+    hits = retrieval.bm25(t.select("qid", "query"), n, 25, 5.0, ("name", "qualified_name"))
+    return retrieval.metrics_by_repository(retrieval.ranked_files(hits, n), t.select("qid", "repo", "file_path"))
+
+
+def fix_subjects(spark, sf_dir):
+    """Commit subjects that speak of a fix, without their issue numbers."""
+    q = subjects(spark, sf_dir)
+    return q.filter(enrichment.is_fix(F.col("query"))).select("qid", enrichment.bare_subject(F.col("query")).alias("subject"))
+
+
+def enrichment_remaining(spark, sf_dir):
+    return enrichment.remaining(load(spark, sf_dir)[0])
+
+
+def token_reduction(spark, sf_dir):
+    """Tokens of all lines about nodes beside those of all current files, and how many times more the files are."""
+    lines = load(spark, sf_dir)[0].agg(F.sum(fn.token_estimate(fn.node_line(F.lit("- ")))).alias("n_lines_tokens"))
+    files = current_files(table(spark, sf_dir, "scans")).agg(F.sum(F.floor(F.col("n_bytes") / 4)).alias("n_file_tokens"))
+    return files.withColumn("n_lines_tokens", lines.scalar()).withColumn("ratio", F.round(F.col("n_file_tokens") / F.col("n_lines_tokens"), 4))
+
+
 def token_totals(spark, sf_dir):
     """Tokens of all texts of a source at a quarter of the characters."""
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
@@ -172,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_bm25, search_plain, search_semantic, search_hybrid, search_semantic_fixed, search_hybrid_fixed, embed_missing, usage_boosts, context_direct, context_full, context_fixed, answer_context, unresolved_tails,
-        overview_text, node_lines, files_by_folder, issue_queries, stored_summaries, localization, token_totals,
+        overview_text, node_lines, files_by_folder, issue_queries, stored_summaries, localization, localization_by_repository, fix_subjects, enrichment_remaining, token_totals, token_reduction,
     )
 }
 
@@ -205,8 +235,7 @@ _COS = """sem AS (SELECT qid, node_id AS id, round(dot / (CASE WHEN qn = 0 THEN
         (SELECT qv.node_id AS qid, fv.node_id, list_dot_product(qv.vec::DOUBLE[], fv.vec::DOUBLE[]) AS dot, sqrt(list_dot_product(qv.vec::DOUBLE[], qv.vec::DOUBLE[])) AS qn, sqrt(list_dot_product(fv.vec::DOUBLE[], fv.vec::DOUBLE[])) AS vn
          FROM fv AS qv JOIN seeds ON seed = qv.node_id, fv)),
         semtop AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS INTEGER) AS place FROM sem QUALIFY place <= 50)"""
-_LINE = """regexp_replace({prefix} || {kind} || ' ' || qualified_name || ' — ' || CASE WHEN coalesce(line_start, 0) <> 0 THEN concat_ws(':', file_path, CAST(line_start AS VARCHAR)) ELSE coalesce(file_path, '') END
-        || ' — ' || coalesce(nullif(summary, ''), nullif(signature, ''), ''), '[ —]+$', '')"""
+_LINE = LINE
 _U = "u AS (SELECT user_id AS id, count(*) AS uses FROM events GROUP BY 1)"
 _METRIC = "round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 3) AS hit{k}"
 
@@ -257,6 +286,57 @@ def _walked(seeds: str) -> str:
     return f"WITH RECURSIVE {N}, {E}, {seeds}, {_U}, {_WALK}"
 
 
+SQL["issue_queries"] = r"""WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents WHERE source = 'issue_tracker' AND text IS NOT NULL),
+        q AS (SELECT doc_id, array_to_string(string_split(t, ' ')[1:120], ' ') AS q FROM b) SELECT doc_id, CAST(length(q) AS INTEGER) AS n_chars, md5(q) AS query_md5 FROM q"""
+SQL["fix_subjects"] = rf"""WITH {_SUBJECTS}, b AS (SELECT qid, trim(regexp_replace(query, '\(?#\d+\)?', '', 'g'), ' ') AS subject FROM q)
+        SELECT qid, subject FROM b WHERE len(list_filter(string_split_regex(subject, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) >= 3 AND regexp_matches(subject, '(?i)\b(?:{"|".join(enrichment.FIXING)})')"""
+SQL["enrichment_remaining"] = f"WITH {N} SELECT language, kind, count(*) AS n_nodes, count(*) FILTER (WHERE coalesce(summary, '') = '') AS n_left FROM n WHERE kind <> 'module' GROUP BY ALL"
+SQL["overview_text"] = f"""WITH {N}, tp AS (SELECT * FROM n WHERE kind NOT IN ('file', 'module') ORDER BY rank DESC, id LIMIT 15),
+        sy AS (SELECT '1-' || lpad(CAST(row_number() OVER (ORDER BY rank DESC, id) AS VARCHAR), 6, '0') AS pos, {_LINE.format(prefix="'- '", kind='kind')} AS line FROM tp),
+        cs AS (SELECT community, count(*) AS size FROM n WHERE kind = 'file' AND community <> 0 GROUP BY 1 ORDER BY size DESC, community LIMIT 6),
+        mb AS (SELECT community, size, file_path, summary, row_number() OVER (PARTITION BY community ORDER BY rank DESC, id) AS place FROM n JOIN cs USING (community) WHERE kind = 'file' AND size >= 2 QUALIFY place <= 4),
+        sb AS (SELECT community, size, string_agg(file_path, ', ' ORDER BY place) AS names, count(*) AS shown, max(summary) FILTER (WHERE place = 1) AS lead FROM mb GROUP BY ALL),
+        ss AS (SELECT '3-' || lpad(CAST(row_number() OVER (ORDER BY size DESC, community) AS VARCHAR), 6, '0') AS pos, '- ' || size || ' files: ' || names || CASE WHEN size > shown THEN ' and ' || (size - shown) || ' more' ELSE '' END || CASE WHEN coalesce(lead, '') <> '' THEN ' — ' || lead ELSE '' END AS line FROM sb),
+        fl AS (SELECT CASE WHEN contains(file_path, '/') THEN string_split(file_path, '/')[1] ELSE '.' END AS folder, file_path, repo, summary FROM n WHERE kind = 'file'),
+        ls AS (SELECT '0' AS pos, '# Graph of ' || count(*) || ' nodes in ' || count(*) FILTER (WHERE kind = 'file') || ' files' AS line FROM n
+               UNION ALL SELECT '1-', '## Most important symbols' UNION ALL SELECT '3-', '## Groups of files' UNION ALL SELECT '5-', '## All files'
+               UNION ALL SELECT pos, line FROM sy UNION ALL SELECT pos, line FROM ss
+               UNION ALL SELECT DISTINCT '6-' || folder, '### ' || folder || '/' FROM fl
+               UNION ALL SELECT '6-' || folder || chr(1) || file_path || chr(1) || repo, '- ' || file_path || CASE WHEN coalesce(summary, '') <> '' THEN ' — ' || summary ELSE '' END FROM fl),
+        rs AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY pos, line ROWS UNBOUNDED PRECEDING) AS total FROM ls) SELECT line FROM rs WHERE total <= 8000"""
+
+
+def _ladder_sql() -> str:
+    """CTEs from the tasks to pos (method, qid, repo, file_path, pos): the files of each rung."""
+    t = _TOKENS
+    pieces = _bm25_sql("q", 25, 0.0)
+    pieces = pieces[: pieces.index("s AS (SELECT qid")].replace(f" UNION ALL SELECT id, 2, {t.format('summary')} FROM n", "").replace(f" + len({t.format('summary')})", "")
+    near = "SELECT src AS seed, dst AS id, weight, kind FROM e UNION ALL SELECT dst, src, weight, kind FROM e"
+    return f"""ta AS (SELECT doc_id AS qid, n.repo, n.file_path, array_to_string(string_split(trim(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), ' ')[1:120], ' ') AS query
+              FROM documents d JOIN n ON d.node_id = n.id WHERE source = 'enrich_batch' AND text IS NOT NULL),
+        q AS (SELECT qid, query FROM ta), {pieces}
+        sc AS (SELECT qid, id, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / a))) AS base, any_value(rank) AS rank FROM w JOIN h USING (toks) JOIN i USING (toks) JOIN z USING (id), av GROUP BY qid, id),
+        hi AS (SELECT 0 AS blend, qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(base, 9), id) AS place FROM sc QUALIFY place <= 25
+               UNION ALL SELECT 5, qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(base - 5.0 * rank, 9), id) AS place FROM sc QUALIFY place <= 25),
+        rf AS (SELECT blend, qid, repo, file_path, row_number() OVER (PARTITION BY blend, qid ORDER BY min(place)) AS pos FROM hi JOIN n USING (id) GROUP BY blend, qid, repo, file_path),
+        nr AS ({near}),
+        ex AS (SELECT m, qid, n.repo, n.file_path, sum(weight * (0.5 + n.rank)) AS s FROM hi JOIN nr ON hi.id = seed JOIN n ON nr.id = n.id, (VALUES ('expand-nc'), ('expand')) v(m)
+               WHERE blend = 5 AND place <= 5 AND (m = 'expand' OR nr.kind <> 'co_changes') GROUP BY ALL),
+        ne AS (SELECT m, ex.qid, ex.repo, ex.file_path, last + row_number() OVER (PARTITION BY m, ex.qid ORDER BY round(s, 9) DESC, ex.repo, ex.file_path) AS pos
+               FROM ex JOIN (SELECT qid, max(pos) AS last FROM rf WHERE blend = 5 GROUP BY qid) l ON ex.qid = l.qid ANTI JOIN (SELECT * FROM rf WHERE blend = 5) r ON ex.qid = r.qid AND ex.repo = r.repo AND ex.file_path = r.file_path),
+        ps AS (SELECT CASE blend WHEN 0 THEN 'fts' ELSE 'rank' END AS method, qid, repo, file_path, pos FROM rf
+               UNION ALL SELECT m, qid, repo, file_path, pos FROM rf, (VALUES ('expand-nc'), ('expand')) v(m) WHERE blend = 5 UNION ALL SELECT * FROM ne),
+        tk AS (SELECT method, qid, sum(length(file_path) + 1) // 4 AS t FROM ps GROUP BY ALL),
+        fi AS (SELECT method, qid, repo, min(pos) AS first FROM ps JOIN ta USING (qid, repo, file_path) GROUP BY ALL),
+        al AS (SELECT m.method, ta.qid, ta.repo, first, coalesce(t, 0) AS t FROM ta CROSS JOIN (SELECT DISTINCT method FROM ps) m LEFT JOIN fi ON fi.method = m.method AND fi.qid = ta.qid LEFT JOIN tk ON tk.method = m.method AND tk.qid = ta.qid)"""
+
+
+_RATES = f"count(*) AS n_tasks, {_METRIC.format(k=5)}, {_METRIC.format(k=10)}, round(avg(coalesce(1.0::DOUBLE / first, 0)), 3) AS mrr"
+SQL["localization"] = f"WITH {N}, {E}, {_ladder_sql()} SELECT method, {_RATES}, round(avg(t), 1) AS tokens FROM al GROUP BY method"
+SQL["localization_by_repository"] = f"WITH {N}, {E}, {_ladder_sql()} SELECT repo, {_RATES} FROM al WHERE method = 'rank' GROUP BY repo"
+SQL["token_reduction"] = f"""WITH {N}, c AS (SELECT n_bytes FROM scans WHERE repo IS NOT NULL AND path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY modification_time DESC NULLS LAST, sha256(content) DESC NULLS LAST, n_bytes DESC, lang DESC) = 1),
+        x AS (SELECT CAST(sum(n_bytes // 4) AS BIGINT) AS n_file_tokens FROM c), y AS (SELECT CAST(sum(length({_LINE.format(prefix="'- '", kind='kind')}) // 4) AS BIGINT) AS n_lines_tokens FROM n)
+        SELECT n_file_tokens, n_lines_tokens, round(n_file_tokens / n_lines_tokens, 4) AS ratio FROM x, y"""
 SQL["context_full"] = f"{_walked(TOP)} SELECT seed, place, id, hop AS depth, line FROM walk WHERE ok AND room >= 0"
 SQL["answer_context"] = f"""{_walked(TOP)}, rf AS (SELECT DISTINCT source_id AS seed, target_name FROM refs WHERE target_name <> '' QUALIFY dense_rank() OVER (PARTITION BY source_id ORDER BY target_name) <= 10),
         tl AS (SELECT seed, 'refers to: ' || string_agg(target_name, ', ' ORDER BY target_name) || chr(10) AS tail FROM rf GROUP BY seed),

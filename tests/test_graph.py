@@ -1,5 +1,6 @@
 """Graph operators against plain-Python models on small graphs."""
 
+import json
 import random
 from collections import Counter
 from datetime import datetime
@@ -183,3 +184,23 @@ def test_neighbours_and_contained(spark):
     assert got == {("out", 3), ("in", 4)}
     assert graph.file_links(n, e).count() == 0  # all in one file
     assert n.select(F.max("rank")).first()[0] == 0.0
+
+
+def test_cochange_edges_join_indexed_files(spark):
+    n = nodes_of(spark, [node(5, "file", path="a.py"), node(9, "file", path="a.py"), node(3, "file", path="b.py"), node(4, "file", path="c.py", repo="s")])
+    rows = [("r", f"s{k}", p) for k in range(3) for p in ("a.py", "b.py", "gone.py")] + [("s", "s0", "a.py"), ("s", "s0", "c.py")]
+    got = [tuple(r) for r in resolving.cochange_edges(spark.createDataFrame(rows, "repo string, sha string, path string"), n).collect()]
+    assert got == [(3, 9, "co_changes", 1.0)]
+
+
+def test_new_ranks_and_communities(spark):
+    n = nodes_of(spark, [node(1, "file", path="a.py", rank=0.3, community=7), node(2, path="a.py"), node(3, path="b.py")])
+    got = graph.clean_nodes(ranking.with_ranks(n, spark.createDataFrame([(1, 1.0), (2, 0.5)], "id long, rank double"), spark.createDataFrame([(1, 4)], "id long, community long")))
+    assert {r["id"]: (r["rank"], r["community"]) for r in got.collect()} == {1: (1.0, 4), 2: (0.5, 4), 3: (0.0, 0)}
+
+
+def test_graph_document(spark):
+    n = nodes_of(spark, [node(1, rank=1.0, summary='say "x"'), node(2)])
+    doc = json.loads(graph.graph_document(n, edges_of(spark, [(1, 2, "calls", 1.0)])).first()["json"])
+    assert [x["data"]["id"] for x in doc["nodes"]] == ["1", "2"] and doc["nodes"][0]["data"]["summary"] == 'say "x"' and doc["edges"][0]["data"]["kind"] == "calls"
+    assert json.loads(graph.graph_document(n.limit(0), edges_of(spark, [])).first()["json"]) == {"nodes": [], "edges": []}

@@ -234,3 +234,12 @@ def test_usage_windows_in_append_mode_and_after_a_restart(spark, tmp_path):
     assert run("update", "u") in ({1: 2, 2: 1, 5: 2}, {1: 3, 2: 1, 5: 2})
     put([(9, 0)])
     assert run("append", "a") == {1: 2, 2: 1, 5: 2} and run("append", "a") == {1: 2, 2: 1, 5: 2}
+
+
+def test_python_that_does_not_parse_keeps_its_symbols(spark):
+    code = "import os, re as r\nfrom a.b import c\n\nclass A(B, ns.C):\n    def f(self):\n        return go(1)\n\n    def g(self:\n        'lost('\n        x = h(2)\n\ndef top():\n    pass\n"
+    bad, syms, refs = extraction.extract("python", code.encode(), "d/x.py")
+    assert bad and [(s[0], s[2], s[3], s[4]) for s in syms] == [("class", "d.x.A", 4, 10), ("method", "d.x.A.f", 5, 6), ("method", "d.x.A.g", 8, 10), ("function", "d.x.top", 12, 13)]
+    assert {("imports", "d.x", "os"), ("imports", "d.x", "re"), ("imports", "d.x", "a"), ("inherits", "d.x.A", "B"), ("inherits", "d.x.A", "ns.C"), ("calls", "d.x.A.f", "go"), ("calls", "d.x.A.g", "h")} == set(refs)
+    df = spark.createDataFrame([scan("x.py", code, 1), scan("x.py", "def one(): pass\n", 2), scan("x.py", "def one(): pass\n", 2)], SCAN)
+    assert [[s["name"] for s in r["symbols"]] for r in extraction.current_symbols(df).collect()] == [["one"]]

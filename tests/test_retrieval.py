@@ -150,9 +150,10 @@ def test_scalars(spark):
     assert val(fn.tokens(F.lit("Café check_token parseHTTP"))) == ["cafe", "check", "token", "parsehttp"]
     assert val(fn.module_name(F.lit("pkg/a.b/c.py"))) == "pkg.a.b.c"
     assert val(fn.import_root(F.lit('"os.path"'), F.lit("python"))) == "os"
-    assert val(fn.csv_schema(F.lit("id,name\n1,2"))) == "CSV dataset — columns: id,name" and val(fn.csv_schema(F.lit("x\n1,2"))) is None
-    assert val(fn.sql_schema(F.lit("create table if not exists `users` (a int); CREATE TABLE b(x)"))) == "SQL schema — defines tables: users, b"
+    assert val(fn.csv_schema(F.lit("id,name\n1,2"))) == "Table with the columns id,name" and val(fn.csv_schema(F.lit("x\n1,2"))) is None
+    assert val(fn.sql_schema(F.lit("create table if not exists `users` (a int); CREATE TABLE b(x)"))) == "Script that creates the tables users, b"
     assert val(fn.issue_query(F.lit("see\n```\ncode\n```\nhere now"), 2)) == "see here"
+    assert val(fn.issue_query(F.lit("see\n```\ncode\n```\nhere now"), 250, " [code] ")) == "see [code] here now"
     assert val(fn.patch_files(F.lit("diff --git a/x.py b/x.py\n+1\ndiff --git a/y.py b/y.py"))) == ["x.py", "y.py"]
     assert val(fn.reply_files(F.lit('no [1 then ["./a.py", "b.py"] done'))) == ["a.py", "b.py"]
     assert val(fn.reply_summaries(F.lit('x [{"id": 3, "summary": "s"}] y')))[0]["id"] == 3
@@ -163,3 +164,31 @@ def test_scalars(spark):
 def test_graph_lines_are_json(spark):
     n = nodes_of(spark, [node(1)])
     assert json.loads(graph.graph_json(n, edges_of(spark, [])).first()["json"])["data"]["id"] == "1"
+
+
+def test_impact_is_listed_by_depth_and_capped(spark):
+    rows = [node(1), *[node(k, rank=k / 100) for k in range(2, 32)], node(40, path="tests/t.py")]
+    n = graph.clean_nodes(nodes_of(spark, rows))
+    e = edges_of(spark, [(k, 1, "calls", 1.0) for k in range(2, 30)] + [(31, 2, "calls", 1.0), (40, 1, "calls", 1.0)])
+    seeds = spark.createDataFrame([(1,)], "seed long")
+    listed = retrieval.impact_listed(graph.impact(seeds, n, e), graph.cochanged(seeds, n, e), n)
+    users = [r["id"] for r in listed.filter("section = 'users'").orderBy("place").collect()]
+    assert users == list(range(29, 9, -1)) and [r["id"] for r in listed.filter("section = 'tests'").collect()] == [40]
+    text = retrieval.impact_text(listed, seeds, n).first()["text"].split("\n")
+    assert text[0].startswith("function n1") and text[1] == "used by:" and text[-2] == "tested by:" and len(text) == 24
+    assert len(retrieval.impact_text(listed, seeds, n, 100).first()["text"]) <= 100
+
+
+def test_search_is_lexical_where_there_are_no_vectors(spark):
+    n = graph.clean_nodes(nodes_of(spark, [node(1, name="walk_tree"), node(2, name="other")]))
+    q = spark.createDataFrame([(7, "walk", [1.0, 0.0])], "qid long, query string, qvec array<float>")
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "node_id long, vec array<float>")
+    assert [r["id"] for r in retrieval.search(q, n, v.limit(0)).collect()] == [1]
+    assert {r["id"] for r in retrieval.search(q, n, v).collect()} == {1, 2}
+
+
+def test_rates_and_tokens_of_repositories(spark):
+    ranked = spark.createDataFrame([(1, "r", "abc", 1), (1, "r", "b", 2), (2, "s", "b", 1)], "qid long, repo string, file_path string, pos int")
+    tasks = spark.createDataFrame([(1, "r", "b"), (2, "s", "c"), (3, "s", "c")], "qid long, repo string, file_path string")
+    assert {r["repo"]: (r["n_tasks"], r["mrr"]) for r in retrieval.metrics_by_repository(ranked, tasks).collect()} == {"r": (1, 0.5), "s": (2, 0.0)}
+    assert retrieval.mean_tokens(ranked, tasks).first()["tokens"] == 0.3
