@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from codeweft.session import shared_folder, written
 
-#: Distinct texts the classifier is fitted on at most, the width of its hashed features, and
-#: the examples that a feature must be in to get a coefficient.
-SAMPLE, WIDTH, LEAST = 20_000, 1 << 18, 2
+#: Distinct texts the classifier is fitted on at most, and the width of its hashed features.
+SAMPLE, WIDTH = 20_000, 1 << 18
 #: Parts that the rows of one last word are spread over, and tasks that a step of the fitting takes.
 SALTS, FITTING = 32, 4
+#: Steps of the first fitting, which only has to tell negatives that look cut, and of the last.
+STEPS = (15, 30)
 
 #: A limit or a broken transfer leaves more characters than this.
 SHORTEST = 40
@@ -154,10 +155,9 @@ def _cut(text: str, limits: list[int], seed: int) -> tuple[str, bool] | None:
     return text[:at] + mark, limited
 
 
-def _ended(text: str, seed: int) -> str | None:
-    """A text up to the end of one of its sentences, without the full stop: complete all the same."""
-    ends = [m.start() for m in _STOP.finditer(text)]
-    return text[: ends[seed % len(ends)]] if ends else None
+def _ends(text: str) -> list[int]:
+    """Where the sentences of a text end, before their full stops: up to there it is complete all the same."""
+    return [m.start() for m in _STOP.finditer(text)]
 
 
 def described(documents: DataFrame, key: str, text: str, source: str, lang: str, width: int = WIDTH) -> DataFrame:
@@ -206,7 +206,7 @@ def length_limits(facts: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(documents: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
-    """word, n: the words inside texts, in lower case, seen ``least`` times or more; a word that nothing follows isn't inside.
+    """word, n: the words inside texts, each text without its last one, in lower case, seen ``least`` times or more.
 
     Counted over all documents; each task sends a word once per batch, not once per occurrence.
     """
@@ -217,8 +217,10 @@ def vocabulary_of(documents: DataFrame, text: str = "text", least: int = 2) -> D
                 continue
             split = pc.split_pattern_regex(pc.utf8_lower(b.column(0)), r"[^\p{L}]+")
             words = split.flatten()
-            ends = pc.subtract(split.offsets.slice(1), pa.scalar(1, pa.int32()))  # a split text has one piece at least
-            for found, sign in ((words, 1), (words.take(pc.subtract(ends, split.offsets[0])), -1)):
+            bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+            ends = bounds[1:] - 1  # a split text has one piece at least
+            blank = pc.equal(words.take(pa.array(ends)), "").to_numpy(zero_copy_only=False)  # what follows the last word has no letters
+            for found, sign in ((words, 1), (words.take(pa.array(np.maximum(ends - blank, bounds[:-1]))), -1)):
                 n = found.value_counts()
                 yield pa.RecordBatch.from_arrays([n.field(0).cast(pa.string()), pc.multiply(n.field(1), sign)], ["word", "n"])
 
@@ -267,13 +269,16 @@ def _shown(t: str, code: bool, limits: list[int] | None, known: bool, width: int
     yield 0.0, hashed(early + _chosen(late, False, known), width)
     if seed % 2 and t.rstrip()[-1:] in ".!?}`)":
         yield 0.0, hashed(early + _chosen(late, True, known), width)
+    ends = [] if code else _ends(t)
     for k in (0, 1):
         if cut := _cut(t, limits or [], seed + 12345 * k):
             yield 1.0, terms(cut[0], cut[1])
-        if not code and (whole := _ended(t, seed // 5 + 777 * k)):
-            yield 0.0, terms(whole, False)
+        if ends and (whole := t[: ends[(seed // 5 + 777 * k) % len(ends)]]):
+            early, late, _, word = closing(whole, code)
+            ok = not word or word in words()
+            yield 0.0, hashed(early + _chosen(late, False, ok), width)
             if limits is not None:  # right at a limit, the missing stop was cut off
-                yield 1.0, terms(whole, True)
+                yield 1.0, hashed(early + _chosen(late, True, ok), width)
                 yield 0.0, terms(whole + ".", True, True)
 
 
@@ -336,8 +341,8 @@ def probabilities(rows: DataFrame, weights: Weights, keep: list[str], fold: str,
 def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | None:
     """Two logistic regressions over hashed features, each for the half of the texts it wasn't fitted on: the weight of each bucket, and the intercept.
 
-    rows: fold, label, terms.  Features in fewer than LEAST examples get no weight.  Some
-    texts that count as intact have lost their end too.  A model would learn those by
+    rows: fold, label, terms.  Only buckets that an example has get a weight.  Some texts
+    that count as intact have lost their end too.  A model would learn those by
     heart, so each half is judged by the model of the other half, negatives that look cut
     are taken out, and both models are fitted again.  Where one half lacks examples of
     either kind, one model of all rows serves both; None where all rows do.
@@ -346,7 +351,7 @@ def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | Non
     labels = [{r["label"] for r in seen if r["fold"] != k} for k in (0, 1)]
     if len(labels[0] | labels[1]) < 2:
         return None
-    buckets = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().filter(F.col("count") >= LEAST).select("t")
+    buckets = rows.select(F.explode("terms").alias("t")).distinct()
     kept = np.sort(np.array([r["t"] for r in buckets.collect()], dtype=np.int64))  # width at most
     vectors = CountVectorizerModel.from_vocabulary([*map(str, kept)] or ["none"], inputCol="words", outputCol="features", binary=True)
 
@@ -363,13 +368,13 @@ def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | Non
     every = ready(rows)
     try:
         if min(map(len, labels)) < 2:
-            return [fitted(every, 30)] * 2
-        first = [fitted(every.filter(F.col("fold") != k), 15) for k in (0, 1)]
+            return [fitted(every, STEPS[1])] * 2
+        first = [fitted(every.filter(F.col("fold") != k), STEPS[0]) for k in (0, 1)]
     finally:
         every.unpersist()
     clean = ready(probabilities(rows, first, ["fold", "label", "terms"], "fold", "terms").filter("label = 1 OR score < 0.5"))
     try:
-        return [fitted(clean.filter(F.col("fold") != k), 30) for k in (0, 1)]
+        return [fitted(clean.filter(F.col("fold") != k), STEPS[1]) for k in (0, 1)]
     finally:
         clean.unpersist()
 

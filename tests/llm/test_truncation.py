@@ -56,6 +56,11 @@ def test_the_last_words_that_are_looked_up(spark):
     assert len(got) == 52 and got[0] == ("alpha", True) and got[90] == ("alp", False) and got[91] == ("", True)
 
 
+def test_last_words_are_no_words_inside(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["Ab cd ef", "cd ab...", "ab", "", "...", "ab cd. ", None])], "doc_id long, text string")
+    assert {r["word"]: r["n"] for r in vocabulary_of(df, least=1).collect()} == {"ab": 2, "cd": 2}
+
+
 def test_one_text_only(spark):
     df = spark.createDataFrame([(1, "A single short text without any end", "a", None)], "doc_id long, text string, source string, lang string")
     assert scored(df).count() in (0, 1)
