@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.session import shared_folder, written
@@ -232,18 +232,18 @@ def vocabulary_of(documents: DataFrame, text: str = "text", least: int = 2) -> D
 def looked_up(facts: DataFrame, limits: DataFrame, words: DataFrame) -> DataFrame:
     """The facts with the limits of the source, __at (the length is at one), __known (the last word is) and all terms.
 
-    Only documents that end in a word are joined with the words, by word and a salt, so
-    neither those that end in a full stop nor a hot word meet in one task.
+    Documents are joined with the words by word and a salt, of which those that end in no
+    word have very many, so neither they nor those of a hot word meet in one task.
     """
     per_source = limits.groupBy(F.col("source").alias("__source")).agg(F.sort_array(F.collect_list("limit")).alias("__limits"))
     # A limit counts characters or bytes; blanks or half a character at the cut may be gone.
     near = F.exists("__limits", lambda m: F.col("__n").between(m - 1, m) | F.col("__bytes").between(m - 3, m))
-    facts = facts.join(F.broadcast(per_source), "__source", "left").withColumn("__at", F.coalesce(near, F.lit(False)))  # a row per source
     asked = facts.filter("__word <> ''").select(F.col("__word").alias("word")).distinct()
     known = asked.join(words.select("word"), "word", "left_semi").select(F.col("word").alias("__word"), F.lit(True).alias("__known"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    ending = facts.filter("__word <> ''").withColumn("__salt", F.pmod(F.xxhash64("__key", "__hash"), F.lit(SALTS)).cast("int"))
-    ending = ending.join(known, ["__word", "__salt"], "left").withColumn("__known", F.col("__known").isNotNull()).drop("__salt")
-    rows = ending.unionByName(facts.filter("__word = ''").withColumn("__known", F.lit(True)))
+    salt = F.when(F.col("__word") == "", F.lit(1 << 20)).otherwise(F.lit(SALTS))
+    rows = facts.join(F.broadcast(per_source), "__source", "left").withColumn("__at", F.coalesce(near, F.lit(False)))  # a row per source
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__key", "__hash"), salt).cast("int")).join(known, ["__word", "__salt"], "left")
+    rows = rows.withColumn("__known", F.col("__known").isNotNull() | (F.col("__word") == "")).drop("__salt")
     late = F.concat(F.when(F.col("__at"), F.slice("__late", 1, 3)).otherwise(F.slice("__late", 4, 3)), F.when(F.col("__known"), F.slice("__late", 7, 1)).otherwise(F.slice("__late", 8, 1)))
     return rows.withColumn("__terms", F.concat("__terms", late)).drop("__late")
 
@@ -338,6 +338,13 @@ def probabilities(rows: DataFrame, weights: Weights, keep: list[str], fold: str,
     return wanted.mapInArrow(run, f"{fields}, score double")
 
 
+def _vectorizer(spark: SparkSession, buckets: str) -> CountVectorizerModel:
+    """Vectors of the buckets listed, from the column words; the list crosses to Spark as one string, not word by word."""
+    jvm = spark.sparkContext._jvm
+    model = CountVectorizerModel(jvm.org.apache.spark.ml.feature.CountVectorizerModel(jvm.org.apache.commons.lang3.StringUtils.split(buckets, ",")))
+    return model.setInputCol("words").setOutputCol("features").setBinary(True)
+
+
 def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | None:
     """Two logistic regressions over hashed features, each for the half of the texts it wasn't fitted on: the weight of each bucket, and the intercept.
 
@@ -353,7 +360,7 @@ def fit(rows: DataFrame, width: int = WIDTH, reg: float = 3e-4) -> Weights | Non
         return None
     buckets = rows.select(F.explode("terms").alias("t")).distinct()
     kept = np.sort(np.array([r["t"] for r in buckets.collect()], dtype=np.int64))  # width at most
-    vectors = CountVectorizerModel.from_vocabulary([*map(str, kept)] or ["none"], inputCol="words", outputCol="features", binary=True)
+    vectors = _vectorizer(rows.sparkSession, ",".join(map(str, kept)) or "none")
 
     def ready(examples: DataFrame) -> DataFrame:
         """Vectors for the fitting: a bounded sample of short ones, so more tasks would only add to the steps."""
