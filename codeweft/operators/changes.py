@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.functions import scalars as fn
 from codeweft.operators.graph import is_test
 from codeweft.operators.retrieval import within_budget
 
@@ -129,6 +130,27 @@ def diff_context(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, users: in
     return own.unionByName(kept.select("symbol", "role", "place", "id"))
 
 
+def diff_text(context: DataFrame, hunks: DataFrame, nodes: DataFrame, budget: int = 8000) -> DataFrame:
+    """pos, line: what a change touches, file by file, as many lines as fit the budget.
+
+    context: the rows of ``diff_context``; hunks: repo, path, first, last.  Each file has a
+    line with its number of ranges, then its touched symbols with their users and tests; a
+    file in which no symbol is touched says so.  The first ``budget`` lines in order are
+    all that can count, and a top-k cuts to them before the running sum.
+    """
+    n = nodes.select("id", "repo", "file_path", "kind", "qualified_name", "line_start", "summary", "signature")
+    own = n.select(F.col("id").alias("symbol"), F.col("repo").alias("r"), F.col("file_path").alias("p"), F.col("line_start").alias("l"))
+    role = F.when(F.col("role") == "symbol", "- ").when(F.col("role") == "user", "    used by ").otherwise("    tested by ")
+    order = F.when(F.col("role") == "symbol", 0).when(F.col("role") == "user", 1).otherwise(2)
+    rows = context.join(own, "symbol").join(n, "id").select(F.struct("r", "p", F.coalesce("l", F.lit(0)).alias("l"), "symbol", order.alias("o"), "place").alias("pos"), fn.node_line(role).alias("line"))
+    files = hunks.groupBy(F.col("repo").alias("r"), F.col("path").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    known = context.join(own, "symbol").select("r", "p").distinct().withColumn("known", F.lit(True))
+    said = F.concat(F.lit("## "), "p", F.lit(": "), F.col("n"), F.lit(" ranges"), F.when(F.col("known").isNull(), ", no symbol touched").otherwise(""))
+    heads = files.join(known, ["r", "p"], "left").select(F.struct("r", "p", F.lit(-1).alias("l"), F.lit(0).cast("long").alias("symbol"), F.lit(0).alias("o"), F.lit(0).alias("place")).alias("pos"), said.alias("line"))
+    first = rows.unionByName(heads).orderBy("pos").limit(budget).withColumn("one", F.lit(1))
+    return within_budget(first, ["one"], "pos", budget).select("pos", "line")
+
+
 def snippets(symbols: DataFrame, scans: DataFrame, around: int = 2, most: int | None = None, budget: int = 6000) -> DataFrame:
     """id, n, line: the numbered source lines of symbols, some lines around them, as many as fit the budget.
 

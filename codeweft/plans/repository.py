@@ -85,6 +85,13 @@ def diff_context(spark, sf_dir):
     return changes.diff_context(changes.version_hunks(table(spark, sf_dir, "scans")), n, e)
 
 
+def answer_diff(spark, sf_dir):
+    """What the latest changes of all files touch, as an answer of 8,000 characters."""
+    n, e = load(spark, sf_dir)
+    hunks = changes.version_hunks(table(spark, sf_dir, "scans"))
+    return changes.diff_text(changes.diff_context(hunks, n, e), hunks, n).select("line")
+
+
 def read_symbols(spark, sf_dir):
     return changes.snippets(graph.top_symbols(table(spark, sf_dir, "nodes")), table(spark, sf_dir, "scans"))
 
@@ -107,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         languages_by_suffix, scan_decisions, scan_kept, freshness, cleared_tables, schema_summaries, extracted_symbols, extracted_refs, spans_touched,
-        hunks_of_versions, diff_context, read_symbols, enrichment_batch, usage_stream, refresh_stream,
+        hunks_of_versions, diff_context, answer_diff, read_symbols, enrichment_batch, usage_stream, refresh_stream,
     )
 }
 

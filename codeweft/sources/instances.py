@@ -18,5 +18,8 @@ def read_instances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded runs, one object per line; of an instance and arm recorded twice the later line can't be told, so any one stays."""
-    return spark.read.schema(RUN).json(path).dropDuplicates(["instance_id", "arm"])
+    """Recorded runs, one object per line; of an instance and arm recorded twice one without an error stays, then the greatest."""
+    rest = ["first_hit", "tokens", "turns", "cost_usd", "gold", "predicted", "error"]
+    best = F.max(F.struct(F.col("error").isNull().alias("fine"), *rest)).alias("r")
+    rows = spark.read.schema(RUN).json(path).groupBy("instance_id", "arm").agg(best)
+    return rows.select("instance_id", "arm", *[F.col(f"r.{c}").alias(c) for c in rest])

@@ -243,3 +243,13 @@ def test_python_that_does_not_parse_keeps_its_symbols(spark):
     assert {("imports", "d.x", "os"), ("imports", "d.x", "re"), ("imports", "d.x", "a"), ("inherits", "d.x.A", "B"), ("inherits", "d.x.A", "ns.C"), ("calls", "d.x.A.f", "go"), ("calls", "d.x.A.g", "h")} == set(refs)
     df = spark.createDataFrame([scan("x.py", code, 1), scan("x.py", "def one(): pass\n", 2), scan("x.py", "def one(): pass\n", 2)], SCAN)
     assert [[s["name"] for s in r["symbols"]] for r in extraction.current_symbols(df).collect()] == [["one"]]
+
+
+def test_the_answer_about_a_change(spark):
+    n = nodes_of(spark, [node(1, path="a.py", lines=(1, 3)), node(2, path="b.py", rank=0.5), node(3, path="tests/t.py"), node(4, path="a.py", lines=(9, 12))])
+    e = edges_of(spark, [(2, 1, "calls", 1.0), (3, 1, "calls", 1.0)])
+    hunks = spark.createDataFrame([("r", "a.py", 2, 2), ("r", "a.py", 5, 5), ("r", "c.py", 1, 1)], "repo string, path string, first int, last int")
+    text = [r["line"] for r in changes.diff_text(changes.diff_context(hunks, n, e), hunks, n).orderBy("pos").collect()]
+    assert text[0] == "## a.py: 2 ranges" and text[1].startswith("- function n1") and text[2].startswith("    used by function n2") and text[3].startswith("    tested by function n3")
+    assert text[4:] == ["## c.py: 1 ranges, no symbol touched"]
+    assert changes.diff_text(changes.diff_context(hunks, n, e), hunks, n, 30).count() == 1
