@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweft.llm.bpe import VOCABULARY, vocabulary
+from codeweft.llm.versions import ship_file, shipped_file
 
 
 def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -21,7 +22,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(shipped_file(path))
         for b in batches:
             offsets, flat = [0], []
             for t in b.column(1):
@@ -31,6 +32,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [key, "ids"])
 
     rows = documents.select(key, text)
+    ship_file(documents.sparkSession, path)
     return rows.mapInArrow(encode, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
@@ -38,12 +40,13 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """key and n_tokens of each text; the ids never leave the task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(shipped_file(path))
         for b in batches:
             n = [len(v.encode(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [key, "n_tokens"])
 
     rows = documents.select(key, text)
+    ship_file(documents.sparkSession, path)
     return rows.mapInArrow(count, f"{key} {rows.schema[key].dataType.simpleString()}, n_tokens long")
 
 
@@ -51,7 +54,7 @@ def round_trips(documents: DataFrame, key: str = "doc_id", text: str = "text", p
     """key, n_tokens and whether decoding the ids gives the text back (true for null and empty texts)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(shipped_file(path))
         for b in batches:
             n, same = [], []
             for t in b.column(1):
@@ -61,4 +64,5 @@ def round_trips(documents: DataFrame, key: str = "doc_id", text: str = "text", p
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(same)], [key, "n_tokens", "same"])
 
     rows = documents.select(key, text)
+    ship_file(documents.sparkSession, path)
     return rows.mapInArrow(check, f"{key} {rows.schema[key].dataType.simpleString()}, n_tokens long, same boolean")

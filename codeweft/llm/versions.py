@@ -1,10 +1,29 @@
-"""The current version of each file among all scanned ones."""
+"""The current version of each file among all scanned ones, and files that tasks need."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Give the executors a local file of the driver, once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SENT:
+        _SENT.add(key)
+        spark.sparkContext.addFile(path)
+
+
+def shipped_file(path: str) -> str:
+    """Where a task finds a file that was shipped."""
+    own = SparkFiles.get(os.path.basename(path))
+    return own if os.path.exists(own) else path
+
 
 def current(facts: DataFrame, keys: list[str], stamp: str, tie: str) -> DataFrame:
     """One row per key: the one with the latest stamp, equal stamps by larger ``tie``, null stamps last.
