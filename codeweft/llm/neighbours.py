@@ -14,7 +14,7 @@ from codeweft.llm.topn import top_n_per_group
 
 DIM, K, SEED = 64, 5, 20_231
 #: Vectors per projection array on the average, arrays a vector stands in.
-PER_ARRAY, ENDS = 400, 3
+PER_ARRAY, ENDS = 800, 3
 #: Counting projections, collisions that make a candidate, half-width of the first window, how often it doubles before
 #: it covers the array, and how many half-widths away a neighbour is nearly always a candidate.
 COUNTING, COLLISIONS, WINDOW, DOUBLINGS, VOUCH = 24, 15, 0.07, 1, 5.0
