@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
+from codeweft.session import shared_folder, shared_table, written
 
 COLUMNS = ("name", "qualified_name", "summary")
 #: Queries, vectors and nodes that meet in a task of the exact searches, about.
-QUERY_BLOCK, VECTOR_BLOCK, NODE_BLOCK = 4096, 25_000, 10_000
+QUERY_BLOCK, VECTOR_BLOCK, NODE_BLOCK = 4096, 25_000, 200_000
 
 
 def postings(nodes: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -21,6 +24,11 @@ def postings(nodes: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     return nodes.select("id", F.explode(cols).alias("c")).select("id", "c.col", F.posexplode("c.toks").alias("pos", "token"))
 
 
+def _phrases(query: Column) -> Column:
+    """The phrases of a query, the tokens of each with a blank between; words without a token left out."""
+    return F.filter(F.transform(fn.query_words(query), lambda w: F.array_join(fn.tokens(w), " ")), lambda p: p != "")
+
+
 def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5.0, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """qid, id, score, place: the ``limit`` best nodes of each query (columns qid, query).
 
@@ -29,78 +37,190 @@ def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5
     The score is minus BM25 (k1 1.2, b 0.75) over all columns, less ``blend`` times the
     rank, lowest first, equal scores by smaller id.
 
-    One equi-join by token finds the phrases of all queries: a token at offset j of a
-    phrase votes for the place pos - j, and a phrase occurs where all its offsets vote.
-    Then blocks of queries meet blocks of nodes, by a hash of either: a meeting is a task
-    that sums the weights of its own nodes and gives the ``limit`` best for each of its
-    queries.  So of the pairs of a query and a node with a common word only the best leave
-    the task they are summed in, and a word that very many nodes have is spread over all
-    blocks.  Exact, as the blocks' best are merged.
+    Three tables are written to the shared folder, each once: the distinct queries, their
+    distinct phrases, and of each node the numbers of the phrases in it.  Then a task takes
+    a block of queries and passes over the table of nodes, block by block, with the best so
+    far of each query; so neither nodes nor candidates are copied or exchanged, and only
+    the result leaves the task.  Exact.
     """
-    sized = nodes.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), *[fn.tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
-    sized = sized.withColumn("len", sum((F.size(f"t{k}") for k in range(len(columns))), F.lit(0)))
-    n, average = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
-    cols = F.array(*[F.struct(F.lit(k).alias("col"), F.col(f"t{k}").alias("toks")) for k in range(len(columns))])
-    text = sized.select("id", "rank", "len", F.explode(cols).alias("c")).select("id", "rank", "len", "c.col", F.posexplode("c.toks").alias("pos", "token"))
-    words = queries.select("qid", F.posexplode(fn.query_words(F.col("query"))).alias("k", "word")).withColumn("toks", fn.tokens(F.col("word"))).filter(F.size("toks") > 0)
-    words = words.select("qid", "toks", F.xxhash64("toks").alias("phrase"))
-    # Equal phrases of all queries are looked up once; from here on a phrase is a number.
-    phrases = words.groupBy("phrase").agg(F.first("toks").alias("toks")).select("phrase", F.size("toks").alias("m"), F.posexplode("toks").alias("j", "token"))
-    of = ["phrase", "id", "rank", "len"]
-    votes = phrases.join(text, "token").groupBy(*of, "m", "col", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
-    hits = votes.filter(F.col("v") == F.col("m")).groupBy(*of).agg(F.count(F.lit(1)).alias("f"))
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average or 1.0)))
-    weighed = hits.join(df, "phrase").select("phrase", "id", "rank", weight.alias("w"))
-    asked = words.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    best = _best_by_blocks(asked, weighed, {"q": max(1, -(-queries.count() // QUERY_BLOCK)), "v": max(1, -(-n // NODE_BLOCK))}, limit, blend)
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9), "id"))
-    return best.withColumn("place", place).filter(F.col("place") <= limit)
-
-
-def _met(df: DataFrame, key: str, own: str, other: str, blocks: dict[str, int]) -> DataFrame:
-    """The rows in the block of their own side, once for each block of the other."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks[own])).cast("int").alias(own)
-    return df.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1))).alias(other))
-
-
-def _best_by_blocks(asked: DataFrame, weighed: DataFrame, blocks: dict[str, int], limit: int, blend: float) -> DataFrame:
-    """qid, id, score of the ``limit`` best nodes (and those as good) of each query in each block of nodes.
-
-    asked: qid, phrase, times; weighed: phrase, id, rank, w.
+    spark, at = queries.sparkSession, shared_folder(queries.sparkSession, "bm25")
+    words = queries.select("qid", _phrases(F.col("query")).alias("p")).filter(F.size("p") > 0)
+    # Queries of one id are one query; equal queries are answered once.
+    words = words.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    asked = written(words.groupBy("p").agg(F.collect_list(F.struct(F.col("qid").cast("long").alias("qid"))).alias("qids")), f"{at}/asked")
+    written(asked.select(F.explode("p").alias("phrase")).distinct(), f"{at}/phrases")
+    text = nodes.select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"), *[fn.tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
+    found = written(text.mapInArrow(_matching(f"{at}/phrases", len(columns)), "id long, rank double, len int, phrases array<int>, times array<int>"), f"{at}/found")
+    written(found.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df")), f"{at}/df")
+    n, average = found.agg(F.count(F.lit(1)), F.avg("len")).first()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    best = asked.repartition(blocks).mapInArrow(_best_of_all(at, n, average or 1.0, limit, blend), "qids array<struct<qid:long>>, id long, score double, place int")
+    return best.select(F.explode("qids").alias("q"), "id", "score", "place").select("q.qid", "id", "score", "place")
+
+
+def _numbered(path: str) -> pa.Array:
+    """The phrases; each has its place as number."""
+    words = shared_table(path).to_table()["phrase"].combine_chunks()
+    return words.take(pc.array_sort_indices(words))
+
+
+def _matching(path: str, columns: int):
+    """A function of batches of nodes (id, rank, t0, t1, ...): their length and which phrases they have how often."""
+
+    def match(batches):
+        phrases = _numbered(path)
+        tokens = pc.split_pattern(phrases, " ")
+        words = tokens.flatten().unique() if len(tokens) else pa.array([], pa.string())
+        # A phrase is a path of states: a step is from a state by a token to the next state.
+        parts, sizes = pc.index_in(tokens.flatten(), words).to_numpy().astype(np.int64), pc.list_value_length(tokens).to_numpy()
+        starts, state, steps = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64), []
+        of_state: list[np.ndarray] = []
+        for j in range(int(sizes.max(initial=0))):
+            alive = np.flatnonzero(sizes > j)
+            keys, to = np.unique(state[alive] * len(words) + parts[starts[alive] + j], return_inverse=True)
+            state[alive] = to
+            ends, full = np.full(len(keys), -1, np.int64), sizes[alive] == j + 1
+            ends[to[full]] = alive[full]
+            steps.append(keys)
+            of_state.append(ends)
+        for batch in batches:
+            rows, found = np.arange(batch.num_rows), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            length = np.zeros(batch.num_rows, np.int64)
+            for k in range(columns):
+                lists = batch[f"t{k}"]
+                size = pc.list_value_length(lists).to_numpy()
+                length += size
+                row, token = np.repeat(rows, size), pc.fill_null(pc.index_in(lists.flatten(), words), -1).to_numpy().astype(np.int64)
+                place, state = np.arange(len(token)), np.zeros(len(token), np.int64)
+                for j, (keys, ends) in enumerate(zip(steps, of_state)):
+                    here = place + j < len(token)
+                    place, state = place[here], state[here]
+                    here = (row[place + j] == row[place]) & (token[place + j] >= 0)
+                    place, key = place[here], state[here] * len(words) + token[place[here] + j]
+                    state = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    here = keys[state] == key
+                    place, state = place[here], state[here]
+                    over = ends[state] >= 0
+                    found.append((row[place[over]], ends[state[over]]))
+            pairs, times = np.unique(np.concatenate([r * max(1, len(phrases)) + p for r, p in found]), return_counts=True)
+            row, phrase = np.divmod(pairs, max(1, len(phrases)))
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (phrase, times)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["rank"], pa.array(length.astype(np.int32)), *lists], ["id", "rank", "len", "phrases", "times"])
+
+    return match
+
+
+def _node_blocks(path: str):
+    """id, rank and len of about NODE_BLOCK nodes after the other, by id, and their postings (phrase, node, times) by phrase and node."""
+    held, rows = [], 0
+    batches = shared_table(path).to_batches(batch_size=NODE_BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows and (batch is None or rows >= NODE_BLOCK):
+            t = pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+            ids = t["id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            place = np.empty(len(ids), np.int64)
+            place[by_id] = np.arange(len(ids))
+            phrase = pc.list_flatten(t["phrases"]).to_numpy()
+            node = np.repeat(place, pc.list_value_length(t["phrases"]).to_numpy())
+            order = np.argsort(phrase.astype(np.int64) * len(ids) + node)
+            yield ids[by_id], t["rank"].to_numpy()[by_id], t["len"].to_numpy()[by_id], phrase[order], node[order], pc.list_flatten(t["times"]).to_numpy()[order]
+
+
+def _highest(nodes: np.ndarray, score: np.ndarray, limit: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The ``limit`` nodes with the highest scores (to nine digits), in order, equal ones by smaller node; those below ``least`` may be left out."""
+    if least > -np.inf:
+        kept = np.flatnonzero(score >= least)
+        nodes, score = nodes[kept], score[kept]
+    if len(score) > limit:
+        kept = np.flatnonzero(score >= np.partition(score, len(score) - limit)[len(score) - limit] - 2e-9)
+        nodes, score = nodes[kept], score[kept]
+    order = np.lexsort((nodes, -np.rint(score * 1e9)))[:limit]
+    return nodes[order], score[order]
+
+
+def _best_of_all(at: str, n: int, average: float, limit: int, blend: float):
+    """A function of batches of queries (p, qids): qids, id, score, place of the ``limit`` best nodes of each.
+
+    The phrases of a query are taken from the most frequent to the rarest and the queries
+    in the order of these sequences, so what queries have in common at the start is summed
+    once.  A further phrase raises only its own nodes, so the best after it are among
+    these and the best before it.
     """
 
-    def sums(asked: pa.Table, weighed: pa.Table) -> pa.Table:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if len(asked) and len(weighed):
-            phrase = weighed["term"].to_numpy()
-            order = np.argsort(phrase, kind="stable")
-            phrase, weights = phrase[order], weighed["w"].to_numpy()[order]
-            ids, first, node = np.unique(weighed["id"].to_numpy(), return_index=True, return_inverse=True)
-            node, bonus = node[order], blend * weighed["rank"].to_numpy()[first]
-            qid = asked["qid"].to_numpy()
-            order = np.argsort(qid, kind="stable")
-            qid, wanted, times = qid[order], asked["phrase"].to_numpy()[order], asked["times"].to_numpy()[order]
-            lo, hi = np.searchsorted(phrase, wanted, side="left"), np.searchsorted(phrase, wanted, side="right")
-            starts = np.append(np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]]), len(qid))
-            for a, b in zip(starts[:-1], starts[1:]):
-                total, hit = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-                for k in range(a, b):
-                    mine = node[lo[k] : hi[k]]  # a node comes once in a phrase
-                    total[mine] += weights[lo[k] : hi[k]] * times[k]
-                    hit[mine] = True
-                mine = np.flatnonzero(hit)
-                score = -total[mine] - bonus[mine]
-                if len(mine) > limit:
-                    kept = score <= np.partition(score, limit - 1)[limit - 1] + 2e-9
-                    mine, score = mine[kept], score[kept]
-                found.append((np.full(len(mine), qid[a]), ids[mine], score))
-        return pa.table([np.concatenate(c) for c in zip(*found)], ["qid", "id", "score"])
-
-    one = _met(asked, "qid", "q", "v", blocks).repartition(blocks["q"] * blocks["v"], "q", "v")
-    two = _met(weighed, "id", "v", "q", blocks).withColumnsRenamed({"phrase": "term", "q": "q2", "v": "v2"}).repartition(blocks["q"] * blocks["v"], "q2", "v2")
-    return one.groupBy("q", "v").cogroup(two.groupBy("q2", "v2")).applyInArrow(sums, "qid long, id long, score double")
+    def best(batches):
+        asked = list(batches)
+        if not asked:
+            return
+        asked = pa.Table.from_batches(asked).combine_chunks()
+        phrases, counted = _numbered(f"{at}/phrases"), shared_table(f"{at}/df").to_table()
+        df, idf = np.zeros(len(phrases), np.int64), np.zeros(len(phrases))
+        df[counted["phrase"].to_numpy()] = counted["df"].to_numpy()
+        log = np.log((n - df + 0.5) / (df + 0.5))
+        idf = np.where(log <= 0, 1e-6, log)
+        frequent = np.empty(len(phrases), np.int64)
+        frequent[np.argsort(-df, kind="stable")] = np.arange(len(phrases))
+        size = pc.list_value_length(asked["p"]).to_numpy()
+        wanted = pc.index_in(pc.list_flatten(asked["p"]), phrases).to_numpy()
+        # Of each query the distinct phrases that any node has, and how often it has them.
+        pairs, times = np.unique(np.repeat(np.arange(len(asked)), size) * len(phrases) + wanted, return_counts=True)
+        query, wanted = np.divmod(pairs, len(phrases))
+        order = np.lexsort((frequent[wanted], query))
+        order = order[df[wanted[order]] > 0]
+        starts = np.searchsorted(query[order], np.arange(len(asked) + 1))
+        steps = list(zip(frequent[wanted[order]].tolist(), times[order].tolist(), wanted[order].tolist()))
+        paths = sorted((steps[i:j], q) for q, (i, j) in enumerate(zip(starts[:-1], starts[1:])) if j > i)
+        common = [0, *(next((d for d, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, _), (b, _) in itertools.pairwise(paths)), 0]
+        ids, scores, counts = np.zeros((len(asked), limit), np.int64), np.full((len(asked), limit), -np.inf), np.zeros(len(asked), np.int64)
+        none = (np.empty(0, np.int64), np.empty(0))
+        for node_id, rank, length, phrase, node, f in _node_blocks(f"{at}/found"):
+            weight = idf[phrase] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[node] / average))
+            edges = np.searchsorted(phrase, np.arange(len(phrases) + 1)).tolist()
+            bonus = blend * rank
+            raised = weight + bonus[node]
+            total, before, tops = np.zeros(len(node_id)), [], [none]
+
+            for k, (path, q) in enumerate(paths):
+                while len(before) > common[k]:
+                    mine, old = before.pop()
+                    total[mine] = old
+                    tops.pop()
+                found = tops[-1]
+                for d in range(common[k], len(path)):
+                    _, often, wanted_ = path[d]
+                    lo, hi = edges[wanted_], edges[wanted_ + 1]
+                    mine, old = node[lo:hi], total[node[lo:hi]]
+                    score = old + (raised[lo:hi] if often == 1 else weight[lo:hi] * often + bonus[mine])
+                    had, value = found
+                    if len(had) and len(mine):
+                        same = mine[np.minimum(np.searchsorted(mine, had), len(mine) - 1)] != had
+                        had, value = had[same], value[same]
+                    last = d + 1 == len(path)
+                    if len(mine):
+                        mine_best = _highest(mine, score, limit, scores[q, limit - 1] - 2e-9 if last and common[k + 1] < len(path) else -np.inf)
+                        found = _highest(np.concatenate([had, mine_best[0]]), np.concatenate([value, mine_best[1]]), limit) if len(had) else mine_best
+                    if not last or common[k + 1] == len(path):
+                        total[mine] = old + (weight[lo:hi] if often == 1 else weight[lo:hi] * often)
+                        before.append((mine, old))
+                        tops.append(found)
+                had, value = found
+                have = counts[q]
+                if len(had) and value[0] >= scores[q, limit - 1] - 2e-9:
+                    own, score = np.concatenate([ids[q, :have], node_id[had]]), np.concatenate([scores[q, :have], value])
+                    own, score = _highest(own, score, limit)
+                    counts[q] = len(own)
+                    ids[q, : len(own)], scores[q, : len(own)] = own, score
+        q, place = np.nonzero(np.arange(limit) < counts[:, None])
+        for a in range(0, len(q), 10_000):
+            r, c = q[a : a + 10_000], place[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([asked["qids"].combine_chunks().take(pa.array(r)), pa.array(ids[r, c]), pa.array(-scores[r, c]), pa.array((c + 1).astype(np.int32))], ["qids", "id", "score", "place"])
+
+    return best
 
 
 def finite_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:

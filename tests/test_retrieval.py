@@ -192,3 +192,24 @@ def test_rates_and_tokens_of_repositories(spark):
     tasks = spark.createDataFrame([(1, "r", "b"), (2, "s", "c"), (3, "s", "c")], "qid long, repo string, file_path string")
     assert {r["repo"]: (r["n_tasks"], r["mrr"]) for r in retrieval.metrics_by_repository(ranked, tasks).collect()} == {"r": (1, 0.5), "s": (2, 0.0)}
     assert retrieval.mean_tokens(ranked, tasks).first()["tokens"] == 0.3
+
+
+def shuffled(spark):
+    """Bytes written for exchanges so far."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_bm25_copies_no_nodes_for_blocks_of_queries(spark, monkeypatch):
+    n = graph.clean_nodes(nodes_of(spark, [node(k, name=f"walk_tree_{k % 40}", summary=f"walks the tree {k % 97} and more") for k in range(1, 2001)])).cache()
+    q = spark.createDataFrame([(k, f"walk tree {k % 97}" + " more" * (k % 3)) for k in range(120)], "qid long, query string").cache()
+    assert n.count() == 2000 and q.count() == 120
+    took, rows = {}, {}
+    for block in (1000, 8):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "NODE_BLOCK", 300)
+        at = shuffled(spark)
+        rows[block] = sorted((r["qid"], r["place"], r["id"], round(r["score"], 9)) for r in retrieval.bm25(q, n).collect())
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        took[block] = shuffled(spark) - at
+    assert rows[8] == rows[1000] and len(rows[8]) == 120 * 12
+    assert took[8] < 2 * took[1000]
