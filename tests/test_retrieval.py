@@ -213,3 +213,15 @@ def test_bm25_copies_no_nodes_for_blocks_of_queries(spark, monkeypatch):
         took[block] = shuffled(spark) - at
     assert rows[8] == rows[1000] and len(rows[8]) == 120 * 12
     assert took[8] < 2 * took[1000]
+
+
+def test_bm25_gives_the_smallest_ids_of_very_many_ties(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "NODE_BLOCK", 700)
+    n = nodes_of(spark, [node(k, name="fix", summary="one more fix", rank=0.5) for k in range(5000, 0, -1)]).cache()
+    q = spark.createDataFrame([(k, "fix more") for k in range(300)] + [(300, "fix"), (300, "more")], "qid long, query string").cache()
+    assert n.count() == 5000 and q.count() == 302
+    at = shuffled(spark)
+    rows = retrieval.bm25(q, n, blend=0.0).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert {q: [r["id"] for r in sorted(rows, key=lambda r: r["place"]) if r["qid"] == q] for q in (0, 299, 300)} == dict.fromkeys((0, 299, 300), list(range(1, 13)))
+    assert len(rows) == 301 * 12 and shuffled(spark) - at < 50_000
