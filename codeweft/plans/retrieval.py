@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.functions import scalars as fn
 from codeweft.operators import enrichment, graph, ranking, retrieval
 from codeweft.plans.graph import E, LINE, N, TOP, load, seeds_of
-from codeweft.session import checkpoint, table
+from codeweft.session import remove, shared_folder, table, written
 from codeweft.sources.repositories import current_files
 
 
@@ -140,19 +140,25 @@ def stored_summaries(spark, sf_dir):
     return last.join(load(spark, sf_dir)[0].select(F.col("id").alias("node_id")), "node_id", "left_semi")
 
 
-def _tasks(spark, sf_dir):
+def _tasks(spark, sf_dir, n):
     """Summaries as queries for the file of their symbol."""
     d = table(spark, sf_dir, "documents").filter("source = 'enrich_batch' AND node_id IS NOT NULL AND text IS NOT NULL")
-    n = load(spark, sf_dir)[0].select(F.col("id").alias("node_id"), "repo", "file_path")
+    n = n.select(F.col("id").alias("node_id"), "repo", "file_path")
     return d.select(F.col("doc_id").alias("qid"), "node_id", fn.issue_query(F.col("text")).alias("query")).join(n, "node_id")
 
 
-def _rungs(spark, sf_dir):
+def _searched(spark, sf_dir):
+    """A folder with the tables that the ladder reads again and again: the nodes' columns and the tasks, each written once."""
+    at = shared_folder(spark, "localization")
+    n = written(load(spark, sf_dir)[0].select("id", "repo", "file_path", "rank", "name", "qualified_name"), f"{at}/nodes")
+    return at, n, written(_tasks(spark, sf_dir, n), f"{at}/tasks")
+
+
+def _rungs(spark, sf_dir, at, n, t):
     """The searched nodes of each rung of the ladder, as ranked files; the tasks' own words aren't in what is searched."""
-    t = _tasks(spark, sf_dir)
-    n, e = load(spark, sf_dir)
+    e = written(load(spark, sf_dir)[1], f"{at}/edges")
     # The two searches are written out once; three rungs read the second.
-    found = {blend: checkpoint(retrieval.bm25(t.select("qid", "query"), n, 25, blend, ("name", "qualified_name"))) for blend in (0.0, 5.0)}
+    found = {blend: written(retrieval.bm25(t.select("qid", "query"), n, 25, blend, ("name", "qualified_name")), f"{at}/found{blend:.0f}") for blend in (0.0, 5.0)}
     plain = e.filter("kind <> 'co_changes'")
     for name, blend, by in (("fts", 0.0, None), ("rank", 5.0, None), ("expand-nc", 5.0, plain), ("expand", 5.0, e)):
         hits = found[blend]
@@ -160,17 +166,24 @@ def _rungs(spark, sf_dir):
 
 
 def localization(spark, sf_dir):
-    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search, the last with and without co-change edges, and what a task's files cost."""
-    gold, out = _tasks(spark, sf_dir).select("qid", "repo", "file_path"), None
-    for name, files in _rungs(spark, sf_dir):
-        row = retrieval.metrics(files, gold).withColumns({"tokens": retrieval.mean_tokens(files, gold).scalar(), "method": F.lit(name)})
+    """hit@5, hit@10 and MRR of the lexical, ranked and expanded search, the last with and without co-change edges, and what a task's files cost.
+
+    The files of a rung are written once, for its rates and its cost, and go with them, so
+    no plan spans more than one rung.
+    """
+    at, n, t = _searched(spark, sf_dir)
+    gold, out = t.select("qid", "repo", "file_path"), None
+    for name, files in _rungs(spark, sf_dir, at, n, t):
+        files = written(files, f"{at}/{name}")
+        row = written(retrieval.metrics(files, gold).crossJoin(retrieval.mean_tokens(files, gold)).withColumn("method", F.lit(name)), f"{at}/row-{name}")
+        remove(spark, f"{at}/{name}")
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def localization_by_repository(spark, sf_dir):
     """The same for the ranked search, repository by repository."""
-    t, n = _tasks(spark, sf_dir), load(spark, sf_dir)[0]
+    _, n, t = _searched(spark, sf_dir)
     hits = retrieval.bm25(t.select("qid", "query"), n, 25, 5.0, ("name", "qualified_name"))
     return retrieval.metrics_by_repository(retrieval.ranked_files(hits, n), t.select("qid", "repo", "file_path"))
 

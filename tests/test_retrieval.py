@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import scalars as fn
 from codeweft.operators import graph, retrieval
+from codeweft.plans import retrieval as plans
 from tests.test_graph import edges_of, node, nodes_of
 
 
@@ -225,3 +226,11 @@ def test_bm25_gives_the_smallest_ids_of_very_many_ties(spark, monkeypatch):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert {q: [r["id"] for r in sorted(rows, key=lambda r: r["place"]) if r["qid"] == q] for q in (0, 299, 300)} == dict.fromkeys((0, 299, 300), list(range(1, 13)))
     assert len(rows) == 301 * 12 and shuffled(spark) - at < 50_000
+
+
+def exchanges(query, spark):
+    return query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_the_plan_of_the_ladder_spans_one_rung(spark):
+    assert exchanges(plans.localization, spark) == 0
