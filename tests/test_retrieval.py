@@ -234,3 +234,7 @@ def exchanges(query, spark):
 
 def test_the_plan_of_the_ladder_spans_one_rung(spark):
     assert exchanges(plans.localization, spark) == 0
+
+
+def test_the_plan_of_rates_by_repository_holds_no_search(spark):
+    assert exchanges(plans.localization_by_repository, spark) < 15
