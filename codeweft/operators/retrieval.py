@@ -43,7 +43,12 @@ def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5
     far of each query; so neither nodes nor candidates are copied or exchanged, and only
     the result leaves the task.  Exact.
     """
-    spark, at = queries.sparkSession, shared_folder(queries.sparkSession, "bm25")
+    return ranked(indexed(queries, nodes, columns), limit, blend)
+
+
+def indexed(queries: DataFrame, nodes: DataFrame, columns: tuple[str, ...] = COLUMNS) -> tuple[DataFrame, str, int, float]:
+    """What ``ranked`` takes, for one or several blends: the queries, the folder of the tables, the number of nodes and their mean length."""
+    at = shared_folder(queries.sparkSession, "bm25")
     words = queries.select("qid", _phrases(F.col("query")).alias("p")).filter(F.size("p") > 0)
     # Queries of one id are one query; equal queries are answered once.
     words = words.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
@@ -53,8 +58,14 @@ def bm25(queries: DataFrame, nodes: DataFrame, limit: int = 12, blend: float = 5
     found = written(text.mapInArrow(_matching(f"{at}/phrases", len(columns)), "id long, rank double, len int, phrases array<int>, times array<int>"), f"{at}/found")
     written(found.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df")), f"{at}/df")
     n, average = found.agg(F.count(F.lit(1)), F.avg("len")).first()
+    return asked, at, n, average or 1.0
+
+
+def ranked(index: tuple[DataFrame, str, int, float], limit: int, blend: float) -> DataFrame:
+    """qid, id, score, place of the ``limit`` best nodes, see ``bm25``."""
+    asked, at, n, average = index
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    best = asked.repartition(blocks).mapInArrow(_best_of_all(at, n, average or 1.0, limit, blend), "qids array<struct<qid:long>>, id long, score double, place int")
+    best = asked.repartition(blocks).mapInArrow(_best_of_all(at, n, average, limit, blend), "qids array<struct<qid:long>>, id long, score double, place int")
     return best.select(F.explode("qids").alias("q"), "id", "score", "place").select("q.qid", "id", "score", "place")
 
 

@@ -157,8 +157,9 @@ def _searched(spark, sf_dir):
 def _rungs(spark, sf_dir, at, n, t):
     """The searched nodes of each rung of the ladder, as ranked files; the tasks' own words aren't in what is searched."""
     e = written(load(spark, sf_dir)[1], f"{at}/edges")
-    # The two searches are written out once; three rungs read the second.
-    found = {blend: written(retrieval.bm25(t.select("qid", "query"), n, 25, blend, ("name", "qualified_name")), f"{at}/found{blend:.0f}") for blend in (0.0, 5.0)}
+    # The two searches share their tables and are written out once; three rungs read the second.
+    index = retrieval.indexed(t.select("qid", "query"), n, ("name", "qualified_name"))
+    found = {blend: written(retrieval.ranked(index, 25, blend), f"{at}/found{blend:.0f}") for blend in (0.0, 5.0)}
     plain = e.filter("kind <> 'co_changes'")
     for name, blend, by in (("fts", 0.0, None), ("rank", 5.0, None), ("expand-nc", 5.0, plain), ("expand", 5.0, e)):
         hits = found[blend]

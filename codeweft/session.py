@@ -7,8 +7,6 @@ import tempfile
 import uuid
 import zipfile
 
-import pyarrow.dataset as ds
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,8 +76,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shared_table(path: str) -> ds.Dataset:
-    """A table of the shared folder, read by a task without Spark."""
+def shared_table(path: str):
+    """A table of the shared folder as a pyarrow dataset, read by a task without Spark."""
+    import pyarrow.dataset as ds  # not in the driver
+    from pyarrow.fs import FileSystem
+
     fs, own = FileSystem.from_uri(path.replace("file:/", "/", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
     return ds.dataset(own, filesystem=fs, format="parquet")
 
