@@ -54,10 +54,12 @@ def search_semantic_fixed(spark, sf_dir):
 
 
 def search_hybrid_fixed(spark, sf_dir):
-    """The same for names and vectors of the nodes whose id is divisible by 50."""
-    n, v = load(spark, sf_dir)[0], retrieval.finite_vectors(table(spark, sf_dir, "vectors"))
+    """The same for names and vectors of the nodes whose id is divisible by 50; what both searches read again is written once."""
+    at = shared_folder(spark, "hybrid")
+    n = written(load(spark, sf_dir)[0].select("id", "rank", *retrieval.COLUMNS), f"{at}/nodes")
+    v = written(retrieval.finite_vectors(table(spark, sf_dir, "vectors")), f"{at}/vectors")
     words = n.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("name").alias("query"))
-    q = v.withColumnsRenamed({"node_id": "qid", "vec": "qvec"}).join(words.select("qid"), "qid", "left_semi")
+    q = written(v.withColumnsRenamed({"node_id": "qid", "vec": "qvec"}).join(words.select("qid"), "qid", "left_semi"), f"{at}/queries")
     return retrieval.fuse(retrieval.bm25(words, n, 50), retrieval.semantic(q, v, 50)).withColumn("rrf", F.round("rrf", 6))
 
 

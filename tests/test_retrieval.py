@@ -238,3 +238,7 @@ def test_the_plan_of_the_ladder_spans_one_rung(spark):
 
 def test_the_plan_of_rates_by_repository_holds_no_search(spark):
     assert exchanges(plans.localization_by_repository, spark) < 15
+
+
+def test_the_plan_of_the_hybrid_search_reads_written_tables(spark):
+    assert exchanges(plans.search_hybrid_fixed, spark) < 15
