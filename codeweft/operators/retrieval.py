@@ -161,7 +161,8 @@ def _best_of_all(at: str, n: int, average: float, limit: int, blend: float):
     The phrases of a query are taken from the most frequent to the rarest and the queries
     in the order of these sequences, so what queries have in common at the start is summed
     once.  A further phrase raises only its own nodes, so the best after it are among
-    these and the best before it.
+    these and the best before it; nodes below the best so far of all queries that have
+    the sequence in common aren't ordered.
     """
 
     def best(batches):
@@ -195,7 +196,14 @@ def _best_of_all(at: str, n: int, average: float, limit: int, blend: float):
             bonus = blend * rank
             raised = weight + bonus[node]
             total, before, tops = np.zeros(len(node_id)), [], [none]
-
+            # Of each step the least score that can still come out for any query that has the step in common.
+            least, lows = [], []
+            for k in range(len(paths) - 1, -1, -1):
+                path, q = paths[k]
+                own = scores[q, limit - 1] - 2e-9
+                lows = [min(own, x) for x in lows[: common[k + 1]]] + [own] * (len(path) - common[k + 1])
+                least.append(lows)
+            least.reverse()
             for k, (path, q) in enumerate(paths):
                 while len(before) > common[k]:
                     mine, old = before.pop()
@@ -213,7 +221,7 @@ def _best_of_all(at: str, n: int, average: float, limit: int, blend: float):
                         had, value = had[same], value[same]
                     last = d + 1 == len(path)
                     if len(mine):
-                        mine_best = _highest(mine, score, limit, scores[q, limit - 1] - 2e-9 if last and common[k + 1] < len(path) else -np.inf)
+                        mine_best = _highest(mine, score, limit, least[k][d])
                         found = _highest(np.concatenate([had, mine_best[0]]), np.concatenate([value, mine_best[1]]), limit) if len(had) else mine_best
                     if not last or common[k + 1] == len(path):
                         total[mine] = old + (weight[lo:hi] if often == 1 else weight[lo:hi] * often)

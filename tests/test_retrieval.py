@@ -228,6 +228,24 @@ def test_bm25_gives_the_smallest_ids_of_very_many_ties(spark, monkeypatch):
     assert len(rows) == 301 * 12 and shuffled(spark) - at < 50_000
 
 
+def test_bm25_orders_no_nodes_below_the_best_so_far(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "NODE_BLOCK", 200)
+    n = nodes_of(spark, [node(k, name=f"walk_tree_{k % 5}") for k in range(1, 2001)])
+    q = spark.createDataFrame([(k, f"walk tree {k}") for k in range(5)], "qid long, query string")
+    asked, at, count, mean = retrieval.indexed(q, n)
+    highest, ordered = retrieval._highest, []
+
+    def counted(nodes, score, limit, least=-np.inf):
+        ordered.append(int((score >= least).sum()))
+        return highest(nodes, score, limit, least)
+
+    monkeypatch.setattr(retrieval, "_highest", counted)
+    got = [r for b in retrieval._best_of_all(at, count, mean, 12, 0.0)(iter(asked.toArrow().to_batches())) for r in b.to_pylist()]
+    for k in range(5):
+        assert [r["id"] for r in got if r["qids"][0]["qid"] == k] == [i for i in range(1, 2001) if i % 5 == k][:12]
+    assert sum(ordered) < 4500  # each query's own 400 nodes and the first block's
+
+
 def exchanges(query, spark):
     return query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
